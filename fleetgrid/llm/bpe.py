@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks, pattern)
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(1)).to_pylist()
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
             for a, b in slices(sizes, SLICE_CHARS):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 tokens = bpe.encode(texts)
