@@ -152,12 +152,14 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return df.select(id_col, ids).mapInArrow(run, schema)
 
 
-def digest(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Round trip of every text of a documents table, as digests of its ids and of what they decode to."""
+def digest(df: DataFrame, ranks_path: str, pattern: str, with_tokens: bool = False) -> DataFrame:
+    """Round trip of every text of a documents table, as digests of its ids and of what they decode to; the ids too
+    ``with_tokens``."""
     coded = encode(df, ranks_path, pattern, with_offsets=False, with_decoded=True)
     return coded.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["tokens"] if with_tokens else []),
     )

@@ -20,15 +20,17 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage.
-
-    The folder is the one of ``spark.checkpoint.dir``; a temporary one is set only where the session
-    names none (single-machine tests).
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of ``spark.checkpoint.dir``, or a temporary one where the session names none (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -34,7 +34,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``group_size``. An empty table gives an empty result. Other columns are ignored.
 
     The refinement: rows alone with their normalised length need no hash, nor do rows alone with their length and
-    prefix hash; only for the rest is a full hash taken, and the text read for it. ``digest_all`` is for a caller that
+    prefix hash; for the rest the texts are read again, and their full hashes joined to the rows that are left. ``digest_all`` is for a caller that
     wants ``text_sha256`` of every row: then the one scan takes the digest too and nothing is read twice; without it
     that column is null for rows that needed no full hash.
     """
@@ -58,11 +58,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lone = lone.unionByName(by_prefix.filter("peers is null").drop("peers"))
     left = by_prefix.filter("peers is not null").drop("peers")
     if not digest_all:
-        ids = durable(left.select("doc_id", "len", "prefix").distinct())
-        again = source.withColumns({"len": F.length("_norm"), "prefix": prefix})
-        left = again.join(ids, [again["doc_id"].eqNullSafe(ids["doc_id"]), again["len"] == ids["len"], again["prefix"] == ids["prefix"]], "left_semi").select(
-            "doc_id", F.length("_text").alias("points"), "len", "prefix", F.sha2(F.col("_norm").cast("binary"), 256).alias("sha")
-        )
+        ids = durable(left.select(F.col("doc_id").alias("_id"), F.col("len").alias("_len"), F.col("prefix").alias("_prefix")).distinct())
+        again = source.select("doc_id", F.length("_text").alias("points"), F.length("_norm").alias("len"), prefix.alias("prefix"), F.sha2(F.col("_norm").cast("binary"), 256).alias("sha"))
+        left = again.join(ids, F.expr("doc_id <=> _id and len = _len and prefix = _prefix"), "left_semi")
         lone = lone.withColumn("sha", F.lit(None).cast("string"))
 
     # repeated rows become one with a count, so that one of them alone is kept

@@ -137,19 +137,21 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     weights = df.sparkSession.sparkContext.broadcast(model.weights)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
-                scores = []
-                for text in batch.column(1).slice(a, b - a).to_pylist():
-                    buckets, values = features(text)
-                    scores.append(float(w[buckets] @ values))
-                tails = model.tails(np.array(scores))
+            for a, b, tails in _tails(batch.column(1), weights.value, model.thresholds):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=["doc_id", "expected_grade", "tails"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
 
 
+def _tails(texts: pa.Array, weights: np.ndarray, thresholds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """P(grade > k) of the texts, some rows at a time; null texts count as empty."""
+    model = Model(weights, thresholds)
+    for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 4_000_000):
+        made = map(features, (t or "" for t in texts.slice(a, b - a).to_pylist()))
+        yield a, b, model.tails(np.array([float(weights[buckets] @ values) for buckets, values in made]))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Labelled documents that the model is measured on and not fitted on: a fifth, by the checksum of the id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -179,7 +181,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "expected_grade", low.alias("p_above_0"), top.alias("p_above_1"), (top >= KEEP).alias("selected"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are selected, with their columns as they are. Rows are taken to be identified by doc_id."""
-    gone = durable(classify(docs, labels).filter("not selected").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def keep_selected(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are selected, with their columns as they are; nothing is shuffled for it."""
+    model = learn(rated(docs, labels), text_col)
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, tails in _tails(batch.column(at), weights.value, model.thresholds):
+                yield batch.slice(a, b - a).filter(pa.array(tails[:, -1] >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,15 +1,16 @@
 """SimHash near-duplicates, compared bit-sliced.
 
 Fingerprints are held as vertical bit planes: bit b of 64 fingerprints in one word. One pass of word operations
-then updates 64 distances, by carry-save counters that saturate above the radius; words of which all 64 distances
-exceed it are abandoned. Candidates come from exact banding: with a radius of 3 and 5 bands of the 64 bits, two bands
-at least are free of differences, so all links share one of the 10 pairs of bands.
+then updates 64 distances, by carry-save counters that overflow above the radius; words of which all 64 distances
+have overflowed are abandoned. Candidates share the bits of one of several tables.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,73 +21,116 @@ from pyspark.sql import functions as F
 
 from .common import durable, slices, text_or_empty
 
-BITS, RADIUS, BANDS = 64, 3, 5
 SEED = 42
 #: Fingerprints compared in one group; larger buckets are dealt out as pairs of parts of this size.
 PART = 1024
-#: Planes added before the first look at which words can be abandoned, and between later looks.
+#: Planes added between looks at which words can be abandoned.
 LOOK = 16
 
 
-def fingerprint(text: str, shingle: int) -> int:
+class Scheme(NamedTuple):
+    """Words of a shingle, 64-bit words of a fingerprint, bits in which linked ones differ at most, and the bits of each table."""
+
+    shingle: int
+    words: int
+    radius: int
+    tables: tuple[tuple[int, ...], ...]
+
+
+def banded(bits: int, radius: int, bands: int) -> tuple[tuple[int, ...], ...]:
+    """Tables that lose no link: of the bands, ``radius`` may hold a difference, and any others are a table's bits."""
+    edges = [round(bits * i / bands) for i in range(bands + 1)]
+    return tuple(tuple(b for i in chosen for b in range(edges[i], edges[i + 1])) for chosen in combinations(range(bands), bands - radius))
+
+
+def drawn(bits: int, width: int, tables: int) -> tuple[tuple[int, ...], ...]:
+    """Tables of randomly drawn bits: two texts meet in one with a chance that falls with the bits they differ in."""
+    rng = random.Random(SEED)
+    return tuple(tuple(sorted(rng.sample(range(bits), width))) for _ in range(tables))
+
+
+#: Three words, 64 bits, radius 3: links are exact.
+CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
+#: Five words, for texts whose shingle sets are alike to 0.8 or more. With that likeness (a cosine of 0.89) 15 % of the bits
+#: differ; 256 bits tell it well, the radius leaves a margin, and 97 % of such pairs meet in one of the tables.
+ALIKE = Scheme(5, 4, 44, drawn(256, 16, 48))
+
+
+def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` hashes of each shingle: its own, and others stirred from it."""
+    out = [hashes]
+    for i in range(1, words):
+        h = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(h ^ (h >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def fingerprint(text: str, scheme: Scheme = CLOSE) -> bytes:
     """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included."""
     words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
+    n = scheme.shingle
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+        return bytes(8 * scheme.words)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    counts = np.zeros(64 * scheme.words, dtype=np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        part = _wide(hashes[a : a + (1 << 14)], scheme.words).astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` of every row; the fingerprint is a long (two's complement). Null texts have no words."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
+    """``doc_id, fp`` of every row; the fingerprint has its highest bit first. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
-                fps = np.array([fingerprint(t, shingle) for t in batch.column(1).slice(a, b - a).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                fps = [fingerprint(t, scheme) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, "doc_id long, fp binary")
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, "doc_id long, fp long")
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """Rows of bits of an array of fingerprints (rows of bytes)."""
+    return np.unpackbits(fps, axis=1)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints: a row for each bit, packed 64 fingerprints to a word, one word of zeros behind."""
-    n = len(fps)
-    words = -(-n // 64) + 1
-    bits = np.zeros((words * 64, BITS), dtype=np.uint8)
-    bits[:n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.zeros((-(-len(fps) // 64) * 64 + 64, fps.shape[1] * 8), dtype=np.uint8)
+    bits[: len(fps)] = _bits(fps)
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def near(sliced: np.ndarray, shift: int, wanted: np.ndarray) -> np.ndarray:
-    """Positions i with ``wanted[i]`` whose fingerprint differs from that of i + shift in RADIUS bits at most."""
+def near(sliced: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np.ndarray:
+    """Positions i with ``wanted[i]`` whose fingerprint differs from that of i + shift in ``radius`` bits at most."""
     at, by = divmod(shift, 64)
-    size = -(-len(wanted) // 64)
-    live = np.zeros(size * 64, dtype=bool)
+    live = np.zeros(-(-len(wanted) // 64) * 64, dtype=bool)
     live[: len(wanted)] = wanted
     alive = np.packbits(live, bitorder="little").view("<u8")
     words = np.flatnonzero(alive)
-    alive = alive[words]
-    ones, twos, over = np.zeros_like(alive), np.zeros_like(alive), ~alive
+    over = ~alive[words]
+    # counters start so far below their end that the first difference too many overflows
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    counters = [np.full(len(words), -(start >> j & 1), dtype=np.int64).view(np.uint64) for j in range(width)]
     low, high = words + at, np.minimum(words + at + 1, sliced.shape[1] - 1)
-    for b in range(BITS):
-        row = sliced[b]
-        other = row[low] >> np.uint64(by) | row[high] << np.uint64(64 - by) if by else row[low]
-        differs = row[words] ^ other
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if b % LOOK == LOOK - 1:
+    for b, row in enumerate(sliced, 1):
+        carry = row[words] ^ (row[low] >> np.uint64(by) | row[high] << np.uint64(64 - by) if by else row[low])
+        for j in range(width):
+            counters[j], carry = counters[j] ^ carry, counters[j] & carry
+        over |= carry
+        if b % LOOK == 0 and b > radius:
             keep = np.flatnonzero(~over)
             if not len(keep):
                 return keep
             if len(keep) < len(words):
-                words, low, high, ones, twos, over = (x[keep] for x in (words, low, high, ones, twos, over))
+                words, low, high, over = (x[keep] for x in (words, low, high, over))
+                counters = [c[keep] for c in counters]
     hits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     word, bit = np.nonzero(hits)
     return words[word] * 64 + bit
@@ -100,7 +144,7 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def linked(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     """For rows sorted by key: the position that stands for each row's component under links between equal keys."""
     n = len(keys)
     parent = np.arange(n)
@@ -117,7 +161,7 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
             rows, group = rows[going], group[going]
             sliced = planes(fps[rows])
             wanted = group[:-shift] == group[shift:]
-        i = near(sliced, shift, wanted)
+        i = near(sliced, shift, wanted, radius)
         if len(i):
             a, b = _roots(parent, rows[i]), _roots(parent, rows[i + shift])
             for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
@@ -131,47 +175,53 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, rep, fp) sorted by key and part: an edge from each row to what stands for its component."""
-    kept = [np.zeros(0, dtype=np.int64)] * 4
-
-    def edges(key: np.ndarray, part: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else key
-        root = linked(group, fp.view(np.uint64))
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
-
-    for batch in batches:
-        columns = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True)]
-        key, part = columns[:2]
-        last = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-        end = int(last[-1]) + 1 if len(last) else 0
-        yield edges(*(c[:end] for c in columns))
-        kept = [c[end:] for c in columns]
-    yield edges(*kept)
-
-
-def links(reps: DataFrame) -> DataFrame:
+def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """Edges ``a, b`` between rows of ``rep, fp`` (distinct fingerprints): enough of them to join all that is linked.
 
-    A bucket (rows that share two bands) yields a spanning forest of its links, never its pairs. A bucket over PART
-    rows is dealt out as all pairs of its parts, so a task holds two parts at most.
+    A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs. A bucket over
+    PART rows is dealt out as all pairs of its parts, so a group holds two parts at most.
     """
-    width = [BITS // BANDS + (i < BITS % BANDS) for i in range(BANDS)]
-    low = [sum(width[:i]) for i in range(BANDS)]
-    band = [F.shiftrightunsigned("fp", low[i]).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(BANDS)]
-    # the table's number stands above the bits of its bands
-    tables = list(combinations(range(BANDS), BANDS - RADIUS))
-    keys = [F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(band[i], width[j])).bitwiseOR(band[j]) for n, (i, j) in enumerate(tables)]
-    rows = reps.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
+    size, radius = 8 * scheme.words, scheme.radius
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2000):
+                batch = whole.slice(a, 2000)
+                bits = _bits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, size)).astype(np.int64)
+                for n, table in enumerate(scheme.tables):
+                    key = bits[:, list(table)] @ (1 << np.arange(len(table), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", "rep", "fp"])
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, part, rep, fp) sorted by key and part: an edge from each row to what stands for its component."""
+
+        def edges(key: np.ndarray, part: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else key
+            root = linked(group, fp, radius)
+            own = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
+
+        kept = [*[np.zeros(0, dtype=np.int64)] * 3, np.zeros((0, size), dtype=np.uint8)]
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, size))
+            columns = [np.concatenate([k, c]) for k, c in zip(kept, new, strict=True)]
+            key, part = columns[:2]
+            last = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+            yield edges(*(c[:end] for c in columns))
+            kept = [c[end:] for c in columns]
+        yield edges(*kept)
+
+    rows = reps.select("rep", "fp").mapInArrow(keyed, "key long, rep long, fp binary")
     large = durable(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key", F.ceil(F.col("n") / PART).alias("parts")))
     own = F.pmod(F.xxhash64("rep"), "parts")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
     dealt = rows.join(large, "key").select("key", F.explode(pairs).alias("part"), "rep", "fp")
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInArrow(_link_batches, "a long, b long")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInArrow(linking, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches. Nodes without edges are left out.
 
     Rounds of taking the least label among neighbours, then the label of that label, until nothing changes. Every
@@ -191,26 +241,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = jumped
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
-    Fingerprints (64 bits over word shingles of A-Z lower-cased words, repeats included, by XXH64 with seed 42) link
-    at RADIUS or fewer differing bits; component_id is the smallest id that can be reached. A text with fewer words
+    Fingerprints (over word shingles of A-Z lower-cased words, repeats included, by XXH64 with seed 42) link at the
+    scheme's radius or less; component_id is the smallest id that can be reached. A text with fewer words
     than a shingle is one shingle; null, empty and blank texts have fingerprint zero and are linked like any other.
     Equal fingerprints are one node, however many rows have them. Repeated rows each stay. Rows with a null id stay
     too: their component is the smallest known id of the component, or null. An empty table gives an empty result.
     """
-    prints = durable(fingerprints(df, id_col, text_col, shingle))
+    prints = durable(fingerprints(df, id_col, text_col, scheme))
     reps = durable(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # an id repeated with other texts may stand for several fingerprints; then these are one component by the id
-    found = components(reps.select(F.col("rep").alias("node")), links(reps).filter("a <> b"))
+    found = components(links(reps, scheme).filter("a <> b"))
     classes = durable(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
     out = prints.join(classes, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component; its columns stay as they are."""
-    found = near_duplicates(df, id_col, text_col, shingle)
-    gone = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    found = near_duplicates(df, id_col, text_col, scheme)
+    gone = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

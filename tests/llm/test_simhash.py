@@ -56,18 +56,35 @@ def test_links_in_buckets_of_any_size(spark, monkeypatch):
     fps = {rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(400)}
     fps = dict(enumerate(sorted(fps)))
     monkeypatch.setattr(simhash, "PART", 8)
-    nodes = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in fps.items()], "rep long, fp long")
-    found = simhash.components(nodes.select(nodes["rep"].alias("node")), simhash.links(nodes))
+    nodes = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in fps.items()], "rep long, fp binary")
+    found = simhash.components(simhash.links(nodes))
     got = {i: i for i in fps} | {r["node"]: r["label"] for r in found.collect()}
     assert got == brute_components(fps)
 
 
 def test_bit_sliced_distances():
     rng = np.random.default_rng(0)
-    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    fps[150:] = fps[:150] ^ np.uint64(1) << rng.integers(0, 63, 150, dtype=np.uint64)
-    sliced = simhash.planes(fps)
-    for shift in (1, 63, 64, 65, 150, 299):
-        n = len(fps) - shift
-        want = [i for i in range(n) if (int(fps[i]) ^ int(fps[i + shift])).bit_count() <= 3]
-        assert simhash.near(sliced, shift, np.ones(n, dtype=bool)).tolist() == want
+    for words, radius in ((1, 3), (4, 44), (1, 0), (2, 7)):
+        fps = rng.integers(0, 256, (300, 8 * words), dtype=np.uint8)
+        fps[150:] = fps[:150] ^ (rng.random((150, 8 * words)) < radius / 64 / words).astype(np.uint8)
+        sliced = simhash.planes(fps)
+        for shift in (1, 63, 64, 65, 150, 299):
+            n = len(fps) - shift
+            want = [i for i in range(n) if np.bitwise_count(fps[i] ^ fps[i + shift]).sum() <= radius]
+            assert simhash.near(sliced, shift, np.ones(n, dtype=bool), radius).tolist() == want
+
+
+def test_alike_texts_meet_and_others_do_not(spark):
+    rng = random.Random(5)
+    rows, group = [], {}
+    for g in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        for c in range(3):
+            copy = [w if rng.random() > 0.008 * c else f"x{rng.randrange(5000)}" for w in words]
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scheme=simhash.ALIKE).collect()}
+    sets = {i: {*zip(*(t.split()[k:] for k in range(5)))} for i, t in rows}
+    pairs = [(i, j) for i, _ in rows for j, _ in rows if i < j and group[i] == group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 40 and sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(group[i] == group[c] for i, c in got.items())
