@@ -42,7 +42,7 @@ def linked_order(scenes: DataFrame, samples: DataFrame) -> DataFrame:
     scenes.createOrReplaceTempView("_fleetgrid_scenes")
     samples.createOrReplaceTempView("_fleetgrid_samples")
     return spark.sql("""
-        WITH RECURSIVE walk MAX RECURSION LEVEL 100000 (scene_token, sample_token, place) AS (
+        WITH RECURSIVE walk (scene_token, sample_token, place) MAX RECURSION LEVEL 100000 AS (
           SELECT token, first_sample_token, 0 FROM _fleetgrid_scenes
           UNION ALL
           SELECT w.scene_token, s.next, w.place + 1 FROM walk w JOIN _fleetgrid_samples s ON s.token = w.sample_token WHERE s.next <> ''
