@@ -168,9 +168,11 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = durable(spans.withColumn("_spans", F.when(F.col("_taken") < F.col("_size"), F.col("_spans"))).drop("round"))
     out = df.join(spans, df[id_col].eqNullSafe(spans["_id"]))
     words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))), "")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)
-    columns = [text.alias(c) if c == text_col else F.length(text).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else df[c] for c in df.columns]
+    kept = F.transform("_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))
+    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(kept), ""))
+    # the one-row explode keeps the lambda from being copied into a second column, where Spark 4.1 mixes up its variable
+    out = out.select(*(df[c] for c in df.columns if c != text_col), F.explode(F.array(cut)).alias(text_col))
+    columns = [F.length(text_col).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else c for c in df.columns]
     return out.select(*columns)
 
 
