@@ -86,7 +86,10 @@ def pcsbl_map(kept: DataFrame, key: Sequence[str] = FRAME, settings: Settings =
             out |= {"cells": None, "iters": None, "converged": None, "conv_history": None, "error": str(e)}
         return pd.DataFrame([out])
 
-    return rows.groupBy(*key).applyInPandas(run, _schema(key, rows))
+    # a frame's rows are few bytes but seconds of work, so partitions must not be coalesced by size
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *key).groupBy(*key).applyInPandas(run, _schema(key, rows))
 
 
 def solved_cells(solved: DataFrame, key: Sequence[str] = FRAME) -> DataFrame:

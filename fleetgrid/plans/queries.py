@@ -499,7 +499,7 @@ def t3_sectors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t4_window_solve(spark: SparkSession, d: str) -> DataFrame:
     window = tier1.window_points(fx.points(spark, d), fx.frames(spark, d), 1)
-    return tier2.window_maps(window, settings=Settings(max_iter=40)).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
+    return tier2.window_maps(window, settings=Settings(max_iter=15)).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
 
 
 @query()
@@ -549,3 +549,64 @@ def c10_frame_range(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"SELECT {K} FROM frq WHERE frame_idx = 1", "frq"))
 def c11_nth_scan(spark: SparkSession, d: str) -> DataFrame:
     return catalog.nth_scan(fx.frames(spark, d).select(*FRAME), 1)
+
+
+@query("SELECT 'scene-7' AS name, '' AS description, count(*)::INT AS nbr_samples FROM supplier WHERE s_nationkey = 7 GROUP BY s_nationkey")
+def c2_scene_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.list_scenes(catalog.scene_by_name(fx.scenes(spark, d), "scene-7"))
+
+
+def _poses(spark: SparkSession, d: str) -> DataFrame:
+    return fx.frames(spark, d).selectExpr("concat('p', cast(scene_id AS int) + 5 * frame_idx) AS token", "pose_q AS rotation", "pose_t AS translation")
+
+
+@query(
+    sql(
+        """SELECT 's' || s_nationkey AS scene_token, row_number() OVER (PARTITION BY s_nationkey ORDER BY s.s_suppkey) - 1 AS frame_idx, round(px, 6) + 0.0 AS px, round(r10, 6) + 0.0 AS r10, (s.s_suppkey % 4) * 0.5::DOUBLE AS cz
+        FROM supplier s JOIN frm USING (s_suppkey)""",
+        "frm",
+    )
+)
+def c4_lookups(spark: SparkSession, d: str) -> DataFrame:
+    keys = catalog.keyframes(fx.samples(spark, d), fx.sample_data(spark, d))
+    sensors = spark.range(4).selectExpr("concat('c', id) AS token", "array(1D, 0D, 0D, 0D) AS rotation", "array(0D, 0D, id * 0.5D) AS translation")
+    out = catalog.with_lookups(keys, _poses(spark, d), sensors)
+    return out.select("scene_token", "frame_idx", r6(F.col("pose_t")[0], "px"), r6(F.col("pose_r")[3], "r10"), r6(F.col("calib_t")[2], "cz"))
+
+
+@query("SELECT 's' || s_nationkey AS scene_token, 'm' || s_suppkey AS sample_token, count(*) AS n FROM supplier JOIN orders ON o_custkey % (SELECT count(*) FROM supplier) = s_suppkey GROUP BY ALL")
+def c5_annotations(spark: SparkSession, d: str) -> DataFrame:
+    keys = catalog.keyframes(fx.samples(spark, d), fx.sample_data(spark, d))
+    boxes = fx.boxes(spark, d).selectExpr("box_id", "concat('m', cast(scene_id AS int) + 5 * frame_idx) AS sample_token")
+    return catalog.annotations_of(keys, boxes).groupBy("scene_token", "sample_token").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT scene_id, count(*) AS n FROM frq WHERE scene_id IN ('1', '3') GROUP BY ALL", "frq"))
+def c7_sequences_with_poses(spark: SparkSession, d: str) -> DataFrame:
+    posed = fx.frames(spark, d).filter("scene_id in ('1', '3')").select("scene_id")
+    return catalog.sequences_with_poses(fx.frames(spark, d), posed).groupBy("scene_id").agg(F.count("*").alias("n"))
+
+
+@query(sql(f"SELECT {K}, CASE WHEN frame_idx % 2 = 0 THEN 1.84 ELSE 1.73 END::DOUBLE AS tz, CASE WHEN frame_idx % 3 = 0 THEN round(px, 6) ELSE 0 END + 0.0 AS px, 1.0::DOUBLE AS r00 FROM frq", "frq"))
+def c9_defaults(spark: SparkSession, d: str) -> DataFrame:
+    known = fx.frames(spark, d).withColumns({c: F.when(F.col("frame_idx") % 2 == 0, F.col(c)) for c in ("calib_r", "calib_t")})
+    known = known.withColumns({c: F.when(F.col("frame_idx") % 3 == 0, F.col(c)) for c in ("pose_r", "pose_t")})
+    out = preprocess.with_defaults(known)
+    return out.select(*FRAME, r6(F.col("calib_t")[2], "tz"), r6(F.col("pose_t")[0], "px"), r6(F.col("calib_r")[0], "r00"))
+
+
+@query(sql(f"SELECT {K}, 1.84::DOUBLE AS ring FROM frq UNION ALL SELECT 'other', scene_id, frame_idx, NULL FROM frq", "frq"))
+def c12_one_interface(spark: SparkSession, d: str) -> DataFrame:
+    own = fx.frames(spark, d).select(*FRAME, F.col("calib_t")[2].alias("ring"))
+    return catalog.one_interface(own, own.drop("ring").withColumn("dataset", F.lit("other")))
+
+
+@query("SELECT 'driver' AS dataset, s_nationkey::VARCHAR AS scene_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS frame_idx FROM supplier")
+def w3_frame_order(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("'driver' AS dataset", "cast(s_nationkey AS string) AS scene_id", "s_suppkey")
+    return catalog.numbered(files, "s_suppkey")
+
+
+@query("SELECT l_returnflag AS split, count(*) AS n_files FROM lineitem GROUP BY l_returnflag")
+def c1_files_by_split(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.files_by_split(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("split")))
