@@ -96,7 +96,7 @@ WITH t AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS txt, hex(encode(coalesce(text, ''))) AS hx FROM documents
 ), n AS MATERIALIZED (
   SELECT doc_id, (length(hx) // 2 + 1)::BIGINT AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1:2 * i + 2])::BIGINT)),
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hx, '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(c // 256, tab[(xor(c % 256, b) + 1)::BIGINT])), 4294967295::BIGINT) AS text_crc32,
     ('0x' || left(md5(txt), 13))::BIGINT AS key, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 13))::BIGINT AS draw
   FROM h, t
