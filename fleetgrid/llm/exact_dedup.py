@@ -19,10 +19,11 @@ def _refine(rows: DataFrame, key: list[str]) -> DataFrame:
     """Each row with ``peers``, the number of rows that share its key.
 
     The counts are cut off from the rows they came from, so that the join deals out both sides anew and
-    adaptive execution can split a key that holds many rows.
+    adaptive execution can split a key that holds many rows; so is the result, which is read more than once, lest
+    the next counts be taken inside the partitions of this key, without adding up before the shuffle.
     """
     counts = durable(rows.groupBy(*key).agg(F.count("*").alias("peers")).filter("peers > 1"))
-    return rows.join(counts, key, "left")
+    return durable(rows.join(counts, key, "left"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
