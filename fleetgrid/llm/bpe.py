@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
-from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import slices, text_or_empty
 
 #: Text handled at once in a task, and pre-tokens remembered by a worker.
 SLICE_CHARS = 2_000_000
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 def byte_table() -> list[str]:
@@ -51,26 +51,28 @@ class ByteBpe:
             if token[:i] in rank and token[i:] in rank
         ]
         self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: n for t, n in rank.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall
         reverse = {c: b for b, c in enumerate(chars)}
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = [bytes(reverse[c] for c in self.tokenizer.id_to_token(i)) for i in range(size)]
         self.n_bytes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.shown = dict(enumerate(chars))
+        #: ids of pre-tokens seen before, as the bytes of 32-bit numbers
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         pieces = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [*{*chain.from_iterable(pieces)}.difference(self.known)]
-        found = dict(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.known.update(found)
-        out = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, p)), dtype=np.int32) for p in pieces]
+        new = {*chain.from_iterable(pieces)}.difference(self.known)
+        tokenize, shown, known = self.tokenizer.model.tokenize, self.shown, self.known
+        for piece in new:
+            known[piece] = array("i", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(shown))]).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype=np.int32) for p in pieces]
         for piece in new:
             if len(piece) > 200:  # runs of one class can be as long as a text; they aren't worth remembering
-                del self.known[piece]
+                del known[piece]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
