@@ -551,9 +551,10 @@ def c11_nth_scan(spark: SparkSession, d: str) -> DataFrame:
     return catalog.nth_scan(fx.frames(spark, d).select(*FRAME), 1)
 
 
-@query("SELECT 'scene-7' AS name, '' AS description, count(*)::INT AS nbr_samples FROM supplier WHERE s_nationkey = 7 GROUP BY s_nationkey")
+@query("SELECT 'scene-' || s_nationkey AS name, '' AS description, count(*)::INT AS nbr_samples FROM supplier GROUP BY s_nationkey ORDER BY name LIMIT 1")
 def c2_scene_by_name(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.list_scenes(catalog.scene_by_name(fx.scenes(spark, d), "scene-7"))
+    scenes = fx.scenes(spark, d)
+    return catalog.list_scenes(catalog.scene_by_name(scenes, scenes.agg(F.min("name")).first()[0]))
 
 
 def _poses(spark: SparkSession, d: str) -> DataFrame:

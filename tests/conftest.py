@@ -28,3 +28,36 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def agrees(spark):
+    """Whether a query and its SQL in another engine give the same rows over the smallest tables."""
+    import math
+
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in Path(sf_dir).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+
+    def cell(v):
+        if v is None or isinstance(v, float) and math.isnan(v):
+            return ""
+        if isinstance(v, (int, float)):
+            return f"{v + 0.0:.9g}"
+        return str(v)
+
+    def check(query, sql):
+        df = query(spark, sf_dir)
+        found = con.sql(sql)
+        names = sorted(df.columns)
+        assert names == sorted(found.columns)
+        place = [found.columns.index(n) for n in names]
+        got = sorted([cell(r[n]) for n in names] for r in df.collect())
+        want = sorted([cell(r[i]) for i in place] for r in found.fetchall())
+        assert len(got) == len(want) and got == want
+        return len(got)
+
+    return check
