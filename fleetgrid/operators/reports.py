@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,8 +132,6 @@ def smoothed(maps: DataFrame, grid: Grid = Grid(), sigma: float = 0.8, fill: flo
     Only cells near a touched one differ from ``fill``: each touched cell sends its difference from ``fill`` to the cells whose
     kernel covers it, also by way of the border, so maps needn't be laid out in full. Other cells are absent: they are ``fill``.
     """
-    import math
-
     radius = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
     weight = F.array(*(F.lit(v / sum(raw)) for v in raw))
