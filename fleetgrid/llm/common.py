@@ -20,6 +20,23 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def marks(text_col: str) -> dict[str, Column]:
+    """Two hashes of a text (null counts as empty), which tell rows apart whose ids are null or repeated."""
+    text = text_or_empty(text_col)
+    return {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
+
+
+def without(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, once: DataFrame) -> DataFrame:
+    """``df`` without the rows in ``gone`` and with one of each in ``once``; both have distinct ``_id, _h1, _h2`` (see marks)."""
+    marked = df.withColumns(marks(text_col))
+    same = lambda rows, keys: rows[id_col].eqNullSafe(keys["_id"]) & (rows["_h1"] == keys["_h1"]) & (rows["_h2"] == keys["_h2"])
+    kept = marked.join(gone, same(marked, gone), "left_anti")
+    if not once.isEmpty():
+        single = kept.join(once, same(kept, once), "left_semi").dropDuplicates([id_col, "_h1", "_h2"])
+        kept = kept.join(once, same(kept, once), "left_anti").unionByName(single)
+    return kept.select(*df.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: that of ``spark.checkpoint.dir``, or a temporary one where the session names none (tests)."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ have overflowed are abandoned. Candidates share the bits of one of several table
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, text_or_empty
+from .common import durable, marks, slices, text_or_empty, without
 
 SEED = 42
 #: Fingerprints compared in one group; larger buckets are dealt out as pairs of parts of this size.
@@ -29,12 +29,14 @@ LOOK = 16
 
 
 class Scheme(NamedTuple):
-    """Words of a shingle, 64-bit words of a fingerprint, bits in which linked ones differ at most, and the bits of each table."""
+    """Words of a shingle, 64-bit words of a fingerprint, bits in which linked ones differ at most, the bits of each table,
+    and whether a repeated shingle counts once."""
 
     shingle: int
     words: int
     radius: int
     tables: tuple[tuple[int, ...], ...]
+    distinct: bool = False
 
 
 def banded(bits: int, radius: int, bands: int) -> tuple[tuple[int, ...], ...]:
@@ -51,9 +53,13 @@ def drawn(bits: int, width: int, tables: int) -> tuple[tuple[int, ...], ...]:
 
 #: Three words, 64 bits, radius 3: links are exact.
 CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
-#: Five words, for texts whose shingle sets are alike to 0.8 or more. With that likeness (a cosine of 0.89) 15 % of the bits
-#: differ; 256 bits tell it well, the radius leaves a margin, and 97 % of such pairs meet in one of the tables.
+#: Five words, for candidates of texts whose shingle sets are alike to LIKENESS or more. With that likeness (a cosine of 0.89)
+#: 15 % of 256 bits differ, 39 with a spread of 5.7; the radius lies near one spread above. That a candidate is alike is
+#: decided by the sets themselves.
 ALIKE = Scheme(5, 4, 44, drawn(256, 16, 48))
+LIKENESS = 0.8
+#: Of its candidates below it within each of these distances, and within the radius, a text is compared with the first.
+TIERS = (16, 30)
 
 
 def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -67,17 +73,25 @@ def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def fingerprint(text: str, scheme: Scheme = CLOSE) -> bytes:
-    """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included."""
+def shingles(text: str, n: int) -> np.ndarray:
+    """A hash of each run of n words, repeats included; fewer words are one shingle."""
     words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    n = scheme.shingle
     if not words:
-        return bytes(8 * scheme.words)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)
-    counts = np.zeros(64 * scheme.words, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), dtype=np.uint64)
+
+
+def fingerprint(text: str, scheme: Scheme = CLOSE) -> bytes:
+    """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included unless distinct."""
+    hashes = shingles(text, scheme.shingle)
+    return _majority(np.unique(hashes) if scheme.distinct else hashes, scheme.words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> bytes:
+    counts = np.zeros(64 * words, dtype=np.int64)
     for a in range(0, len(hashes), 1 << 14):
-        part = _wide(hashes[a : a + (1 << 14)], scheme.words).astype(">u8")
+        part = _wide(hashes[a : a + (1 << 14)], words).astype(">u8")
         counts += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
@@ -144,10 +158,9 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by key: the position that stands for each row's component under links between equal keys."""
+def _hits(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by key: positions i < j of links between equal keys, those nearest in place first; ``also`` may rule out pairs."""
     n = len(keys)
-    parent = np.arange(n)
     rows, sliced, group = np.arange(n), None, keys
     for shift in range(1, n):
         wanted = group[:-shift] == group[shift:] if len(group) > shift else np.zeros(0, dtype=bool)
@@ -161,27 +174,37 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
             rows, group = rows[going], group[going]
             sliced = planes(fps[rows])
             wanted = group[:-shift] == group[shift:]
+        if also:
+            wanted = wanted & also(rows[:-shift], rows[shift:])
         i = near(sliced, shift, wanted, radius)
         if len(i):
-            a, b = _roots(parent, rows[i]), _roots(parent, rows[i + shift])
-            for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            parent = _roots(parent, parent)
+            yield rows[i], rows[i + shift]
+
+
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by key: the position that stands for each row's component under links between equal keys."""
+    parent = np.arange(len(keys))
+    for i, j in _hits(keys, fps, radius):
+        a, b = _roots(parent, i), _roots(parent, j)
+        for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        parent = _roots(parent, parent)
     return parent
 
 
-def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
-    """Edges ``a, b`` between rows of ``rep, fp`` (distinct fingerprints): enough of them to join all that is linked.
+def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
+    """Rows ``key, part, rep, fp`` and the columns ``more``, in the order of the first three: groups of which each pair is to be compared.
 
-    A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs. A bucket over
-    PART rows is dealt out as all pairs of its parts, so a group holds two parts at most.
+    A bucket over PART rows is dealt out as all pairs of its parts, so a group holds two parts at most.
     """
-    size, radius = 8 * scheme.words, scheme.radius
+    size = 8 * scheme.words
+    names = ["rep", "fp", *more]
+    kinds = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in names)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,35 +213,111 @@ def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
                 bits = _bits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, size)).astype(np.int64)
                 for n, table in enumerate(scheme.tables):
                     key = bits[:, list(table)] @ (1 << np.arange(len(table), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", *names])
 
-    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, part, rep, fp) sorted by key and part: an edge from each row to what stands for its component."""
+    rows = reps.select(*names).mapInArrow(keyed, f"key long, {kinds}")
+    large = durable(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key", F.ceil(F.col("n") / PART).alias("parts")))
+    own = F.pmod(F.xxhash64("rep"), "parts")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
+    dealt = rows.join(large, "key").select("key", F.explode(pairs).alias("part"), *names)
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    """Whole groups of the rows of _dealt: a number of the group in place of key and part, then the other columns."""
+    kept = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+        new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, size))
+        new += [c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]]
+        columns = [np.concatenate([k, c]) for k, c in zip(kept, new, strict=True)] if kept else new
+        last = np.flatnonzero(_changes(*columns[:2]))
+        end = int(last[-1]) + 1 if len(last) else 0
+        if end:
+            yield _numbered([c[:end] for c in columns])
+        kept = [c[end:] for c in columns]
+    if kept and len(kept[0]):
+        yield _numbered(kept)
+
+
+def _changes(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (key[1:] != key[:-1]) | (part[1:] != part[:-1])
 
-        def edges(key: np.ndarray, part: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else key
+
+def _numbered(columns: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.cumsum(np.r_[True, _changes(*columns[:2])]), *columns[2:]]
+
+
+def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """Edges ``a, b`` between rows of ``rep, fp`` (distinct fingerprints): enough of them to join all that is linked.
+
+    A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs.
+    """
+    size, radius = 8 * scheme.words, scheme.radius
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An edge from each row to what stands for its component."""
+        for group, rep, fp in _grouped(batches, size):
             root = linked(group, fp, radius)
             own = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
+
+    return _dealt(reps, scheme).mapInArrow(linking, "a long, b long")
+
 
-        kept = [*[np.zeros(0, dtype=np.int64)] * 3, np.zeros((0, size), dtype=np.uint8)]
+def _fit(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike to LIKENESS."""
+    return np.minimum(n[i], n[j]) >= LIKENESS * np.maximum(n[i], n[j]) - 1e-9
+
+
+def first_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``a, b`` with a < b: for each row b of ``rep, fp, n`` its least candidate by each tier of distance. A row that is in none has no candidate at all."""
+    size, radius = 8 * scheme.words, scheme.radius
+    tiers = (*(t for t in TIERS if t < radius), radius)
+
+    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rep, fp, n in _grouped(batches, size):
+            least = np.full((len(tiers), len(rep)), -1)
+            wide = np.ascontiguousarray(fp).view(np.uint64)
+            for i, j in _hits(group, fp, radius, lambda i, j, n=n: _fit(n, i, j)):
+                far = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1)
+                for k, tier in enumerate(tiers):
+                    least[k, j[far <= tier]] = i[far <= tier]  # later hits have smaller i
+            k, j = np.nonzero(least >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[j]), pa.array(k), pa.array(rep[least[k, j]])], names=["b", "tier", "a"])
+
+    found = _dealt(reps, scheme, "n").mapInArrow(finding, "b long, tier long, a long")
+    return found.groupBy("b", "tier").agg(F.min("a").alias("a")).select("a", "b").distinct()
+
+
+def open_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label`` whose labels differ."""
+    size, radius = 8 * scheme.words, scheme.radius
+
+    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rep, fp, n, label in _grouped(batches, size):
+            for i, j in _hits(group, fp, radius, lambda i, j, n=n, label=label: (label[i] != label[j]) & _fit(n, i, j)):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
+
+    return _dealt(reps, scheme, "n", "label").mapInArrow(finding, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (node, members: sorted hashes) have a likeness of LIKENESS or more."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
-            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, size))
-            columns = [np.concatenate([k, c]) for k, c in zip(kept, new, strict=True)]
-            key, part = columns[:2]
-            last = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            end = int(last[-1]) + 1 if len(last) else 0
-            yield edges(*(c[:end] for c in columns))
-            kept = [c[end:] for c in columns]
-        yield edges(*kept)
-
-    rows = reps.select("rep", "fp").mapInArrow(keyed, "key long, rep long, fp binary")
-    large = durable(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key", F.ceil(F.col("n") / PART).alias("parts")))
-    own = F.pmod(F.xxhash64("rep"), "parts")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
-    dealt = rows.join(large, "key").select("key", F.explode(pairs).alias("part"), "rep", "fp")
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInArrow(linking, "a long, b long")
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= LIKENESS * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    # many pairs may share a, few share b: so the set of b is the one that travels with the pair
+    of_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
+    both = of_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(compared, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,8 +358,64 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _nodes(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
+    """``_id, _h1, _h2, node, n, fp`` of every row: its keys (see marks), and hash, size and fingerprint of its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column(3)).to_pylist(), 4_000_000):
+                sets = [np.unique(shingles(t, scheme.shingle)) for t in batch.column(3).slice(a, b - a).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(t, scheme) for t in batch.column(3).slice(a, b - a).to_pylist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *columns], names=["_id", "_h1", "_h2", "node", "n", "fp"])
+
+    rows = df.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"_id {df.schema[id_col].dataType.simpleString()}, _h1 long, _h2 long, node long, n int, fp binary")
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
+    """``node, members`` for the rows named by ``wanted`` (_id, _h1, _h2, node): the sorted hashes of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
+                made = [np.unique(shingles(t, n)).tobytes() for t in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made, pa.binary())], names=["node", "members"])
+
+    rows = df.select(F.col(id_col).alias("_own"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))
+    found = rows.join(wanted, rows["_own"].eqNullSafe(wanted["_id"]) & (rows["_h1"] == wanted["_h1"]) & (rows["_h2"] == wanted["_h2"]))
+    return found.select("node", "_text").mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+
+
+def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
+    """``_id, _h1, _h2, label`` of every row; rows of one label are joined by links of texts alike to LIKENESS or more.
+
+    Fingerprints give the candidates and the sets of shingles decide. First each text is compared with a few of its
+    candidates, which joins most of what is alike; then every candidate pair that is still apart is compared, so
+    each candidate pair is either compared or already joined, and a large group of near copies never yields its pairs.
+    """
+    rows = durable(_nodes(df, id_col, text_col, scheme))
+    reps = durable(rows.groupBy("node").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    reps = reps.withColumnRenamed("node", "rep")
+    some = durable(first_candidates(reps, scheme))
+    nodes = durable(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct())
+    near_ones = durable(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi"))
+    sets = durable(_sets(df, id_col, text_col, near_ones.select("row.*", F.col("rep").alias("node")), scheme.shingle))
+    good = durable(alike(some, sets))
+    joined = components(good)
+    labelled = durable(near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", F.coalesce("label", "rep").alias("label")))
+    more = durable(alike(open_candidates(labelled, scheme).join(some, ["a", "b"], "left_anti"), sets))
+    if not more.isEmpty():
+        joined = components(good.unionByName(more))
+    return rows.join(joined, "node", "left").select("_id", "_h1", "_h2", F.coalesce("label", rows["node"]).alias("label"))
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; its columns stay as they are."""
-    found = near_duplicates(df, id_col, text_col, scheme)
-    gone = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    """One row of each component of alike texts (see alike_components): that with the smallest id, null ids last; its
+    columns stay as they are. Ids need not tell rows apart. Texts without words are alike."""
+    rows = durable(alike_components(df, id_col, text_col, scheme).groupBy("label", "_id", "_h1", "_h2").agg(F.count("*").alias("copies")))
+    order = F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_h1", "_h2")
+    first = durable(rows.groupBy("label").agg(F.min(order).alias("first"), F.sum("copies").alias("all")).filter("all > 1"))
+    decided = durable(rows.join(first, "label").select("_id", "_h1", "_h2", "copies", order.eqNullSafe(F.col("first")).alias("kept")))
+    gone, once = (decided.filter(c).select("_id", "_h1", "_h2") for c in ("not kept", "kept and copies > 1"))
+    return without(df, id_col, text_col, gone, once)

@@ -88,3 +88,42 @@ def test_alike_texts_meet_and_others_do_not(spark):
     pairs = [(i, j) for i, _ in rows for j, _ in rows if i < j and group[i] == group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(pairs) > 40 and sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
     assert all(group[i] == group[c] for i, c in got.items())
+
+
+def alike_pair(rng, n, shared):
+    """Two texts of n shingles of five words each, of which they share ``shared``: the second goes on after the first's end."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(2 * n - shared + 4)]
+    return " ".join(words[: n + 4]), " ".join(words[n - shared :])
+
+
+def pairs_kept(spark, likeness, count):
+    """How many of ``count`` pairs of texts with this likeness keep both."""
+    rng, rows = random.Random(likeness), []
+    for _ in range(count):
+        n = rng.randrange(90, 300, 9)
+        rows += [(len(rows) + k, t) for k, t in enumerate(alike_pair(rng, n, round(2 * n * likeness / (1 + likeness))))]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    return sum(i % 2 for i in kept)
+
+
+def test_texts_below_the_likeness_stay(spark):
+    assert pairs_kept(spark, 0.75, 300) == 300 and pairs_kept(spark, 0.7, 300) == 300
+
+
+def test_keep_first_matches_comparing_all_pairs(small):
+    rows = {r["doc_id"]: r["text"] for r in small.collect()}
+    sets = {i: {*simhash.shingles(t or "", 5).tolist()} for i, t in rows.items()}
+    label = {i: i for i in rows}
+    linked = [(i, j) for i in rows for j in rows if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r["doc_id"] for r in simhash.keep_first(small).collect()} == {*label.values()}
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (5, one + " end"), (5, two), (None, one + " more"), (None, "quite different"), (None, two + " more"), (7, "same"), (7, "same")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (5, two), (None, "quite different"), (7, "same")], key=str)
