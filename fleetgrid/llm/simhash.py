@@ -54,12 +54,12 @@ def drawn(bits: int, width: int, tables: int) -> tuple[tuple[int, ...], ...]:
 #: Three words, 64 bits, radius 3: links are exact.
 CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
 #: Five words, for candidates of texts whose shingle sets are alike to LIKENESS or more. With that likeness (a cosine of 0.89)
-#: 15 % of 256 bits differ, 39 with a spread of 5.7; the radius lies near one spread above. That a candidate is alike is
+#: 15 % of 256 bits differ, 39 with a spread of 5.7; the radius lies three spreads above. That a candidate is alike is
 #: decided by the sets themselves.
-ALIKE = Scheme(5, 4, 44, drawn(256, 16, 48))
+ALIKE = Scheme(5, 4, 58, drawn(256, 14, 72), True)
 LIKENESS = 0.8
 #: Of its candidates below it within each of these distances, and within the radius, a text is compared with the first.
-TIERS = (16, 30)
+TIERS = (16, 30, 44)
 
 
 def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -366,7 +366,7 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFra
             for a, b in slices(pc.binary_length(batch.column(3)).to_pylist(), 4_000_000):
                 sets = [np.unique(shingles(t, scheme.shingle)) for t in batch.column(3).slice(a, b - a).to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(t, scheme) for t in batch.column(3).slice(a, b - a).to_pylist()], pa.binary())]
+                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([_majority(s, scheme.words) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *columns], names=["_id", "_h1", "_h2", "node", "n", "fp"])
 
     rows = df.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))

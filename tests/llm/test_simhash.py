@@ -111,6 +111,10 @@ def test_texts_below_the_likeness_stay(spark):
     assert pairs_kept(spark, 0.75, 300) == 300 and pairs_kept(spark, 0.7, 300) == 300
 
 
+def test_pairs_at_the_likeness_are_found(spark):
+    assert pairs_kept(spark, 0.8, 1000) <= 10
+
+
 def test_keep_first_matches_comparing_all_pairs(small):
     rows = {r["doc_id"]: r["text"] for r in small.collect()}
     sets = {i: {*simhash.shingles(t or "", 5).tolist()} for i, t in rows.items()}
