@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, marks, text_or_empty, without
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX = 64
@@ -39,12 +39,20 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wants ``text_sha256`` of every row: then the one scan takes the digest too and nothing is read twice; without it
     that column is null for rows that needed no full hash.
     """
+    decided = _decided(df, id_col, text_col, digest_all)
     id_type = df.schema[id_col].dataType
+    return decided.select(*(F.col(c).cast(id_type) if c in ("doc_id", "keep_id") else F.col(c) for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")))
+
+
+def _decided(df: DataFrame, id_col: str, text_col: str, digest_all: bool = False, marked: bool = False) -> DataFrame:
+    """The columns of exact_groups, and with ``marked`` the marks of each row."""
+    own = [*marks(text_col)] if marked else []
     norm = normalised(F.col("_text"))
-    source = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text")).withColumn("_norm", norm)
+    source = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"), *(marks(text_col)[k].alias(k) for k in own)).withColumn("_norm", norm)
     prefix = F.xxhash64(F.substring("_norm", 1, PREFIX))
     scan = source.select(
         "doc_id",
+        *own,
         F.length("_text").alias("points"),
         F.length("_norm").alias("len"),
         prefix.alias("prefix"),
@@ -60,37 +68,35 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = by_prefix.filter("peers is not null").drop("peers")
     if not digest_all:
         ids = durable(left.select(F.col("doc_id").alias("_id"), F.col("len").alias("_len"), F.col("prefix").alias("_prefix")).distinct())
-        again = source.select("doc_id", F.length("_text").alias("points"), F.length("_norm").alias("len"), prefix.alias("prefix"), F.sha2(F.col("_norm").cast("binary"), 256).alias("sha"))
+        again = source.select("doc_id", *own, F.length("_text").alias("points"), F.length("_norm").alias("len"), prefix.alias("prefix"), F.sha2(F.col("_norm").cast("binary"), 256).alias("sha"))
         left = again.join(ids, F.expr("doc_id <=> _id and len = _len and prefix = _prefix"), "left_semi")
         lone = lone.withColumn("sha", F.lit(None).cast("string"))
 
     # repeated rows become one with a count, so that one of them alone is kept
-    rows = durable(left.groupBy("doc_id", "points", "len", "prefix", "sha").agg(F.count("*").alias("copies")))
-    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back"), "doc_id"))
+    rows = durable(left.groupBy("doc_id", *own, "points", "len", "prefix", "sha").agg(F.count("*").alias("copies")))
+    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back"), "doc_id", *own))
     groups = durable(rows.groupBy("len", "prefix", "sha").agg(F.sum("copies").alias("group_size"), best.alias("best")))
     dealt = rows.join(groups, ["len", "prefix", "sha"])
     keeper = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == F.col("best.points"))
+    for k in own:
+        keeper = keeper & (F.col(k) == F.col(f"best.{k}"))
     grouped = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (keeper & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (keeper & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), *own
     )
-    alone = lone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    return alone.unionByName(grouped).select(*(F.col(c).cast(id_type) if c in ("doc_id", "keep_id") else F.col(c) for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")))
+    alone = lone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), *own)
+    return alone.unionByName(grouped)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without all but one of each group of equal texts; its columns stay as they are.
 
-    Ids are taken to identify rows; rows that repeat an id with the same text become one.
+    Rows are told apart by their id and text together, so ids may be null or repeated; rows that repeat both become one.
     """
-    decided = exact_groups(df, id_col, text_col)
-    dropped = durable(decided.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("_twin")))
-    others = dropped.filter(~F.col("_twin")).select("_gone").distinct()
-    kept = df.join(others, df[id_col].eqNullSafe(others["_gone"]), "left_anti")
-    twins = dropped.filter("_twin").select("_gone").distinct()
-    if twins.isEmpty():
-        return kept
-    once = kept.join(twins, kept[id_col].eqNullSafe(twins["_gone"]), "left_semi").dropDuplicates([id_col])
-    return kept.join(twins, kept[id_col].eqNullSafe(twins["_gone"]), "left_anti").unionByName(once)
+    key = [F.col("doc_id").alias("_id"), *marks(text_col)]
+    decided = _decided(df, id_col, text_col, marked=True).filter("group_size > 1").groupBy(*key).agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    decided = durable(decided)
+    gone, once = (decided.filter(c).select("_id", "_h1", "_h2") for c in ("not kept", "kept and copies > 1"))
+    return without(df, id_col, text_col, gone, once)
 
 
 #: The digest table of op4 in DuckDB.

@@ -38,3 +38,13 @@ def test_nulls_and_empty(spark, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in exact_dedup.exact_groups(df, digest_all=True).collect()), key=str) == brute(rows)
     assert exact_dedup.exact_groups(nothing).count() == 0 and exact_dedup.exact_dedup(nothing).count() == 0
+
+
+def test_null_and_repeated_ids_with_other_texts(spark):
+    def kept(*rows):
+        return sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+    assert kept((1, "longer x"), (None, "longer x"), (None, "other")) == [(1, "longer x"), (None, "other")]
+    assert kept((None, "a b"), (None, "ab"), (None, "quite different")) == [(None, "a b"), (None, "quite different")]
+    assert kept((1, "a b"), (2, "ab"), (2, "other"), (3, "x y"), (3, "x\ty"), (3, "z"), (3, "z"))[:3] == [(1, "a b"), (2, "other"), *kept((3, "x y"), (3, "x\ty"))]
+    assert kept((3, "z"), (3, "z"), (None, "z"), (3, "y"), (None, None), (None, "")) in ([(3, "y"), (3, "z"), (None, t)] for t in (None, ""))
