@@ -12,7 +12,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, marks
 
 #: Words in a block; least slots in an output shard; the mix's words as a share of all words (3/2); times a source may be used.
 BLOCK = 512
@@ -74,11 +74,12 @@ def permuted(df: DataFrame, at: str, n: str, key: str, out: str) -> DataFrame:
 
 class Mix:
     """The parts of a mix: ``documents`` (rows with their place in the word stream of their source) and ``segments``
-    (the words of a document that a slot of an output shard takes)."""
+    (the words of a document that a slot of an output shard takes). With ``marked``, documents have the marks of their text."""
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK):
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, marked: bool = False):
+        self.own = [*marks(text_col)] if marked else []
         sized = durable(
-            df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+            df.select(F.col(id_col).alias("doc_id"), *(marks(text_col)[k].alias(k) for k in self.own), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         )
         counts = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
         self.sources = durable(targets(counts))
@@ -96,8 +97,8 @@ class Mix:
         rows = rows.withColumn("bucket", _hash32("coalesce(cast(doc_id as string), '')") % buckets)
         sums = rows.groupBy("ord", "bucket").agg(F.sum("size").alias("words"))
         sums = durable(sums.withColumn("base", F.sum("words").over(Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).drop("words"))
-        inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(sums, ["ord", "bucket"]).select("doc_id", "ord", "size", (F.col("base") + F.col("inside")).alias("start"))
+        inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "size", *self.own).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(sums, ["ord", "bucket"]).select("doc_id", *self.own, "ord", "size", (F.col("base") + F.col("inside")).alias("start"))
 
     def _slots(self, block: int) -> DataFrame:
         """``ord, slot, shard, block_index, words``: each slot of the mix, and how many words of its block it takes.
@@ -157,21 +158,33 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A pass that takes all words keeps the text as it is. One that takes some of its blocks keeps those words, in
     order, with the white space before each; ``n_chars``, if there is such a column, follows the text.
-    Ids are taken to identify rows here, since the texts are joined by them.
+    A row is found again by its id, text and source together; rows that share all three are numbered, so that each gets
+    the spans of one place.
     """
-    m = Mix(df, id_col, text_col, source_col, block)
+    m = Mix(df, id_col, text_col, source_col, block, marked=True)
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
     spans = m.segments.join(m.sources.select("ord", blocks.alias("blocks")), "ord").withColumn("round", F.expr("slot div blocks"))
     spans = spans.groupBy("ord", "start", "round").agg(F.sum("n_words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans"))
-    spans = spans.join(m.documents.filter("size > 0"), ["ord", "start"]).select(F.col("doc_id").alias("_id"), "round", F.col("size").alias("_size"), "_taken", "_spans")
+    places = m.documents.filter("size > 0").join(m.sources.select("ord", "source"), "ord")
+    places = places.select(F.struct(F.col("doc_id").alias("id"), *m.own, "source").alias("_key"), "ord", "start", "size")
     # only the few documents that a pass cuts keep their list of spans
-    spans = durable(spans.withColumn("_spans", F.when(F.col("_taken") < F.col("_size"), F.col("_spans"))).drop("round"))
-    out = df.join(spans, df[id_col].eqNullSafe(spans["_id"]))
+    spans = durable(spans.join(places, ["ord", "start"]).select("_key", "ord", "start", F.when(F.col("_taken") < F.col("size"), F.col("_spans")).alias("_spans")))
+    rows = df.withColumn("_key", F.struct(F.col(id_col).alias("id"), *(c.alias(k) for k, c in marks(text_col).items()), F.col(source_col).cast("string").alias("source")))
+    repeated = durable(places.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
+    if repeated.isEmpty():
+        out = rows.join(spans.select("_key", "_spans"), "_key")
+    else:
+        out = rows.join(repeated, "_key", "left_anti").join(spans.select("_key", "_spans"), "_key")
+        again = durable(rows.join(repeated, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+        nth = lambda *by: F.row_number().over(Window.partitionBy("_key").orderBy(*by)).alias("_nth")
+        owner = again.select("_key", "_row", nth("_row")).join(places.join(repeated, "_key", "left_semi").select("_key", "ord", "start", nth("start")), ["_key", "_nth"])
+        given = durable(owner.join(spans.drop("_key"), ["ord", "start"]).select("_row", "_spans"))
+        out = out.unionByName(again.join(given, "_row").select(*out.columns))
     words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     kept = F.transform("_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")))
     cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(kept), ""))
     # the one-row explode keeps the lambda from being copied into a second column, where Spark 4.1 mixes up its variable
-    out = out.select(*(df[c] for c in df.columns if c != text_col), F.explode(F.array(cut)).alias(text_col))
+    out = out.select(*(F.col(c) for c in df.columns if c != text_col), F.explode(F.array(cut)).alias(text_col))
     columns = [F.length(text_col).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else c for c in df.columns]
     return out.select(*columns)
 

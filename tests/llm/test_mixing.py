@@ -85,3 +85,27 @@ def test_a_source_with_a_third_of_the_rows(spark):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 97 as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', concat('s', id % 50))").alias("source"))
     got = mixing.mix(df, block=16).withColumn("over", F.col("taken") > 2 * F.col("size"))
     assert got.filter("over").count() == 0
+
+
+def test_documents_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"t{i}w{k}" for k in range(20 + 7 * i)) for i in range(30)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    rows += [(5, texts[1], "b"), (5, texts[1], "a"), (None, "same text here", None), (None, "same text here", None), (9, " ", "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, got = mixing.mixed_documents(df, block=16).collect(), defaultdict(int)
+    own = defaultdict(int)
+    for i, t, s in rows:
+        for w in words(t):
+            own[i, s, w] += 1
+    taken = defaultdict(int)
+    for r in out:
+        assert any(r["doc_id"] == i and r["source"] == s and {*words(r["text"])} <= {*words(t)} for i, t, s in rows)
+        for w in words(r["text"]):
+            got[r["doc_id"], r["source"], w] += 1
+            taken[r["source"]] += 1
+    assert all(n <= mixing.TIMES * own[k] for k, n in got.items())
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    target = brute_targets(sizes)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
