@@ -1,7 +1,9 @@
 """Quality classification by ordinal cumulative-link regression.
 
 Graded ratings 0, 1, ... share one weight vector over hashed text features; ordered thresholds t_k give
-P(grade > k) = sigmoid(score - t_k). Documents are selected by such a tail probability.
+P(grade > k) = sigmoid(score - t_k). Features that tell the grade below the top one raise the last threshold of their
+text, and the score counts up to CEILING above it, so that no number of other words outvotes them. Documents are
+selected by such a tail probability.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import slices, text_or_empty
 BUCKETS, FIT_ROWS = 1 << 18, 16_000
 ROUNDS, STEP, DECAY = 300, 0.3, 1e-3
 SCREEN, KEEP = 6.0, 0.5
+#: How far above the last threshold a score counts in a text with features of the grade below the top one.
+CEILING = 3.0
 #: Texts with a feature that are added to its spread, so that features of a few texts stand out less.
 PRIOR = 10
 
@@ -53,10 +57,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model(NamedTuple):
     weights: np.ndarray
     thresholds: np.ndarray
+    brakes: np.ndarray = np.zeros(BUCKETS, dtype=np.float32)
 
-    def tails(self, score: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each text and threshold k; its row sums are the expected grades."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds - score[:, None], -60, 60)))
+    def tails(self, score: np.ndarray, brake: np.ndarray | None = None) -> np.ndarray:
+        """P(grade > k) for each text and threshold k; its row sums are the expected grades. ``brake`` (0 or more) lowers the last."""
+        out = 1 / (1 + np.exp(np.clip(self.thresholds - score[:, None], -60, 60)))
+        if brake is not None:
+            held = np.minimum(score, self.thresholds[-1] + CEILING) - self.thresholds[-1] - brake
+            out[:, -1] = np.where(brake > 0, 1 / (1 + np.exp(np.clip(-held, -60, 60))), out[:, -1])
+        return out
 
 
 def fit_model(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray) -> Model:
@@ -101,7 +110,36 @@ def fit_model(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.nd
         cuts = np.maximum.accumulate(cuts - move[len(w) :])
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[chosen] = w / np.sqrt(spread[chosen])
-    return Model(weights, cuts)
+    brakes = fit_brakes(np.bincount(doc, w[column] * value, n) - cuts[-1], buckets, values, grades) if top > 1 else np.zeros(BUCKETS, dtype=np.float32)
+    return Model(weights, cuts, brakes)
+
+
+def fit_brakes(above: np.ndarray, buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+    """Weights of 0 or more of the features that are more common in the grade below the top one than in the top one, beyond
+    chance, given how far scores lie above the last threshold. Maximum likelihood of these two grades."""
+    top, out = int(grades.max()), np.zeros(BUCKETS, dtype=np.float32)
+    pick = np.flatnonzero(grades >= top - 1)
+    good, above = grades[pick] == top, np.minimum(above[pick], CEILING)
+    a, b = good.sum(), len(pick) - good.sum()
+    if not a or not b:
+        return out
+    doc = np.repeat(np.arange(len(pick)), [len(buckets[i]) for i in pick])
+    column, value = np.concatenate([buckets[i] for i in pick]), np.concatenate([values[i] for i in pick]).astype(np.float64)
+    total, square, mine = np.bincount(column, value, BUCKETS), np.bincount(column, value * value, BUCKETS), np.bincount(column, value * good[doc], BUCKETS)
+    spread = np.maximum(square / len(pick) - (total / len(pick)) ** 2, 0) + PRIOR / len(pick) * np.minimum(square / np.maximum(total, 1e-12), 1) ** 2 + 1e-12
+    chosen = np.flatnonzero(((total - mine) / b - mine / a) / np.sqrt(spread * (1 / a + 1 / b)) >= SCREEN)
+    slot = np.full(BUCKETS, -1)
+    slot[chosen] = np.arange(len(chosen))
+    used = slot[column] >= 0
+    doc, column, value = doc[used], slot[column[used]], value[used]
+    u, first, second = (np.zeros(len(chosen)) for _ in range(3))
+    for step in range(1, ROUNDS + 1):
+        chance = 1 / (1 + np.exp(np.clip(np.bincount(doc, u[column] * value, len(pick)) - above, -60, 60)))
+        grad = np.bincount(column, (good - chance)[doc] * value, len(chosen)) / len(pick) + DECAY * u / 100
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        u = np.maximum(u - STEP / np.sqrt(step) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), 0)
+    out[chosen] = u
+    return out
 
 
 def learn(rated: DataFrame, text_col: str = "text", grade_col: str = "grade") -> Model:
@@ -124,32 +162,32 @@ def learn(rated: DataFrame, text_col: str = "text", grade_col: str = "grade") ->
             values += [np.frombuffer(x, dtype=np.float32) for x in batch.column(2).to_pylist()]
         order = sorted(range(len(grades)), key=lambda i: (grades[i], zlib.crc32(buckets[i]), len(buckets[i])))  # whatever the order of arrival
         model = fit_model([buckets[i] for i in order], [values[i] for i in order], np.array([grades[i] for i in order], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tobytes()], pa.binary())], names=["w", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tobytes()], pa.binary()), pa.array([model.brakes.tobytes()], pa.binary())], names=["w", "t", "u"])
 
     rows = rated.filter(F.col(grade_col).isNotNull()).select(F.col(grade_col).cast("int").alias("grade"), text_or_empty(text_col).alias("_text"))
     made = rows.mapInArrow(featured, "grade int, b binary, v binary").repartition(1)
-    w, t = made.mapInArrow(fitted, "w binary, t binary").first()
-    return Model(np.frombuffer(w, dtype=np.float32), np.frombuffer(t, dtype=np.float64))
+    w, t, u = made.mapInArrow(fitted, "w binary, t binary, u binary").first()
+    return Model(np.frombuffer(w, dtype=np.float32), np.frombuffer(t, dtype=np.float64), np.frombuffer(u, dtype=np.float32))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, expected_grade, tails`` (P(grade > k) for k = 0, 1, ...) of every whole text."""
-    weights = df.sparkSession.sparkContext.broadcast(model.weights)  # BUCKETS numbers, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(tuple(model))  # two times BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, tails in _tails(batch.column(1), weights.value, model.thresholds):
+            for a, b, tails in _tails(batch.column(1), Model(*shared.value)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=["doc_id", "expected_grade", "tails"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
 
 
-def _tails(texts: pa.Array, weights: np.ndarray, thresholds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def _tails(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
     """P(grade > k) of the texts, some rows at a time; null texts count as empty."""
-    model = Model(weights, thresholds)
     for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 4_000_000):
         made = map(features, (t or "" for t in texts.slice(a, b - a).to_pylist()))
-        yield a, b, model.tails(np.array([float(weights[buckets] @ values) for buckets, values in made]))
+        both = np.array([(float(model.weights[buckets] @ values), float(model.brakes[buckets] @ values)) for buckets, values in made]).reshape(-1, 2)
+        yield a, b, model.tails(both[:, 0], both[:, 1])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -184,12 +222,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_selected(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are selected, with their columns as they are; nothing is shuffled for it."""
     model = learn(rated(docs, labels), text_col)
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, tails in _tails(batch.column(at), weights.value, model.thresholds):
+            for a, b, tails in _tails(batch.column(at), Model(*shared.value)):
                 yield batch.slice(a, b - a).filter(pa.array(tails[:, -1] >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,3 +34,13 @@ def test_odd_rows(spark, docs, nothing):
 def test_reruns_agree(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     assert sorted(quality.classify(docs.repartition(5), labels).collect()) == sorted(quality.classify(docs, labels).collect())
+
+
+def test_held_out_documents_with_insults_go(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    insults = "idiot|moron|scum|trash|worthless|pathetic|loser|disgusting|clown|stupid"
+    said = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit(rf"\b({insults})\b")).alias("insults"))
+    got = quality.classify(docs, labels).join(labels, "doc_id").join(said, "doc_id").filter("held_out and quality = 1").select("toxic", "insults", "selected").collect()
+    toxic = [r["selected"] for r in got if r["toxic"] == 1 and r["insults"] >= 3]
+    clean = [r["selected"] for r in got if r["toxic"] == 0]
+    assert len(toxic) > 40 and not any(toxic) and sum(clean) > 0.985 * len(clean)
