@@ -12,7 +12,6 @@ from ..functions.rays import ray
 from ..grid import CELL, FRAME, Grid
 from ..operators import boxes as bx
 from ..operators import catalog, metrics, preprocess, reports, tier1, tier2
-from ..operators.solver import Settings
 from . import fixtures as fx
 from .oracle import HIGH_OK, K, RANGE_OK, fold, sql
 
@@ -471,8 +470,7 @@ def w1_closest_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w4_trace(spark: SparkSession, d: str) -> DataFrame:
-    solved = tier2.frame_maps(_kept(spark, d), Settings(max_iter=40)).withColumn("beta", F.lit(1.0))
-    return reports.trace(solved)
+    return reports.trace(tier2.swept_maps(reports.sweep(_kept(spark, d), beta=[0.0, 1.0]), ["beta"]))
 
 
 @query(
@@ -499,7 +497,7 @@ def t3_sectors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t4_window_solve(spark: SparkSession, d: str) -> DataFrame:
     window = tier1.window_points(fx.points(spark, d), fx.frames(spark, d), 1)
-    return tier2.window_maps(window, settings=Settings(max_iter=15)).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
+    return tier2.window_maps(window).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
 
 
 @query()
@@ -510,7 +508,7 @@ def t5_tiles(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t6_sweep(spark: SparkSession, d: str) -> DataFrame:
     points = reports.sweep(_kept(spark, d), beta=[0.0, 1.0])
-    return tier2.swept_maps(points, ["beta"], Settings(max_iter=40)).select(*FRAME, "beta", "iters", "converged", "error")
+    return tier2.swept_maps(points, ["beta"]).select(*FRAME, "beta", "iters", "converged", "error")
 
 
 # --- catalogue

@@ -196,3 +196,11 @@ def test_camera_frames(spark):
     r, t = g.camera_calibration(tr)
     got = spark.range(1).select(r.alias("r"), t.alias("t")).first()
     assert got["r"] == [0, -1, 0, 1, 0, 0, 0, 0, 1] and got["t"] == pytest.approx([0.1, 0.3, -0.2])
+
+
+def test_solver_queries_run_to_the_default_limit(spark):
+    from fleetgrid.plans.queries import QUERIES
+
+    rows = QUERIES["w4_trace"](spark, "/root/testdata/sf0.001").groupBy("beta").agg({"iteration": "max"}).collect()
+    most = {r["beta"]: r["max(iteration)"] for r in rows}
+    assert most.keys() == {0.0, 1.0} and 40 < max(most.values()) <= 150
