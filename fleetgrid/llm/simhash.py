@@ -16,16 +16,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, marks, slices, text_or_empty, without
 
 SEED = 42
-#: Fingerprints compared in one group; larger buckets are dealt out as pairs of parts of this size.
+#: Fingerprints compared in one group; larger buckets are dealt out in parts of this size.
 PART = 1024
-#: Planes added between looks at which words can be abandoned.
+#: Planes added between looks at which words can be abandoned, and pairs looked at together.
 LOOK = 16
+AT_ONCE = 1 << 20
 
 
 class Scheme(NamedTuple):
@@ -58,8 +59,8 @@ CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
 #: decided by the sets themselves.
 ALIKE = Scheme(5, 4, 58, drawn(256, 14, 72), True)
 LIKENESS = 0.8
-#: Of its candidates below it within each of these distances, and within the radius, a text is compared with the first.
-TIERS = (16, 30, 44)
+#: Besides its nearest candidate, a text is first compared with the first of those below it within each of these distances.
+TIERS = (30, 44)
 
 
 def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -120,34 +121,65 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def near(sliced: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np.ndarray:
-    """Positions i with ``wanted[i]`` whose fingerprint differs from that of i + shift in ``radius`` bits at most."""
-    at, by = divmod(shift, 64)
-    live = np.zeros(-(-len(wanted) // 64) * 64, dtype=bool)
-    live[: len(wanted)] = wanted
-    alive = np.packbits(live, bitorder="little").view("<u8")
-    words = np.flatnonzero(alive)
-    over = ~alive[words]
+def near(sliced: np.ndarray, words: np.ndarray, shifts: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of 64 fingerprints at a time differ in ``radius`` bits at most from those ``shift`` places on.
+
+    ``words[k]`` names a word of 64 positions and ``alive[k]`` has a bit for each of them that is to be compared; returned
+    are k and the bit. All comparisons go on together, plane by plane; words of which all 64 are over are abandoned.
+    """
+    over, k, by = ~alive, np.arange(len(words)), (shifts % 64).astype(np.uint64)
+    low, high = (np.minimum(words + shifts // 64 + x, sliced.shape[1] - 1) for x in (0, 1))
     # counters start so far below their end that the first difference too many overflows
     width = radius.bit_length()
     start = (1 << width) - 1 - radius
     counters = [np.full(len(words), -(start >> j & 1), dtype=np.int64).view(np.uint64) for j in range(width)]
-    low, high = words + at, np.minimum(words + at + 1, sliced.shape[1] - 1)
     for b, row in enumerate(sliced, 1):
-        carry = row[words] ^ (row[low] >> np.uint64(by) | row[high] << np.uint64(64 - by) if by else row[low])
+        carry = row[words] ^ (row[low] >> by | row[high] << (np.uint64(64) - by))  # a shift by 64 gives 0
         for j in range(width):
             counters[j], carry = counters[j] ^ carry, counters[j] & carry
         over |= carry
         if b % LOOK == 0 and b > radius:
             keep = np.flatnonzero(~over)
-            if not len(keep):
-                return keep
-            if len(keep) < len(words):
-                words, low, high, over = (x[keep] for x in (words, low, high, over))
+            if len(keep) < len(k):
+                k, words, low, high, by, over = (x[keep] for x in (k, words, low, high, by, over))
                 counters = [c[keep] for c in counters]
+            if not len(keep):
+                break
     hits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    word, bit = np.nonzero(hits)
-    return words[word] * 64 + bit
+    at, bit = np.nonzero(hits)
+    return k[at], bit
+
+
+def _hits(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by key: positions i < j of links between equal keys, those nearest in place first; ``also`` may rule out pairs."""
+    rows, group, first, until = np.arange(len(keys)), keys, 1, 2
+    while len(rows):
+        # only groups with a row as many places on go on
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+        going = np.repeat(sizes > first, sizes)
+        rows, group = rows[going], group[going]
+        if not len(rows):
+            break
+        sliced, n, most = planes(fps[rows]), len(rows), int(sizes.max())
+        step = max(1, AT_ONCE // n)
+        for a in range(first, min(until, most), step):
+            shifts = np.arange(a, min(a + step, until, most))
+            i = np.arange(n)
+            j = np.minimum(i + shifts[:, None], n - 1)
+            wanted = (group == group[j]) & (i + shifts[:, None] < n)
+            if also:
+                wanted &= also(rows[None, :], rows[j])
+            live = np.zeros((len(shifts), -(-n // 64) * 64), dtype=bool)
+            live[:, :n] = wanted
+            alive = np.packbits(live, axis=1, bitorder="little").view("<u8")
+            at, word = np.nonzero(alive)
+            if len(at):
+                k, bit = near(sliced, word, shifts[at], alive[at, word], radius)
+                if len(k):
+                    own = word[k] * 64 + bit
+                    yield rows[own], rows[own + shifts[at[k]]]
+        first, until = until, until * 4
 
 
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -158,33 +190,10 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def _hits(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows sorted by key: positions i < j of links between equal keys, those nearest in place first; ``also`` may rule out pairs."""
-    n = len(keys)
-    rows, sliced, group = np.arange(n), None, keys
-    for shift in range(1, n):
-        wanted = group[:-shift] == group[shift:] if len(group) > shift else np.zeros(0, dtype=bool)
-        if not wanted.any():
-            break
-        if sliced is None or shift in (2, 4, 16, 64, 256):
-            # only groups with more than shift rows go on
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            sizes = np.diff(np.r_[starts, len(group)])
-            going = np.repeat(sizes > shift, sizes)
-            rows, group = rows[going], group[going]
-            sliced = planes(fps[rows])
-            wanted = group[:-shift] == group[shift:]
-        if also:
-            wanted = wanted & also(rows[:-shift], rows[shift:])
-        i = near(sliced, shift, wanted, radius)
-        if len(i):
-            yield rows[i], rows[i + shift]
-
-
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For rows sorted by key: the position that stands for each row's component under links between equal keys."""
     parent = np.arange(len(keys))
-    for i, j in _hits(keys, fps, radius):
+    for i, j in _hits(keys, fps, radius, also):
         a, b = _roots(parent, i), _roots(parent, j)
         for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
             while parent[x] != x:
@@ -197,13 +206,26 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     return parent
 
 
-def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
-    """Rows ``key, part, rep, fp`` and the columns ``more``, in the order of the first three: groups of which each pair is to be compared.
+def _masks(scheme: Scheme) -> np.ndarray:
+    """The bits of each table, as words that lie like those of a fingerprint."""
+    bits = np.zeros((len(scheme.tables), 64 * scheme.words), dtype=np.uint8)
+    for n, table in enumerate(scheme.tables):
+        bits[n, list(table)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
 
-    A bucket over PART rows is dealt out as all pairs of its parts, so a group holds two parts at most.
-    """
+
+def _met_before(differ: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs, given by the bits in which they differ, share the bits of a table before ``table``: each pair counts once."""
+    met = np.zeros(len(differ), dtype=bool)
+    for n in range(int(table.max(initial=0))):
+        still = np.flatnonzero(~met & (table > n))
+        met[still] = ~(differ[still] & masks[n]).any(axis=1)
+    return met
+
+
+def _keyed(reps: DataFrame, scheme: Scheme, names: list[str]) -> DataFrame:
+    """``key`` and the columns ``names`` (rep, fp, ...): a row for each table."""
     size = 8 * scheme.words
-    names = ["rep", "fp", *more]
     kinds = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in names)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,21 +237,87 @@ def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
                     key = bits[:, list(table)] @ (1 << np.arange(len(table), dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", *names])
 
-    rows = reps.select(*names).mapInArrow(keyed, f"key long, {kinds}")
-    large = durable(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key", F.ceil(F.col("n") / PART).alias("parts")))
-    own = F.pmod(F.xxhash64("rep"), "parts")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
-    dealt = rows.join(large, "key").select("key", F.explode(pairs).alias("part"), *names)
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
+    return reps.select(*names).mapInArrow(keyed, f"key long, {kinds}")
+
 
+def _part(n: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col(n))
 
-def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
-    """Whole groups of the rows of _dealt: a number of the group in place of key and part, then the other columns."""
+
+def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> tuple[DataFrame, bool]:
+    """Rows ``key, part, split, rep, fp`` and the columns ``more``, in the order of key and part; and whether a bucket was split.
+
+    A bucket over PART rows is dealt out to parts, each row to one of them. Its first row goes to every part, so that
+    what is near to it meets there; other pairs of a split bucket may not meet (see _dealt_again).
+    """
+    names = ["rep", "fp", *more]
+    rows = _keyed(reps, scheme, names)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
+    large = durable(counts.select("key", F.ceil(F.col("n") / PART).alias("parts"), "first"))
+    met = rows.join(large, "key")
+    own = F.when((F.col("rep") == F.col("first")) & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
+    dealt = met.select("key", F.explode(own).alias("part"), (F.col("parts") > 1).alias("split"), *names)
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep"), not large.filter("parts > 1").isEmpty()
+
+
+def _dealt_again(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
+    """Rows ``key, part, side, rep, fp`` and the columns ``more``, one of which is ``label``: groups in which each pair of rows
+    of a bucket whose labels differ meets.
+
+    Buckets with one label are left out. In a bucket over PART rows, those of the most common label needn't meet each other: they are
+    dealt out to parts once for each part of the rest, and the rest alone is dealt out as pairs of its parts.
+    In a group of both, ``side`` is 1 for the rest and 2 for the common label, else 0; equal sides above 0 needn't be compared.
+    """
+    names = ["rep", "fp", *more]
+    rows = _keyed(reps, scheme, names)
+    mixed = durable(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "n"))
+    small = rows.join(mixed.filter(F.col("n") <= PART).select("key"), "key").select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), *names)
+    large = mixed.filter(F.col("n") > PART)
+    if large.isEmpty():
+        out = small
+    else:
+        in_large = rows.join(large.select("key", "n"), "key")
+        labels = in_large.groupBy("key", "label", "n").agg(F.count("*").alias("of_label"))
+        common = labels.groupBy("key", "n").agg(F.max(F.struct("of_label", "label")).alias("most"))
+        common = durable(common.select("key", F.col("most.label").alias("common"), F.ceil(F.col("most.of_label") / PART).alias("pm"), F.ceil((F.col("n") - F.col("most.of_label")) / PART).alias("pr")))
+        met = rows.join(common, "key").withColumns({"m": _part("pm"), "r": _part("pr")})
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        group = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
+        across = lambda r, m: F.col("pr") * F.col("pr") + r * F.col("pm") + m
+        of_common = F.transform(upto("pr"), lambda r: group(across(r, F.col("m")), 2))
+        with_rest = F.transform(upto("pr"), lambda r: group(F.least(F.col("r"), r) * F.col("pr") + F.greatest(F.col("r"), r), 0))
+        with_common = F.transform(upto("pm"), lambda m: group(across(F.col("r"), m), 1))
+        groups = F.when(F.col("label") == F.col("common"), of_common).otherwise(F.concat(with_rest, with_common))
+        out = small.unionByName(met.select("key", F.explode(groups).alias("g"), *names).select("key", "g.part", "g.side", *names))
+    return out.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
+
+
+class _Group(NamedTuple):
+    """Whole groups of dealt rows, sorted by group: its number, the table of its key, the third column, and the others."""
+
+    number: np.ndarray
+    table: np.ndarray
+    mark: np.ndarray
+    rep: np.ndarray
+    fp: np.ndarray
+    more: list[np.ndarray]
+
+    def pairs(self, radius: int, masks: np.ndarray, also: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """i, j and the bits in which they differ, of pairs that no table before has shown."""
+        wide = np.ascontiguousarray(self.fp).view(np.uint64)
+        for i, j in _hits(self.number, self.fp, radius, also):
+            differ = wide[i] ^ wide[j]
+            new = ~_met_before(differ, self.table[i], masks)
+            if new.any():
+                yield i[new], j[new], np.bitwise_count(differ[new]).sum(axis=1, dtype=np.int64)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Group]:
     kept = None
     for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
-        new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, size))
-        new += [c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+        new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, size))
+        new += [c.to_numpy(zero_copy_only=False) for c in batch.columns[5:]]
         columns = [np.concatenate([k, c]) for k, c in zip(kept, new, strict=True)] if kept else new
         last = np.flatnonzero(_changes(*columns[:2]))
         end = int(last[-1]) + 1 if len(last) else 0
@@ -244,25 +332,51 @@ def _changes(key: np.ndarray, part: np.ndarray) -> np.ndarray:
     return (key[1:] != key[:-1]) | (part[1:] != part[:-1])
 
 
-def _numbered(columns: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.cumsum(np.r_[True, _changes(*columns[:2])]), *columns[2:]]
+def _numbered(columns: list[np.ndarray]) -> _Group:
+    key, part, mark, rep, fp, *more = columns
+    return _Group(np.cumsum(np.r_[True, _changes(key, part)]), key >> 32, mark, rep, fp, more)
 
 
 def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """Edges ``a, b`` between rows of ``rep, fp`` (distinct fingerprints): enough of them to join all that is linked.
 
-    A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs.
+    A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs. Where buckets
+    were split, what isn't joined yet is compared again.
     """
     size, radius = 8 * scheme.words, scheme.radius
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An edge from each row to what stands for its component."""
-        for group, rep, fp in _grouped(batches, size):
-            root = linked(group, fp, radius)
+        for g in _grouped(batches, size):
+            root = linked(g.number, g.fp, radius)
+            own = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(g.rep[root[own]])], names=["a", "b"])
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, size):
+            root = linked(g.number, g.fp, radius, _apart(g))
             own = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(g.rep[root[own]])], names=["a", "b"])
+
+    dealt, split = _dealt(reps, scheme)
+    edges = dealt.mapInArrow(linking, "a long, b long").filter("a <> b").distinct()
+    if not split:
+        return edges
+    edges = durable(edges)
+    of = components(edges)
+    labelled = durable(reps.join(of, reps["rep"] == of["node"], "left").select("rep", "fp", F.coalesce("label", "rep").alias("label")))
+    return edges.unionByName(_dealt_again(labelled, scheme, "label").mapInArrow(joining, "a long, b long").distinct())
 
-    return _dealt(reps, scheme).mapInArrow(linking, "a long, b long")
+
+def _apart(g: _Group, n: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Pairs that are to be compared in a group of _dealt_again; with sizes ``n``, those that can be alike."""
+    label = g.more[-1] if n is None else g.more[1]
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = (label[i] != label[j]) & ((g.mark[i] != g.mark[j]) | (g.mark[i] == 0))
+        return out if n is None else out & _fit(n, i, j)
+
+    return wanted
 
 
 def _fit(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -270,36 +384,82 @@ def _fit(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.minimum(n[i], n[j]) >= LIKENESS * np.maximum(n[i], n[j]) - 1e-9
 
 
-def first_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b: for each row b of ``rep, fp, n`` its least candidate by each tier of distance. A row that is in none has no candidate at all."""
-    size, radius = 8 * scheme.words, scheme.radius
-    tiers = (*(t for t in TIERS if t < radius), radius)
+def _least(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """For each distinct value of ``group``: the position of its row that is first by ``by``."""
+    order = np.lexsort((*reversed(by), group))
+    return order[np.r_[True, group[order][1:] != group[order][:-1]]] if len(order) else order
+
+
+def first_candidates(reps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` with a < b: for each row of ``rep, fp, n`` its nearest candidate, and its first ones within each of TIERS; and
+    ``node``: every row that has a candidate, or may have one in another part of a split bucket."""
+    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
 
     def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rep, fp, n in _grouped(batches, size):
-            least = np.full((len(tiers), len(rep)), -1)
-            wide = np.ascontiguousarray(fp).view(np.uint64)
-            for i, j in _hits(group, fp, radius, lambda i, j, n=n: _fit(n, i, j)):
-                far = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1)
-                for k, tier in enumerate(tiers):
-                    least[k, j[far <= tier]] = i[far <= tier]  # later hits have smaller i
-            k, j = np.nonzero(least >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[j]), pa.array(k), pa.array(rep[least[k, j]])], names=["b", "tier", "a"])
+        for g in _grouped(batches, size):
+            n = g.more[0]
+            near_d, near_a = np.full(len(n), 1 << 20), np.full(len(n), -1)
+            least = np.full((len(TIERS), len(n)), -1)  # rows are sorted by rep in a group
+            for i, j, far in g.pairs(radius, masks, lambda i, j, n=n: _fit(n, i, j)):
+                for x, y in ((i, j), (j, i)):
+                    best = _least(x, far, y)
+                    x, y, d = x[best], y[best], far[best]
+                    nearer = d < near_d[x]
+                    near_d[x[nearer]], near_a[x[nearer]] = d[nearer], y[nearer]
+                for k, tier in enumerate(TIERS):
+                    own, low = j[far <= tier], i[far <= tier]
+                    best = _least(own, low)
+                    own, low = own[best], low[best]
+                    before = least[k, own]
+                    least[k, own] = np.where(before < 0, low, np.minimum(before, low))
+            at = np.flatnonzero((near_a >= 0) | g.mark.astype(bool))
+            name = lambda p, at=at, g=g: pa.array(g.rep[p[at]], mask=p[at] < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(g.rep[at]), pa.array(near_d[at]), name(near_a), *(name(x) for x in least)], names=["node", "far", "near", *(f"least{t}" for t in TIERS)])
+
+    dealt, _ = _dealt(reps, scheme, "n")
+    tiers = [f"least{t}" for t in TIERS]
+    found = dealt.mapInArrow(finding, f"node long, far long, near long, {', '.join(f'{t} long' for t in tiers)}")
+    found = durable(found.groupBy("node").agg(F.min(F.struct("far", "near")).alias("best"), *(F.min(t).alias(t) for t in tiers)))
+    other = F.explode(F.array_distinct(F.filter(F.array("best.near", *tiers), lambda x: x.isNotNull())))
+    return _ordered(found.select(F.col("node").alias("a"), other.alias("b"))), found.select("node")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def nearest_apart(reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``a, b`` with a < b among rows of ``rep, fp, n, label, of_label`` (rows of the label): for each row and each other label with
+    as many rows or more, the nearest candidate of that label."""
+    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
 
-    found = _dealt(reps, scheme, "n").mapInArrow(finding, "b long, tier long, a long")
-    return found.groupBy("b", "tier").agg(F.min("a").alias("a")).select("a", "b").distinct()
+    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, size):
+            n, label, of_label = g.more
+            for i, j, far in g.pairs(radius, masks, _apart(g, n)):
+                swap = (of_label[i] < of_label[j]) | (of_label[i] == of_label[j]) & (label[i] < label[j])
+                own, other = np.where(swap, i, j), np.where(swap, j, i)
+                order = np.lexsort((g.rep[other], far, label[other], own))
+                own, other, far = own[order], other[order], far[order]
+                first = np.r_[True, (own[1:] != own[:-1]) | (label[other[1:]] != label[other[:-1]])]
+                own, other, far = own[first], other[first], far[first]
+                yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(label[other]), pa.array(far), pa.array(g.rep[other])], names=["own", "of", "far", "other"])
+
+    found = _dealt_again(reps, scheme, "n", "label", "of_label").mapInArrow(finding, "own long, of long, far long, other long")
+    best = found.groupBy("own", "of").agg(F.min(F.struct("far", "other")).alias("best"))
+    return _ordered(best.select(F.col("own").alias("a"), F.col("best.other").alias("b")))
 
 
 def open_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label`` whose labels differ."""
-    size, radius = 8 * scheme.words, scheme.radius
+    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label`` whose labels differ, once."""
+    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
 
     def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rep, fp, n, label in _grouped(batches, size):
-            for i, j in _hits(group, fp, radius, lambda i, j, n=n, label=label: (label[i] != label[j]) & _fit(n, i, j)):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
+        for g in _grouped(batches, size):
+            for i, j, _ in g.pairs(radius, masks, _apart(g, g.more[0])):
+                yield pa.RecordBatch.from_arrays([pa.array(g.rep[i]), pa.array(g.rep[j])], names=["a", "b"])
 
-    return _dealt(reps, scheme, "n", "label").mapInArrow(finding, "a long, b long").distinct()
+    return _ordered(_dealt_again(reps, scheme, "n", "label").mapInArrow(finding, "a long, b long"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,21 +483,32 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches. Nodes without edges are left out.
 
-    Rounds of taking the least label among neighbours, then the label of that label, until nothing changes. Every
-    round is written to the shared checkpoint folder; what is joined is read from there, so that adaptive execution
-    can split the rows of a node with many edges.
+    In each round a node takes the least of itself and its neighbours, then what that one has taken, and so on to the
+    end, twice as far each time; edges are rewritten to what their ends have taken, and those inside one label go. What is left
+    has half the nodes at most, and no round joins all edges again. Every round is written to the shared checkpoint folder; what is joined is read from
+    there, so that adaptive execution can split the rows of a node with many edges.
     """
-    both = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
-    while True:
-        seen = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        lower = durable(seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        of = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = durable(lower.join(of, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")))
-        before = labels.withColumnRenamed("label", "before")
-        if jumped.join(before, "node").filter("label <> before").isEmpty():
-            return jumped
-        labels = jumped
+    conf, known = edges.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(known)
+    # a checkpoint keeps what is known of its columns; renamed round by round, that grows until planning takes minutes
+    conf.set(known, "false")
+    try:
+        edges = durable(edges.select("a", "b").filter("a <> b").distinct())
+        labels = durable(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node")))
+        while not edges.isEmpty():
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            took = durable(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("old"), F.least("a", "least").alias("new")))
+            more = True
+            while more:
+                further = durable(took.alias("t").join(took.alias("u"), F.col("t.new") == F.col("u.old")).select("t.old", "u.new", F.col("t.new").alias("was")))
+                more, took = not further.filter("new <> was").isEmpty(), further.drop("was")
+            moved = lambda df, c, took=took: df.join(took, df[c] == took["old"]).drop("old", c).withColumnRenamed("new", c)
+            edges = durable(moved(moved(edges, "a"), "b").filter("a <> b").distinct())
+            kept = labels.join(took, labels["label"] == took["old"], "left")
+            labels = durable(kept.select("node", F.coalesce("new", "label").alias("label")))
+        return labels
+    finally:
+        conf.set(known, before)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
@@ -352,7 +523,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = durable(fingerprints(df, id_col, text_col, scheme))
     reps = durable(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # an id repeated with other texts may stand for several fingerprints; then these are one component by the id
-    found = components(links(reps, scheme).filter("a <> b"))
+    found = components(links(reps, scheme))
     classes = durable(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
     out = prints.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -391,22 +562,28 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``_id, _h1, _h2, label`` of every row; rows of one label are joined by links of texts alike to LIKENESS or more.
 
     Fingerprints give the candidates and the sets of shingles decide. First each text is compared with a few of its
-    candidates, which joins most of what is alike; then every candidate pair that is still apart is compared, so
-    each candidate pair is either compared or already joined, and a large group of near copies never yields its pairs.
+    candidates, which joins most of what is alike; then with its nearest in each other component; and then every
+    candidate pair that is still apart is compared. So each candidate pair is either compared or already joined, and a
+    large group of near copies never yields its pairs.
     """
     rows = durable(_nodes(df, id_col, text_col, scheme))
     reps = durable(rows.groupBy("node").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     reps = reps.withColumnRenamed("node", "rep")
-    some = durable(first_candidates(reps, scheme))
-    nodes = durable(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct())
-    near_ones = durable(reps.join(nodes, reps["rep"] == nodes["node"], "left_semi"))
+    some, near_ones = first_candidates(reps, scheme)
+    some, near_ones = durable(some), durable(reps.join(near_ones, reps["rep"] == near_ones["node"], "left_semi"))
     sets = durable(_sets(df, id_col, text_col, near_ones.select("row.*", F.col("rep").alias("node")), scheme.shingle))
-    good = durable(alike(some, sets))
+    tested, good = some, durable(alike(some, sets))
     joined = components(good)
-    labelled = durable(near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", F.coalesce("label", "rep").alias("label")))
-    more = durable(alike(open_candidates(labelled, scheme).join(some, ["a", "b"], "left_anti"), sets))
-    if not more.isEmpty():
-        joined = components(good.unionByName(more))
+    for search in (nearest_apart, open_candidates):
+        labelled = near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", F.coalesce("label", "rep").alias("label"))
+        labelled = durable(labelled)
+        of_label = labelled.groupBy("label").agg(F.count("*").alias("of_label"))
+        found = durable(search(labelled.join(of_label, "label"), scheme).join(tested, ["a", "b"], "left_anti"))
+        more = durable(alike(found, sets))
+        tested = tested.unionByName(found)
+        if not more.isEmpty():
+            good = good.unionByName(more)
+            joined = components(good)
     return rows.join(joined, "node", "left").select("_id", "_h1", "_h2", F.coalesce("label", rows["node"]).alias("label"))
 
 

@@ -71,7 +71,11 @@ def test_bit_sliced_distances():
         for shift in (1, 63, 64, 65, 150, 299):
             n = len(fps) - shift
             want = [i for i in range(n) if np.bitwise_count(fps[i] ^ fps[i + shift]).sum() <= radius]
-            assert simhash.near(sliced, shift, np.ones(n, dtype=bool), radius).tolist() == want
+            alive = np.packbits(np.arange(320) < n, bitorder="little").view("<u8")
+            k, bit = simhash.near(sliced, np.arange(5), np.full(5, shift), alive, radius)
+            assert (k * 64 + bit).tolist() == want
+        got = sorted((int(i), int(j)) for a, b in simhash._hits(np.arange(300) // 200, fps, radius) for i, j in zip(a, b, strict=True))
+        assert got == [(i, j) for i in range(300) for j in range(i + 1, 300) if i // 200 == j // 200 and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius]
 
 
 def test_alike_texts_meet_and_others_do_not(spark):
@@ -126,6 +130,41 @@ def test_keep_first_matches_comparing_all_pairs(small):
     assert {r["doc_id"] for r in simhash.keep_first(small).collect()} == {*label.values()}
 
 
+def test_chained_copies_in_split_buckets(spark, monkeypatch):
+    """Copies of copies: many are alike by way of others only; buckets over PART rows are dealt out in parts."""
+    rng, texts = random.Random(8), []
+    for _ in range(3):
+        chain = [[f"w{rng.randrange(10**6)}" for _ in range(120)]]
+        for _ in range(60):
+            words = list(rng.choice(chain))
+            for at in rng.sample(range(120), 2):
+                words[at] = f"x{rng.randrange(10**6)}"
+            chain.append(words)
+        texts += [" ".join(w) for w in chain]
+    sets = [{*simhash.shingles(t, 5).tolist()} for t in texts]
+    label = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 3 <= len({*label}) < 100
+    for part in (1024, 16):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {*label}
+
+
+def test_components_match_a_plain_search(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200, i) for i in range(170, 230)]
+    label = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
 def test_keep_first_with_null_and_repeated_ids(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(1, one), (5, one + " end"), (5, two), (None, one + " more"), (None, "quite different"), (None, two + " more"), (7, "same"), (7, "same")]
