@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table to the shared folder and reads it again; all but the last one written go at the end.
+
+    For loops: a checkpoint keeps what is known of its columns and every way in which its joins were dealt, which grows from
+    round to round until planning takes minutes. A table that is read is known by its columns and size alone.
+    """
+    folder, paths = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def written(df: DataFrame) -> DataFrame:
+        paths.append(f"{folder}/{len(paths)}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    yield written
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths[:-1]:
+        at = files.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes add up to about ``most`` (one row at least)."""
     start = total = at = 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, marks, slices, text_or_empty, without
+from .common import durable, marks, scratch, slices, text_or_empty, without
 
 SEED = 42
 #: Fingerprints compared in one group; larger buckets are dealt out in parts of this size.
@@ -484,31 +484,26 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches. Nodes without edges are left out.
 
     In each round a node takes the least of itself and its neighbours, then what that one has taken, and so on to the
-    end, twice as far each time; edges are rewritten to what their ends have taken, and those inside one label go. What is left
-    has half the nodes at most, and no round joins all edges again. Every round is written to the shared checkpoint folder; what is joined is read from
-    there, so that adaptive execution can split the rows of a node with many edges.
+    end, twice as far each time; edges are rewritten to what their ends have taken, and those inside one label go. What is
+    left has half the nodes at most, and no round joins all edges again. Every round is written to the shared folder; what is
+    joined is read from there, so that adaptive execution can split the rows of a node with many edges.
     """
-    conf, known = edges.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(known)
-    # a checkpoint keeps what is known of its columns; renamed round by round, that grows until planning takes minutes
-    conf.set(known, "false")
-    try:
-        edges = durable(edges.select("a", "b").filter("a <> b").distinct())
-        labels = durable(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node")))
+    with scratch(edges.sparkSession) as written:
+        edges = written(edges.select("a", "b").filter("a <> b").distinct())
+        nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        labels = written(nodes.withColumn("label", F.col("node")))
         while not edges.isEmpty():
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            took = durable(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("old"), F.least("a", "least").alias("new")))
+            took = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("old"), F.least("a", "least").alias("new")))
             more = True
             while more:
-                further = durable(took.alias("t").join(took.alias("u"), F.col("t.new") == F.col("u.old")).select("t.old", "u.new", F.col("t.new").alias("was")))
+                further = written(took.alias("t").join(took.alias("u"), F.col("t.new") == F.col("u.old")).select("t.old", "u.new", F.col("t.new").alias("was")))
                 more, took = not further.filter("new <> was").isEmpty(), further.drop("was")
             moved = lambda df, c, took=took: df.join(took, df[c] == took["old"]).drop("old", c).withColumnRenamed("new", c)
-            edges = durable(moved(moved(edges, "a"), "b").filter("a <> b").distinct())
+            edges = written(moved(moved(edges, "a"), "b").filter("a <> b").distinct())
             kept = labels.join(took, labels["label"] == took["old"], "left")
-            labels = durable(kept.select("node", F.coalesce("new", "label").alias("label")))
+            labels = written(kept.select("node", F.coalesce("new", "label").alias("label")))
         return labels
-    finally:
-        conf.set(known, before)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
