@@ -252,12 +252,17 @@ def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> tuple[DataFrame, bool
     """
     names = ["rep", "fp", *more]
     rows = _keyed(reps, scheme, names)
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter(F.col("n") > PART)
     large = durable(counts.select("key", F.ceil(F.col("n") / PART).alias("parts"), "first"))
-    met = rows.join(large, "key")
-    own = F.when((F.col("rep") == F.col("first")) & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
-    dealt = met.select("key", F.explode(own).alias("part"), (F.col("parts") > 1).alias("split"), *names)
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep"), not large.filter("parts > 1").isEmpty()
+    split = not large.isEmpty()
+    if split:
+        met = rows.join(large, "key", "left")
+        everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        own = F.when(F.col("rep") == F.col("first"), everywhere).otherwise(F.array(F.coalesce(_part("parts"), F.lit(0).cast("long"))))
+        dealt = met.select("key", F.explode(own).alias("part"), F.col("parts").isNotNull().alias("split"), *names)
+    else:
+        dealt = rows.select("key", F.lit(0).cast("long").alias("part"), F.lit(False).alias("split"), *names)
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep"), split
 
 
 def _dealt_again(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
