@@ -8,6 +8,7 @@ exactly, in double precision, on the vectors themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,10 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     n = entries.count()
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("v"), "v").limit(FIT_ROWS).collect()])
+    # a hash picks a few more rows than wanted before they are ordered, so partitions don't each send FIT_ROWS
+    spare = FIT_ROWS + 6 * isqrt(FIT_ROWS)
+    drawn = entries.filter(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 40)) < (spare << 40) // n) if n > spare else entries
+    sample = np.array([r["v"] for r in drawn.orderBy(F.xxhash64("v"), "v").limit(FIT_ROWS).collect()])
     codebooks = fit(sample)
     dim = sample.shape[1]
     blocks = max(1, -(-n // (BLOCK_ROWS * 3 // 4)))
@@ -196,6 +200,10 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
 
 
 def nearest(df: DataFrame, every: int = 20) -> DataFrame:
-    """The neighbours of the rows of an embeddings table whose id is divisible by ``every``, among all its rows."""
-    queries = usable(df, "vec_id", "embedding").filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    return search(df, queries)
+    """The neighbours of the rows of an embeddings table whose id is divisible by ``every``, among all its rows.
+
+    Rows with a null id ask nothing, and aren't found. Of an id that repeats with other vectors the least vector asks, and
+    each of them can be found. Other columns are ignored; an empty table gives an empty result.
+    """
+    queries = usable(df, "vec_id", "embedding").filter(F.col("vec_id") % every == 0)
+    return search(df, queries.groupBy("vec_id").agg(F.min("v").alias("v")))
