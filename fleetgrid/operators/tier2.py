@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as g
 from ..functions.rays import ray
 from ..grid import CELL, FRAME, Grid
+from .reports import sweep
 from .solver import Settings, solve
 
 
@@ -71,7 +72,7 @@ def pcsbl_map(kept: DataFrame, key: Sequence[str] = FRAME, settings: Settings =
     given = [c for c in Defaults._fields if c in kept.columns]
     extra = [c for c in ("ego_row", "ego_col") if c in kept.columns]
     scale = F.col("scale") if "scale" in kept.columns else F.lit(1.0)
-    rows = kept.groupBy(*key, *(c for c in [*given, *extra] if c not in key), "n_points", *CELL).agg(F.sum(scale * scale).alias("h"))
+    rows = kept.groupBy(*key, *(c for c in [*given, *extra] if c not in key), "n_points", *CELL).agg(F.sum(scale * scale).alias("h"), F.count("*").alias("count"), F.sum(F.when(scale > 0.5, scale * scale).otherwise(0.0)).alias("start"))
     own = tile or grid
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +81,8 @@ def pcsbl_map(kept: DataFrame, key: Sequence[str] = FRAME, settings: Settings =
         try:
             s = settings._replace(**{c: type(getattr(Defaults(), c))(first[c]) for c in given})
             ego = (int(first["ego_row"]), int(first["ego_col"])) if extra else own.ego
-            found = solve(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["h"].to_numpy(float), int(first["n_points"]), own.size, ego, s)
+            weights = (pdf[c].to_numpy(float) for c in ("h", "count", "start"))
+            found = solve(pdf["row"].to_numpy(), pdf["col"].to_numpy(), *weights, int(first["n_points"]), own.size, ego, s)
             out |= {"cells": found.cells(), "iters": found.iters, "converged": found.converged, "conv_history": found.history, "error": None}
         except (ArithmeticError, ValueError) as e:
             out |= {"cells": None, "iters": None, "converged": None, "conv_history": None, "error": str(e)}
@@ -98,14 +100,19 @@ def solved_cells(solved: DataFrame, key: Sequence[str] = FRAME) -> DataFrame:
     return out.withColumn("p", g.clipped(F.col("mu")).cast("float"))
 
 
-def counted(points: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Points with ``n_points``, the number of points of their key."""
-    return points.withColumn("n_points", F.count("*").over(Window.partitionBy(*key)))
+def counted_hits(points: DataFrame, key: Sequence[str], hits: int, by: Sequence[str] | None = None, least: int = 0) -> DataFrame:
+    """The closest hits of each ``by`` (``key`` if not given), with ``n_points``, the number of all points of their key.
+
+    The points are cut to their closest hits where they are, before anything is shuffled, and the counts come from a
+    group-by of their own, which sends a row for each key and task. Keys with fewer than ``least`` points are left out.
+    """
+    n = points.groupBy(*key).agg(F.count("*").alias("n_points")).filter(F.col("n_points") >= least)
+    return closest_hits(points, by or key, hits).join(n, list(key))
 
 
 def frame_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
     """One map for each frame."""
-    return pcsbl_map(closest_hits(counted(points, FRAME), hits=hits), settings=settings, grid=grid)
+    return pcsbl_map(counted_hits(points, FRAME, hits), settings=settings, grid=grid)
 
 
 def sector_maps(points: DataFrame, sectors: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
@@ -114,15 +121,18 @@ def sector_maps(points: DataFrame, sectors: int, settings: Settings = Settings()
     Sectors with fewer than 3 points are skipped, and fewer than 5 give an empty map anyway.
     """
     key = [*FRAME, "sector"]
-    dealt = counted(points.withColumn("sector", g.sector(F.col("x"), F.col("y"), sectors)), key).filter("n_points >= 3")
-    solved = pcsbl_map(closest_hits(dealt, key, hits), key, settings, grid)
+    dealt = points.withColumn("sector", g.sector(F.col("x"), F.col("y"), sectors))
+    solved = pcsbl_map(counted_hits(dealt, key, hits, least=3), key, settings, grid)
     return solved_cells(solved, key).groupBy(*FRAME, *CELL).agg(F.max("p").alias("p"))
 
 
 def window_maps(window: DataFrame, decay: float = 0.85, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
-    """One solve for each frame from the points of its window, rows weighted by decay^|offset|. Hits are picked by frame seen."""
-    points = counted(window, FRAME).withColumn("scale", F.pow(F.lit(decay), F.abs("offset")))
-    return pcsbl_map(closest_hits(points, [*FRAME, "offset"], hits), settings=settings, grid=grid)
+    """One solve for each frame from the points of its window, rows weighted by decay^|offset|. Hits are picked by frame seen.
+
+    Hits weighted one half or less take part in the solve, but not in where it starts.
+    """
+    points = counted_hits(window, FRAME, hits, [*FRAME, "offset"]).withColumn("scale", F.pow(F.lit(decay), F.abs("offset")))
+    return pcsbl_map(points, settings=settings, grid=grid)
 
 
 def tile_maps(points: DataFrame, tiles: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
@@ -143,12 +153,14 @@ def tile_maps(points: DataFrame, tiles: int, settings: Settings = Settings(), gr
     place = lambda v, mid, down: clip(F.floor(((mid - v) if down else (v - mid)) / grid.cell + size / 2).cast("int"))
     near = own.filter((F.abs("x") <= part.half) & (F.abs("y") <= part.half))
     near = near.withColumns({"row": place(F.col("y"), mid_y, True), "col": place(F.col("x"), mid_x, False), "ego_row": place(F.lit(0.0), mid_y, True), "ego_col": place(F.lit(0.0), mid_x, False)})
-    solved = pcsbl_map(closest_hits(counted(near, key), key, hits), key, settings, grid, part)
+    solved = pcsbl_map(counted_hits(near, key, hits), key, settings, grid, part)
     cells = solved_cells(solved, key)
     return cells.select(*FRAME, (F.col("row") + F.col("tile_row") * size).alias("row"), (F.col("col") + F.col("tile_col") * size).alias("col"), "p")
 
 
-def swept_maps(points: DataFrame, swept: Iterator[str] | Sequence[str], settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
-    """One solve for each frame and combination of the parameter columns ``swept`` (from reports.sweep)."""
-    swept = list(swept)
-    return pcsbl_map(closest_hits(counted(points, [*FRAME, *swept]), [*FRAME, *swept], hits), [*FRAME, *swept], settings, grid)
+def swept_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, **swept: Sequence[float]) -> DataFrame:
+    """One solve for each frame and combination of the parameters ``swept`` (fields of Defaults and their values).
+
+    Points are cut to their closest hits first; only these are taken once for each combination.
+    """
+    return pcsbl_map(sweep(counted_hits(points, FRAME, hits), **swept), [*FRAME, *swept], settings, grid)

@@ -346,13 +346,13 @@ def workload_a(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        """SELECT method, scene_id, frame_idx, grouping(frame_idx)::INT AS is_mean, round(avg(nmse), 6) AS nmse, round(avg(iobb), 6) AS iobb, round(avg(precision), 6) AS precision
+        """SELECT method, scene_id, frame_idx, grouping(frame_idx)::INT AS is_mean, round(avg(nmse), 8) AS nmse, round(avg(iobb), 8) AS iobb, round(avg(precision), 8) AS precision
         FROM res GROUP BY GROUPING SETS ((method, scene_id, frame_idx), (method))""",
         "res",
     )
 )
 def a14_report_means(spark: SparkSession, d: str) -> DataFrame:
-    return reports.with_means(fx.results(spark, d)).select("method", "scene_id", "frame_idx", "is_mean", r6("nmse"), r6("iobb"), r6("precision"))
+    return reports.with_means(fx.results(spark, d)).select("method", "scene_id", "frame_idx", "is_mean", *((F.round(c, 8) + 0.0).alias(c) for c in reports.METRICS))
 
 
 @query(sql("SELECT method, count(*) AS n, round(count(*) FILTER (converged) / count(*)::DOUBLE, 6) AS converged_share, round(avg(iters), 6) AS mean_iters, (SELECT round(avg(iters) FILTER (beta = 0) / avg(iters) FILTER (beta = 1), 6) FROM res) AS ratio FROM res GROUP BY ALL", "res"))
@@ -470,7 +470,7 @@ def w1_closest_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w4_trace(spark: SparkSession, d: str) -> DataFrame:
-    return reports.trace(tier2.swept_maps(reports.sweep(_kept(spark, d), beta=[0.0, 1.0]), ["beta"]))
+    return reports.trace(tier2.swept_maps(_kept(spark, d), beta=[0.0, 1.0]))
 
 
 @query(
@@ -507,8 +507,7 @@ def t5_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t6_sweep(spark: SparkSession, d: str) -> DataFrame:
-    points = reports.sweep(_kept(spark, d), beta=[0.0, 1.0])
-    return tier2.swept_maps(points, ["beta"]).select(*FRAME, "beta", "iters", "converged", "error")
+    return tier2.swept_maps(_kept(spark, d), beta=[0.0, 1.0]).select(*FRAME, "beta", "iters", "converged", "error")
 
 
 # --- catalogue

@@ -153,13 +153,13 @@ def test_solver_matches_dense(s):
     hits = sorted({(int(r), int(c)) for r, c in rng.integers(0, 16, (25, 2))} - {(8, 8)})
     h = rng.integers(1, 4, len(hits)).astype(float)
     rows, cols = np.array(hits).T
-    got = solve(rows, cols, h, 30, 16, (8, 8), s)
+    got = solve(rows, cols, h, h, h, 30, 16, (8, 8), s)
     mu, it = dense_solve(hits, h, 16, (8, 8), s)
     assert np.allclose(got.mu, mu, atol=1e-9) and got.iters == it
 
 
 def test_few_points_and_adaptive_noise():
-    one = np.array([3]), np.array([4]), np.array([1.0])
+    one = np.array([3]), np.array([4]), np.ones(1), np.ones(1), np.ones(1)
     got = solve(*one, 4, 16, (8, 8), Settings())
     assert (got.iters, got.converged, got.cells()) == (0, False, [])
     assert solve(*one, 9, 16, (8, 8), Settings(gamma=0.0, max_iter=5)).iters > 0
@@ -174,11 +174,28 @@ def test_one_sector_and_one_tile_equal_the_plain_map(spark):
     assert key(tier2.sector_maps(kept, 1, s)) == plain == key(tier2.tile_maps(kept, 1, s))
     window = kept.withColumn("offset", F.lit(0))
     assert key(tier2.solved_cells(tier2.window_maps(window, settings=s))) == plain
-    swept = tier2.swept_maps(reports.sweep(kept, beta=[0.0, 1.0]), ["beta"], s)
+    swept = tier2.swept_maps(kept, s, beta=[0.0, 1.0])
     assert key(tier2.solved_cells(swept.filter("beta = 1.0"), [*FRAME, "beta"])) == plain
     assert tier2.sector_maps(kept, 4, s).count() > 0
 
 
+def test_far_frames_of_a_window_do_not_count_at_the_start(spark):
+    window = spark.createDataFrame([("d", "s", 0, o, r, 50, float(r), float(o)) for o, r in [(0, 30), (0, 31), (0, 32), (2, 33), (2, 34), (2, 35)]], "dataset string, scene_id string, frame_idx int, offset int, row int, col int, x double, y double")
+    s = Settings(max_iter=1, beta=0.0, free_weight=0.0)
+    alpha = {r["row"]: r["alpha"] for r in tier2.solved_cells(tier2.window_maps(window, decay=0.7, settings=s)).filter("col = 50").collect()}
+    mu = {r["row"]: r["mu"] for r in tier2.solved_cells(tier2.window_maps(window, decay=0.7, settings=s)).filter("col = 50").collect()}
+    g, start = s.gamma, lambda h: (2e-4 + 1) / (2e-4 + (s.gamma * h / (s.gamma * h + 1)) ** 2 + 1 / s.gamma)
+    assert mu[30] == pytest.approx(g / (start(1) + g)) and alpha[30] > 0
+    h = 0.7**4
+    assert mu[33] == pytest.approx(g * h / (start(0) + g * h))
+
+
+def test_points_are_cut_to_hits_before_they_are_shuffled(spark):
+    kept = preprocess.preprocess(points(spark, (5, 1, 1), (7, -3, 2)), frames(spark))
+    plan = tier2.frame_maps(kept)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before the shuffle and after it
+
+
 def test_live_map_equals_stored(spark, tmp_path):
     found = tier1.evidence(cells(spark, [(f, 40, 45 + (f * i) % 3) for f in range(5) for i in range(4)]))
     found.repartition(1).write.parquet(str(tmp_path / "in"))
