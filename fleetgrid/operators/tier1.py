@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.rays import ray
-from ..grid import CELL, FRAME, LIMIT, Grid
+from ..grid import CELL, EVIDENCE, FRAME, LIMIT, Grid
 from .preprocess import discretize, height_filter, project, range_filter, transform_to_ego
 
+#: Frames of a scene that are folded as one list.
+FOLD = 512
+
 
 def evidence(cells: DataFrame, key: Sequence[str] = FRAME, grid: Grid = Grid(), ego: tuple[Column, Column] | None = None) -> DataFrame:
     """``key, row, col, n_hits, is_free``: points that end in a cell, and whether a ray of the scan passes it before its end.
@@ -50,12 +53,26 @@ def occupied_share(maps: DataFrame, key: Sequence[str] = FRAME, grid: Grid = Gri
 def folded(found: DataFrame, key: Sequence[str]) -> DataFrame:
     """Scans of one ``key`` and cell, in the order of frame_idx, added up with a clamp after each; so order matters.
 
-    Each list has one entry a scan at most. Longer lists than a task can hold would be folded in ranges of frames: a clamped
-    step after a clamped step is again a clamped step.
+    Scans are folded in ranges of FOLD frames, and then the ranges: a clamped step adds ``add`` and keeps the sum from
+    ``low`` to ``high``, and one such step after another is again one. So no list is longer than FOLD, or than the number of ranges.
     """
-    scans = F.array_sort(F.collect_list(F.struct("frame_idx", "n_hits", "is_free")))
-    fold = F.aggregate(scans, F.lit(0.0), lambda acc, s: g.fold_step(acc, s["n_hits"], s["is_free"]))
-    out = found.groupBy(*key, *CELL).agg(fold.alias("value"), F.count("*").alias("n_scans"))
+    step = F.struct(
+        F.col("frame_idx").alias("at"),
+        (F.col("n_hits") * EVIDENCE - F.col("is_free") * EVIDENCE).alias("add"),
+        F.lit(-LIMIT).alias("low"),
+        F.greatest(F.lit(-LIMIT), F.lit(LIMIT) - F.col("is_free") * EVIDENCE).alias("high"),
+        F.lit(1).cast("long").alias("n"),
+    )
+
+    def after(a: Column, b: Column) -> Column:
+        within = lambda v: F.greatest(b["low"], F.least(b["high"], v + b["add"]))
+        return F.struct(a["at"].alias("at"), (a["add"] + b["add"]).alias("add"), within(a["low"]).alias("low"), within(a["high"]).alias("high"), (a["n"] + b["n"]).alias("n"))
+
+    def composed(df: DataFrame, by: list[Column]) -> DataFrame:
+        return df.groupBy(*by).agg(F.array_sort(F.collect_list("step")).alias("steps")).withColumn("step", F.reduce(F.slice("steps", 2, F.size("steps")), F.element_at("steps", 1), after)).drop("steps")
+
+    ranges = composed(found.select(*key, *CELL, F.floor(F.col("frame_idx") / FOLD).alias("_range"), step.alias("step")), [*key, *CELL, "_range"])
+    out = composed(ranges.drop("_range"), [*key, *CELL]).select(*key, *CELL, F.greatest("step.low", F.least("step.high", "step.add")).alias("value"), F.col("step.n").alias("n_scans"))
     return out.withColumn("p", g.probability(F.col("value")))
 
 

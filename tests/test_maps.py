@@ -179,6 +179,19 @@ def test_one_sector_and_one_tile_equal_the_plain_map(spark):
     assert tier2.sector_maps(kept, 4, s).count() > 0
 
 
+def test_folding_in_ranges_of_frames(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("d", "s", f, 3, c, int(rng.integers(0, 9)), int(rng.integers(0, 2))) for f in range(40) for c in range(6) if rng.random() < 0.8]
+    found = spark.createDataFrame(rows, "dataset string, scene_id string, frame_idx int, row int, col int, n_hits long, is_free int")
+    want = {}
+    for *_, c, n, free in rows:
+        want[c] = max(-5.0, min(5.0, want.get(c, 0.0) + n * EVIDENCE) - free * EVIDENCE)
+    for size in (3, 512):
+        monkeypatch.setattr(tier1, "FOLD", size)
+        got = {r["col"]: (r["value"], r["n_scans"]) for r in tier1.folded(found, ["dataset", "scene_id"]).collect()}
+        assert got == {c: (pytest.approx(v), sum(r[4] == c for r in rows)) for c, v in want.items()}
+
+
 def test_far_frames_of_a_window_do_not_count_at_the_start(spark):
     window = spark.createDataFrame([("d", "s", 0, o, r, 50, float(r), float(o)) for o, r in [(0, 30), (0, 31), (0, 32), (2, 33), (2, 34), (2, 35)]], "dataset string, scene_id string, frame_idx int, offset int, row int, col int, x double, y double")
     s = Settings(max_iter=1, beta=0.0, free_weight=0.0)
