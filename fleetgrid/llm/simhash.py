@@ -59,6 +59,8 @@ CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
 #: decided by the sets themselves.
 ALIKE = Scheme(5, 4, 58, drawn(256, 14, 72), True)
 LIKENESS = 0.8
+#: Bits of a sketch of a set: each tells whether an odd number of members falls on it.
+SKETCH_BITS = 512
 #: Besides its nearest candidate, a text is first compared with the first of those below it within each of these distances.
 TIERS = (30, 44)
 
@@ -97,6 +99,12 @@ def _majority(hashes: np.ndarray, words: int) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Two sets differ in at least as many members as their sketches do in bits."""
+    odd = np.bincount((members % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
     """``doc_id, fp`` of every row; the fingerprint has its highest bit first. Null texts have no words."""
 
@@ -307,10 +315,19 @@ class _Group(NamedTuple):
     fp: np.ndarray
     more: list[np.ndarray]
 
-    def pairs(self, radius: int, masks: np.ndarray, also: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """i, j and the bits in which they differ, of pairs that no table before has shown."""
+    def pairs(self, radius: int, masks: np.ndarray, also: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """i, j and the bits in which they differ, of pairs that no table before has shown.
+
+        With sketches of sets (and their sizes, the first of the other columns), pairs whose sets can't be alike to LIKENESS are
+        left out: sets of that likeness differ in a share (1 - LIKENESS) / (1 + LIKENESS) of their members at most.
+        """
         wide = np.ascontiguousarray(self.fp).view(np.uint64)
         for i, j in _hits(self.number, self.fp, radius, also):
+            if sketches is not None:
+                n = self.more[0].astype(np.int64)
+                apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+                can = apart <= (n[i] + n[j]) * (1 - LIKENESS) / (1 + LIKENESS) + 1e-6
+                i, j = i[can], j[can]
             differ = wide[i] ^ wide[j]
             new = ~_met_before(differ, self.table[i], masks)
             if new.any():
@@ -384,6 +401,10 @@ def _apart(g: _Group, n: np.ndarray | None = None) -> Callable[[np.ndarray, np.n
     return wanted
 
 
+def _sketched(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+
+
 def _fit(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes can be alike to LIKENESS."""
     return np.minimum(n[i], n[j]) >= LIKENESS * np.maximum(n[i], n[j]) - 1e-9
@@ -434,14 +455,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_apart(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b among rows of ``rep, fp, n, label, of_label`` (rows of the label): for each row and each other label with
-    as many rows or more, the nearest candidate of that label."""
+    """``a, b`` with a < b among rows of ``rep, fp, n, label, of_label`` (rows of the label) and ``sketch``: for each row and each
+    other label with as many rows or more, the nearest candidate of that label."""
     size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
 
     def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _grouped(batches, size):
-            n, label, of_label = g.more
-            for i, j, far in g.pairs(radius, masks, _apart(g, n)):
+            n, label, of_label, sketches = g.more
+            for i, j, far in g.pairs(radius, masks, _apart(g, n), _sketched(sketches)):
                 swap = (of_label[i] < of_label[j]) | (of_label[i] == of_label[j]) & (label[i] < label[j])
                 own, other = np.where(swap, i, j), np.where(swap, j, i)
                 order = np.lexsort((g.rep[other], far, label[other], own))
@@ -450,21 +471,21 @@ def nearest_apart(reps: DataFrame, scheme: Scheme) -> DataFrame:
                 own, other, far = own[first], other[first], far[first]
                 yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(label[other]), pa.array(far), pa.array(g.rep[other])], names=["own", "of", "far", "other"])
 
-    found = _dealt_again(reps, scheme, "n", "label", "of_label").mapInArrow(finding, "own long, of long, far long, other long")
+    found = _dealt_again(reps, scheme, "n", "label", "of_label", "sketch").mapInArrow(finding, "own long, of long, far long, other long")
     best = found.groupBy("own", "of").agg(F.min(F.struct("far", "other")).alias("best"))
     return _ordered(best.select(F.col("own").alias("a"), F.col("best.other").alias("b")))
 
 
 def open_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label`` whose labels differ, once."""
+    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label, sketch`` whose labels differ, once."""
     size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
 
     def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _grouped(batches, size):
-            for i, j, _ in g.pairs(radius, masks, _apart(g, g.more[0])):
+            for i, j, _ in g.pairs(radius, masks, _apart(g, g.more[0]), _sketched(g.more[2])):
                 yield pa.RecordBatch.from_arrays([pa.array(g.rep[i]), pa.array(g.rep[j])], names=["a", "b"])
 
-    return _ordered(_dealt_again(reps, scheme, "n", "label").mapInArrow(finding, "a long, b long"))
+    return _ordered(_dealt_again(reps, scheme, "n", "label", "sketch").mapInArrow(finding, "a long, b long"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -530,18 +551,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _nodes(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
-    """``_id, _h1, _h2, node, n, fp`` of every row: its keys (see marks), and hash, size and fingerprint of its set of shingles."""
+    """``_id, _h1, _h2, node, n, fp, sketch`` of every row: its keys (see marks), and hash, size, fingerprint and sketch of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column(3)).to_pylist(), 4_000_000):
                 sets = [np.unique(shingles(t, scheme.shingle)) for t in batch.column(3).slice(a, b - a).to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([_majority(s, scheme.words) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *columns], names=["_id", "_h1", "_h2", "node", "n", "fp"])
+                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: _majority(s, scheme.words), sketch))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *columns], names=["_id", "_h1", "_h2", "node", "n", "fp", "sketch"])
 
     rows = df.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {df.schema[id_col].dataType.simpleString()}, _h1 long, _h2 long, node long, n int, fp binary")
+    return rows.mapInArrow(run, f"_id {df.schema[id_col].dataType.simpleString()}, _h1 long, _h2 long, node long, n int, fp binary, sketch binary")
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
@@ -561,13 +582,14 @@ def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int)
 def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
     """``_id, _h1, _h2, label`` of every row; rows of one label are joined by links of texts alike to LIKENESS or more.
 
-    Fingerprints give the candidates and the sets of shingles decide. First each text is compared with a few of its
+    Fingerprints give the candidates and the sets of shingles decide. Candidates whose sets can't be alike, by a bound that
+    their sketches give, are ruled out where they meet; such a pair never leaves its task. First each text is compared with a few of its
     candidates, which joins most of what is alike; then with its nearest in each other component; and then every
     candidate pair that is still apart is compared. So each candidate pair is either compared or already joined, and a
     large group of near copies never yields its pairs.
     """
     rows = durable(_nodes(df, id_col, text_col, scheme))
-    reps = durable(rows.groupBy("node").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    reps = durable(rows.groupBy("node").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "sketch"))))
     reps = reps.withColumnRenamed("node", "rep")
     some, near_ones = first_candidates(reps, scheme)
     some, near_ones = durable(some), durable(reps.join(near_ones, reps["rep"] == near_ones["node"], "left_semi"))
@@ -575,7 +597,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested, good = some, durable(alike(some, sets))
     joined = components(good)
     for search in (nearest_apart, open_candidates):
-        labelled = near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", F.coalesce("label", "rep").alias("label"))
+        labelled = near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", "sketch", F.coalesce("label", "rep").alias("label"))
         labelled = durable(labelled)
         of_label = labelled.groupBy("label").agg(F.count("*").alias("of_label"))
         found = durable(search(labelled.join(of_label, "label"), scheme).join(tested, ["a", "b"], "left_anti"))

@@ -170,3 +170,33 @@ def test_keep_first_with_null_and_repeated_ids(spark):
     rows = [(1, one), (5, one + " end"), (5, two), (None, one + " more"), (None, "quite different"), (None, two + " more"), (7, "same"), (7, "same")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (5, two), (None, "quite different"), (7, "same")], key=str)
+
+
+def test_sketches_never_rule_out_alike_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 8, 25, 300, 4000):
+        members = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        for off in range(0, n + 1, max(1, n // 20)):
+            x, y = members[:n], members[off : n + off]
+            bits = np.bitwise_count(np.frombuffer(simhash.sketch(x), np.uint8) ^ np.frombuffer(simhash.sketch(y), np.uint8)).sum()
+            assert bits <= 2 * off
+
+
+def test_many_near_but_not_alike_texts_yield_few_pairs(spark):
+    """Short copies of one text, each with a word of its own changed: nearly all pairs lie within the radius, few are alike."""
+    rng, base = random.Random(4), [f"w{i}" for i in range(30)]
+    texts = []
+    for k in range(240):
+        words = list(base)
+        words[rng.randrange(4, 26)] = f"x{k}"
+        texts.append(" ".join(words))
+    sets = [{*simhash.shingles(t, 5).tolist()} for t in texts]
+    label = list(range(len(texts)))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash._nodes(df, "doc_id", "text", simhash.ALIKE).selectExpr("node AS rep", "n", "fp", "sketch", "node AS label").dropDuplicates(["rep"])
+    assert simhash.open_candidates(nodes, simhash.ALIKE).count() <= 1.1 * len(alike) + 10
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {*label}
