@@ -5,6 +5,9 @@ Whole-number arithmetic first and one division last, so that any engine gets the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +130,85 @@ def sample_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('d', s_suppkey, d.kind, d.is_key_frame) AS token", "concat('m', s_suppkey) AS sample_token", "concat('samples/', d.kind, '/', s_suppkey, '.bin') AS filename", "d.is_key_frame AS is_key_frame",
         "concat('p', s_suppkey) AS ego_pose_token", "concat('c', s_suppkey % 4) AS calibrated_sensor_token",
     )
+
+
+def _file(spark: SparkSession, sf_dir: str, *lines: str) -> DataFrame:
+    """``path, n, line``: a text file for each order, with the lines that the expressions give (``k``: its key)."""
+    orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k")
+    numbered = F.posexplode(F.array(*(F.expr(x) for x in lines))).alias("n", "line")
+    return orders.select(F.concat(F.lit("file/"), "k").alias("path"), "k", numbered).select("path", "n", F.trim("line").alias("line"))
+
+
+def _row(first: str, n: int) -> str:
+    """n numbers that go up by one, as text."""
+    return f"array_join(transform(sequence(0, {n - 1}), i -> concat({first} + i, '.25')), ' ')"
+
+
+def calib_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration files: a line without a colon, an empty one, the sensor matrix under one of three names, a name that is repeated."""
+    sensor = f"concat(element_at(array('Tr', 'Tr_velo_to_cam', 'Tr_velo_cam'), cast(k % 3 + 1 AS int)), ': ', {_row('k % 83', 12)})"
+    again = f"if(k % 5 = 0, concat('P0:', {_row('k % 71', 12)}), 'no colon')"
+    return _file(spark, sf_dir, f"concat('P0: ', {_row('k % 97', 12)}, '  ')", "'no colon here'", f"concat('R0_rect: ', {_row('k % 89', 9)})", sensor, again, "''")
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files: eight classes, one that readers skip and one that some skip; lines a field short, heights that are no number."""
+    kind = "element_at(array('Car', 'Van', 'Truck', 'Pedestrian', 'Cyclist', 'Tram', 'DontCare', 'Misc'), cast(k % 8 + 1 AS int))"
+    height, turn = "if(k % 13 = 0, 'x', concat(1 + k % 3, '.5'))", "if(k % 11 = 0, '', concat(' ', k % 4 - 2, '.5'))"
+    one = f"concat({kind}, ' 0 0 0 1 2 3 4 ', {height}, ' 1.75 ', 3 + k % 2, ' ', k % 40 - 20, '.25 1.7 ', k % 50, turned)"
+    return _file(spark, sf_dir, one.replace("turned", turn), "''", "concat('Car 0 0 0 1 2 3 4 1.5 1.75 4 ', k % 7, '.5 1.7  20 0')")
+
+
+def pose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pose files: between three positions an empty line, one a number short, and one with a word in it."""
+    return _file(spark, sf_dir, _row("k % 97", 12), "''", _row("k % 97", 11), _row("k % 89", 12), f"concat('x ', {_row('k', 11)})", _row("k % 83", 12))
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: a binary scan for each supplier, five little-endian float32 numbers a point, all quarters of whole numbers."""
+
+    def float32(k: str) -> str:
+        places = f"(length(bin(abs({k}))) - 1)"
+        bits = f"if({k} = 0, 0L, if({k} < 0, 2147483648L, 0L) + shiftleft(125L + {places}, 23) + shiftleft(cast(abs({k}) AS bigint), 23 - {places}) - 8388608L)"
+        big = f"lpad(hex({bits}), 8, '0')"
+        return f"concat(substr({big}, 7, 2), substr({big}, 5, 2), substr({big}, 3, 2), substr({big}, 1, 2))"
+
+    rows = _read(spark, sf_dir, "lineitem").selectExpr("l_suppkey", *QUARTERS)
+    rows = rows.selectExpr("l_suppkey", "struct(kx, ky, kz, ki, kr) AS place", f"concat({', '.join(float32(k) for k in ('kx', 'ky', 'kz', 'ki', 'kr'))}) AS record")
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "record"))), lambda p: p["record"]), "")
+    return rows.groupBy("l_suppkey").agg(F.unhex(one).alias("content")).select(F.concat(F.lit("scan/"), "l_suppkey").alias("path"), "content")
+
+
+#: Four times the numbers of a scanned point, in any engine.
+QUARTERS = (
+    "(l_partkey * 7919 + l_linenumber * 1543 + l_orderkey * 31) % 5000 - 2500 AS kx",
+    "(l_orderkey * 6007 + l_linenumber * 977 + l_partkey * 17) % 5000 - 2500 AS ky",
+    "(l_orderkey * 101 + l_partkey * 13 + l_linenumber * 7) % 600 - 250 AS kz",
+    "l_partkey % 256 AS ki",
+    "l_linenumber * 4 AS kr",
+)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, or a temporary one where the session names none (tests)."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-files-")
+    return f"{shared}/files-{uuid.uuid4().hex}"
+
+
+def metadata(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Writes the catalogue's tables as files of JSON arrays, one for each scene or residue of a key."""
+    pose = frames(spark, sf_dir).selectExpr("concat('p', cast(scene_id AS int) + 5 * frame_idx) AS token", "pose_t AS translation", "pose_q AS rotation", "scene_id AS part")
+    sensor = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey % 4 AS part").distinct().selectExpr("concat('c', part) AS token", "array(0D, 0D, part * 0.5D) AS translation", "array(1D, 0D, 0D, 0D) AS rotation", "part")
+    boxed = boxes(spark, sf_dir).selectExpr("concat('a', box_id) AS token", "concat('m', cast(scene_id AS int) + 5 * frame_idx) AS sample_token", "array(cx, cy, 0D) AS translation", "array(w, l, 1.5D) AS size", "q AS rotation", "concat(scene_id, '-', frame_idx) AS part")
+    tables = {
+        "scene": scenes(spark, sf_dir).withColumn("part", F.col("token")),
+        "sample": samples(spark, sf_dir).withColumn("part", F.col("scene_token")),
+        "sample_data": sample_data(spark, sf_dir).withColumn("part", F.substring_index("filename", "/", -1)),
+        "ego_pose": pose,
+        "calibrated_sensor": sensor,
+        "sample_annotation": boxed,
+    }
+    for name, rows in tables.items():
+        own = F.struct(*(c for c in rows.columns if c != "part"))
+        array = rows.groupBy(F.pmod(F.xxhash64("part"), F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(own)).alias("value"))
+        array.repartition("part").write.partitionBy("part").text(f"{root}/{name}.json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.rays import ray
 from ..grid import CELL, FRAME, Grid
 from ..operators import boxes as bx
 from ..operators import catalog, metrics, preprocess, reports, tier1, tier2
+from ..sources import readers
 from . import fixtures as fx
 from .oracle import HIGH_OK, K, RANGE_OK, fold, sql
 
@@ -608,3 +610,110 @@ def w3_frame_order(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag AS split, count(*) AS n_files FROM lineitem GROUP BY l_returnflag")
 def c1_files_by_split(spark: SparkSession, d: str) -> DataFrame:
     return catalog.files_by_split(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("split")))
+
+
+# --- files
+
+
+@query(
+    """SELECT kind, n, round(total, 6) AS total FROM (SELECT 'scene' AS kind, count(DISTINCT s_nationkey) AS n, sum(per)::DOUBLE AS total FROM (SELECT s_nationkey, count(*) AS per FROM supplier GROUP BY s_nationkey)
+    UNION ALL SELECT 'sample', count(*), sum(1000.0::DOUBLE * s_suppkey) FROM supplier
+    UNION ALL SELECT 'sample_data', 3 * count(*), 2.0::DOUBLE * count(*) FROM supplier
+    UNION ALL SELECT 'ego_pose', count(*), sum(1000.0::DOUBLE * (s_suppkey % 5) + 8 * (s_suppkey // 5) / 10.0) FROM supplier
+    UNION ALL SELECT 'calibrated_sensor', count(*), sum(c * 0.5::DOUBLE) FROM (SELECT DISTINCT s_suppkey % 4 AS c FROM supplier)
+    UNION ALL SELECT 'sample_annotation', count(*), sum(1.5::DOUBLE + (o_orderkey % 5) / 4.0) FROM orders)"""
+)
+def s1_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of metadata written as JSON arrays and read again: rows, and the sum of a column, of each."""
+    root = fx.folder(spark)
+    fx.metadata(spark, d, root)
+    sums = {"scene": "nbr_samples", "sample": "timestamp", "sample_data": "cast(is_key_frame AS int)", "ego_pose": "translation[0]", "calibrated_sensor": "translation[2]", "sample_annotation": "size[0]"}
+    found = readers.read_metadata(spark, root)
+    parts = [found[name].select(F.lit(name).alias("kind"), F.expr(c).cast("double").alias("v")).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total")) for name, c in sums.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""SELECT 'scan/' || l_suppkey AS path, row_number() OVER (PARTITION BY l_suppkey ORDER BY kx, ky, kz, ki, kr) - 1 AS point_idx, kx / 4.0::DOUBLE AS x, ky / 4.0::DOUBLE AS y, kz / 4.0::DOUBLE AS z, ki / 4.0::DOUBLE AS intensity, kr / 4.0::DOUBLE AS ring
+    FROM (SELECT l_suppkey, {', '.join(fx.QUARTERS)} FROM lineitem)"""
+)
+def s2_scans(spark: SparkSession, d: str) -> DataFrame:
+    return readers.decode_points(fx.scans(spark, d), 5).select("path", "point_idx", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity", "ring")))
+
+
+_PATH = "'file/' || o_orderkey AS path"
+
+
+def _ends(first: str, n: int) -> str:
+    return f"{n} AS n, ({first}) + 0.25::DOUBLE AS first, ({first}) + {n - 1} + 0.25::DOUBLE AS last"
+
+
+@query(
+    f"""SELECT {_PATH}, 'P0' AS name, {_ends('if(o_orderkey % 5 = 0, o_orderkey % 71, o_orderkey % 97)', 12)} FROM orders
+    UNION ALL SELECT {_PATH}, 'R0_rect', {_ends('o_orderkey % 89', 9)} FROM orders
+    UNION ALL SELECT {_PATH}, ['Tr', 'Tr_velo_to_cam', 'Tr_velo_cam'][o_orderkey % 3 + 1], {_ends('o_orderkey % 83', 12)} FROM orders"""
+)
+def s3_calibration(spark: SparkSession, d: str) -> DataFrame:
+    named = readers.calib_of(fx.calib_lines(spark, d)).select("path", F.explode("m").alias("name", "v"))
+    return named.select("path", "name", F.size("v").alias("n"), F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"))
+
+
+@query(f"SELECT {_PATH}, {_ends('o_orderkey % 83', 12)} FROM orders")
+def s4_sensor_matrix(spark: SparkSession, d: str) -> DataFrame:
+    found = readers.with_sensor_matrix(readers.calib_of(fx.calib_lines(spark, d)))
+    return found.select("path", F.size("tr").alias("n"), F.col("tr")[0].alias("first"), F.element_at("tr", -1).alias("last"))
+
+
+_LABELS = f"""SELECT {_PATH}, 0 AS box_id, ['Car', 'Van', 'Truck', 'Pedestrian', 'Cyclist', 'Tram', 'DontCare', 'Misc'][o_orderkey % 8 + 1] AS class, CASE WHEN o_orderkey % 13 > 0 THEN 1 + o_orderkey % 3 + 0.5::DOUBLE END AS h,
+      (3 + o_orderkey % 2)::DOUBLE AS l, CASE WHEN o_orderkey % 40 = 20 THEN 0.25 WHEN o_orderkey % 40 < 20 THEN o_orderkey % 40 - 20 - 0.25 ELSE o_orderkey % 40 - 20 + 0.25 END::DOUBLE AS x, (o_orderkey % 50)::DOUBLE AS z,
+      CASE WHEN o_orderkey % 11 > 0 THEN [-2.5, -1.5, 0.5, 1.5][o_orderkey % 4 + 1]::DOUBLE END AS rotation_y FROM orders
+    UNION ALL SELECT {_PATH}, 2, 'Car', 1.5, 4.0, o_orderkey % 7 + 0.5::DOUBLE, 20.0, 0.0 FROM orders"""
+
+
+@query(f"SELECT * FROM ({_LABELS}) WHERE class NOT IN ('DontCare', 'Misc') AND rotation_y IS NOT NULL")
+def s5_strict_labels(spark: SparkSession, d: str) -> DataFrame:
+    return readers.labels_of(fx.label_lines(spark, d)).select("path", "box_id", "class", "h", "l", "x", "z", "rotation_y")
+
+
+@query(f"SELECT * FROM ({_LABELS}) WHERE class <> 'DontCare' AND h IS NOT NULL AND rotation_y IS NOT NULL")
+def s6_lenient_labels(spark: SparkSession, d: str) -> DataFrame:
+    return readers.labels_of(fx.label_lines(spark, d), strict=False).select("path", "box_id", "class", "h", "l", "x", "z", "rotation_y")
+
+
+@query(" UNION ALL ".join(f"SELECT {_PATH}, {i} AS frame_idx, {_ends(f'o_orderkey % {m}', 12)} FROM orders" for i, m in enumerate((97, 89, 83))))
+def s7_poses(spark: SparkSession, d: str) -> DataFrame:
+    found = readers.poses_of(fx.pose_lines(spark, d))
+    return found.select("path", "frame_idx", F.size("p").alias("n"), F.col("p")[0].alias("first"), F.element_at("p", -1).alias("last"))
+
+
+_LOGGED = ("dataset", "scene_id", "frame_idx", "mode", "beta", "nmse", "iobb", "precision", "iters", "converged", "elapsed_s")
+
+
+@query(sql("SELECT dataset, scene_id, frame_idx, method AS mode, beta::DOUBLE AS beta, nmse, iobb, precision, iters, converged, elapsed_s, true AS no_error FROM res", "res"))
+def s8_results_log(spark: SparkSession, d: str) -> DataFrame:
+    """Results added to a log in two runs, and read again."""
+    path, rows = fx.folder(spark), fx.results(spark, d).withColumnRenamed("method", "mode")
+    for beta in (0, 1):
+        readers.append_results(rows.filter(F.col("beta") == beta), path)
+    return readers.read_results(spark, path).select(*_LOGGED, F.col("error").isNull().alias("no_error"))
+
+
+@query(sql("SELECT dataset, method, count(nmse) AS n, round(min(nmse), 6) AS least FROM res WHERE beta = 1 GROUP BY ALL", "res"))
+def s9_report_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """A report written twice: the second run's rows alone are left."""
+    path, rows = fx.folder(spark), fx.results(spark, d)
+    for part in (rows, rows.filter("beta = 1")):
+        readers.write_report(part.groupBy("dataset", "method").agg(F.count("nmse").alias("n"), r6(F.min("nmse"), "least")), path)
+    return spark.read.parquet(path)
+
+
+@query(sql("SELECT method AS kind, dataset, scene_id, frame_idx, nmse FROM (SELECT *, max(frame_idx) OVER (PARTITION BY method) AS newest FROM res) WHERE frame_idx = newest", "res"))
+def s10_latest_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.results(spark, d).withColumnRenamed("method", "kind").withColumn("run_ts", F.timestamp_seconds(F.col("frame_idx") * 3600))
+    return readers.latest(rows).select("kind", "dataset", "scene_id", "frame_idx", "nmse")
+
+
+@query(sql(f"SELECT {K}, count(*) AS n FROM kbox WHERE frame_idx % 2 = 0 AND ({K}) IN (SELECT {K} FROM frq) GROUP BY ALL", "kbox", "frq"))
+def c8_usable_boxes(spark: SparkSession, d: str) -> DataFrame:
+    calibrated = fx.frames(spark, d).filter("frame_idx % 2 = 0")
+    return catalog.usable_boxes(bx.camera_boxes(fx.labels(spark, d)), calibrated).groupBy(*FRAME).agg(F.count("*").alias("n"))

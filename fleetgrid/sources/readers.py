@@ -44,8 +44,15 @@ def read_metadata(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def read_points(spark: SparkSession, paths: str | Sequence[str], n_cols: int) -> DataFrame:
     """``path, point_idx, x, y, z, intensity, ring`` from scans of little-endian float32 records of 4 or 5 numbers.
 
-    Each file is one row for Spark and is decoded in slices; ``ring`` is NULL for records of 4. A file whose size is no
-    multiple of a record is an error. Write the result as Parquet once rather than decode scans again.
+    Each file is one row for Spark (see decode_points). Write the result as Parquet once rather than decode scans again.
+    """
+    return decode_points(spark.read.format("binaryFile").load(paths), n_cols)
+
+
+def decode_points(files: DataFrame, n_cols: int) -> DataFrame:
+    """The points of ``path, content``, a row for each scan, decoded in slices; ``ring`` is NULL for records of 4.
+
+    A scan whose size is no multiple of a record is an error.
     """
     if n_cols not in (4, 5):
         raise ValueError("scans have 4 or 5 numbers a point")
@@ -62,8 +69,7 @@ def read_points(spark: SparkSession, paths: str | Sequence[str], n_cols: int) ->
                     columns = [pa.array([path.as_py()] * len(part)), pa.array(np.arange(a, a + len(part), dtype=np.int64)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(4)), ring]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(decode, "path string, point_idx long, x float, y float, z float, intensity float, ring float")
+    return files.select("path", "content").mapInArrow(decode, "path string, point_idx long, x float, y float, z float, intensity float, ring float")
 
 
 def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -77,9 +83,14 @@ def _numbers(text: Column) -> Column:
 
 
 def read_calib(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, m``: the named matrices of each file as a map to lists of numbers. Lines without a colon are skipped; of a name
-    that is repeated the last counts."""
-    rows = _lines(spark, paths).filter(F.col("line").contains(":"))
+    """The named matrices of each calibration file (see calib_of)."""
+    return calib_of(_lines(spark, paths))
+
+
+def calib_of(lines: DataFrame) -> DataFrame:
+    """``path, m``: the named matrices of each file of ``path, n, line`` as a map to lists of numbers. Lines without a colon are
+    skipped; of a name that is repeated the last counts."""
+    rows = lines.filter(F.col("line").contains(":"))
     name, values = F.trim(F.substring_index("line", ":", 1)), F.expr("substring(line, locate(':', line) + 1)")
     rows = rows.select("path", "n", name.alias("name"), _numbers(values).alias("values"))
     last = rows.groupBy("path", "name").agg(F.max_by("values", "n").alias("values"))
@@ -94,11 +105,16 @@ def with_sensor_matrix(calib: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> DataFrame:
-    """``path, box_id, class, h, w, l, x, y, z, rotation_y`` of label files.
+    """The boxes of label files (see labels_of)."""
+    return labels_of(_lines(spark, paths), strict)
+
+
+def labels_of(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """``path, box_id, class, h, w, l, x, y, z, rotation_y`` of the ``path, n, line`` of label files.
 
     ``strict`` keeps CLASSES and lines of 15 fields or more; otherwise all classes but DontCare whose numbers parse are kept.
     """
-    rows = _lines(spark, paths).filter("line <> ''").withColumn("f", F.split("line", r"\s+"))
+    rows = lines.filter("line <> ''").withColumn("f", F.split("line", r"\s+"))
     number = lambda i: F.get("f", F.lit(i)).try_cast("double")
     out = rows.select("path", F.col("n").alias("box_id"), F.get("f", F.lit(0)).alias("class"), F.size("f").alias("_n"), *(number(8 + i).alias(c) for i, c in enumerate(("h", "w", "l", "x", "y", "z", "rotation_y"))))
     whole = F.col("_n") >= 15
@@ -110,8 +126,13 @@ def read_labels(spark: SparkSession, paths: str | Sequence[str], strict: bool =
 
 
 def read_poses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, frame_idx, p``: 3x4 matrices; lines that aren't 12 numbers are skipped and don't count."""
-    rows = _lines(spark, paths).withColumn("p", _numbers(F.col("line"))).filter((F.size("p") == 12) & F.forall("p", lambda v: v.isNotNull()))
+    """The positions of pose files (see poses_of)."""
+    return poses_of(_lines(spark, paths))
+
+
+def poses_of(lines: DataFrame) -> DataFrame:
+    """``path, frame_idx, p`` of ``path, n, line``: 3x4 matrices; lines that aren't 12 numbers are skipped and don't count."""
+    rows = lines.withColumn("p", _numbers(F.col("line"))).filter((F.size("p") == 12) & F.forall("p", lambda v: v.isNotNull()))
     return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1).alias("frame_idx"), "p")
 
 
