@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-#: N-grams in a profile, bits of an n-gram's hash, and the prediction for texts without a letter.
-PROFILE, GRAM_BITS, UNDETERMINED = 300, 22, "und"
-#: Code points handled at once, and texts: their numbers share a sort key with counts and n-grams.
+#: N-grams in a profile, and the prediction for texts without a letter.
+PROFILE, UNDETERMINED = 300, "und"
+#: Bits of a code point in an n-gram, which holds three of them at most, and the boundary mark.
+CODE_BITS, BOUNDARY = 21, 0x20
+#: Code points handled at once, and texts: a text's number shares a sort key with the n-grams of its slice.
 SLICE_CHARS, SLICE_TEXTS = 1_000_000, 4000
 #: Sums that a task holds before it adds up equal ones.
 PENDING = 2_000_000
@@ -32,17 +34,28 @@ def _letters() -> np.ndarray:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of each text: its number, the n-gram's hash, and how often it stands there.
+    """Distinct n-grams of each text, in order of text and n-gram: its number, the n-gram, and how often it stands there.
 
     N-grams are the runs of one to three letters inside a word with one boundary mark at either side of it;
-    letters are lower-cased and all else is a boundary.
+    letters are lower-cased and all else is a boundary. An n-gram is its code points, 21 bits each, the first one highest.
     """
     codes = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), dtype=np.uint32) for t in texts]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(c) for c in codes])
     code = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
     letter = _letters()[code]
     keep = letter | np.r_[False, letter[:-1]] | np.r_[letter[1:], False]
-    code, doc, letter = np.where(letter, code, 0)[keep].astype(np.uint64), doc[keep], letter[keep]
+    code, doc, letter = np.where(letter, code, BOUNDARY)[keep], doc[keep], letter[keep]
+    # code points that occur are numbered in their order from 1, so that text and n-gram fit one sort key
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[code] = True
+    alphabet = np.r_[0, np.flatnonzero(seen)]
+    number = np.zeros(0x110000, dtype=np.int64)
+    number[alphabet[1:]] = np.arange(1, len(alphabet))
+    code, bits = number[code], int(len(alphabet)).bit_length()
+    if 3 * bits + len(texts).bit_length() > 63:  # next to all letters that there are
+        half = len(texts) // 2
+        low, high = grams(texts[:half]), grams(texts[half:])
+        return np.r_[low[0], high[0] + half], np.r_[low[1], high[1]], np.r_[low[2], high[2]]
     found = []
     for n in (1, 2, 3):
         m = len(code) - n + 1
@@ -51,14 +64,17 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = letter[:m].copy() if n == 1 else (letter[1:m + 1] if n == 3 else letter[:m] | letter[1:m + 1])
         ok &= doc[:m] == doc[n - 1 :]
         at = np.flatnonzero(ok)
-        value = np.full(len(at), n, dtype=np.uint64)
-        for k in range(n):
-            value = (value ^ code[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
-        found.append(doc[at] << GRAM_BITS | (value >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+        value = doc[at]
+        for k in range(3):
+            value = value << bits | (code[at + k] if k < n else 0)
+        found.append(value)
     keys = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
-    return keys[first] >> GRAM_BITS, keys[first] & ((1 << GRAM_BITS) - 1), np.diff(np.r_[first, len(keys)])
+    n, key = np.diff(np.r_[first, len(keys)]), keys[first]
+    gram = np.zeros(len(key), dtype=np.int64)
+    for k in (2, 1, 0):
+        gram = gram << CODE_BITS | alphabet[key >> k * bits & ((1 << bits) - 1)]
+    return key >> 3 * bits, gram, n
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str]]]:
@@ -71,33 +87,34 @@ def profiles(df: DataFrame, lang_col: str, text_col: str, size: int = PROFILE) -
     """``lang, gram, rank`` (from 0): the most frequent n-grams of each language over all rows of ``df``.
 
     Rows without a language teach nothing. Tasks add up their own texts first, so what is shuffled is a row for each
-    task, language and n-gram; ties of counts are broken by the n-gram's hash.
+    task, language and n-gram; ties of counts are broken by the n-gram's code points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
-        keys, counts, pending = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+        held, pending = [(np.zeros(0, dtype=np.int64),) * 3], 0
 
         def added_up() -> None:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
-            keys[:], counts[:] = [key], [total]
+            lang, gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((gram, lang))
+            lang, gram, n = lang[order], gram[order], n[order]
+            first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1])]) if len(lang) else order
+            held[:] = [(lang[first], gram[first], np.add.reduceat(n, first) if len(first) else n)]
 
         for batch in batches:
             for a, b, texts in _batches(batch, 1):
                 langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).slice(a, b - a).to_pylist()])
                 doc, gram, n = grams(texts)
-                keys.append(langs[doc] << GRAM_BITS | gram)
-                counts.append(n)
+                held.append((langs[doc], gram, n))
                 pending += len(n)
                 if pending > PENDING:
                     added_up()
                     pending = 0
         added_up()
+        lang, gram, n = held[0]
         known = np.array([*names, ""], dtype=object)
-        for part in np.array_split(np.arange(len(keys[0])), max(1, len(keys[0]) // 100_000)):
-            key = keys[0][part]
-            yield pa.RecordBatch.from_arrays([pa.array(known[key >> GRAM_BITS], pa.string()), pa.array(key & ((1 << GRAM_BITS) - 1)), pa.array(counts[0][part])], names=["lang", "gram", "n"])
+        for part in np.array_split(np.arange(len(lang)), max(1, len(lang) // 100_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(known[lang[part]], pa.string()), pa.array(gram[part]), pa.array(n[part])], names=["lang", "gram", "n"])
 
     rows = df.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("_text"))
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -117,23 +134,24 @@ def predict(df: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col:
     ranks = [[(r["gram"], r["rank"]) for r in known if r["lang"] == n] for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.zeros(1 << GRAM_BITS, dtype=np.int32)  # an n-gram's column in the table of ranks, 0 for other n-grams
-        every = sorted({g for profile in ranks for g, _ in profile})
-        slot[every] = np.arange(1, len(every) + 1)
+        every = np.array(sorted({g for profile in ranks for g, _ in profile}), dtype=np.int64)
+        # a column for each n-gram of any profile, and one for all others
         place = np.full((len(names), len(every) + 1), -1, dtype=np.int32)
         for k, profile in enumerate(ranks):
-            for g, r in profile:
-                place[k, slot[g]] = r
+            of = np.array(profile, dtype=np.int64).reshape(-1, 2)
+            place[k, np.searchsorted(every, of[:, 0])] = of[:, 1]
         for batch in batches:
             for a, b, texts in _batches(batch, 1):
                 doc, gram, n = grams(texts)
-                # most frequent first; counts stay below 2^29, texts of a slice below 2^12
-                key = np.sort(doc << 51 | ((1 << 29) - 1 - n) << GRAM_BITS | gram)
-                doc, gram = key >> 51, key & ((1 << GRAM_BITS) - 1)
+                # most frequent first; n-grams come in order, and ties stay in it
+                order = np.argsort(doc << 32 | ((1 << 32) - 1 - n), kind="stable")
+                doc, gram = doc[order], gram[order]
                 starts = np.searchsorted(doc, np.arange(len(texts) + 1))
                 rank = np.arange(len(doc)) - starts[doc]
                 top = rank < size
-                doc, column, rank = doc[top], slot[gram[top]], rank[top]
+                doc, gram, rank = doc[top], gram[top], rank[top]
+                column = np.searchsorted(every, gram)
+                column[~np.isin(gram, every)] = len(every)
                 n_top = np.bincount(doc, minlength=len(texts))
                 far = np.stack([np.bincount(doc, np.where(p[column] < 0, size, np.abs(p[column] - rank)), len(texts)) for p in place]) if names else np.zeros((1, len(texts)))
                 best = far.argmin(axis=0)
@@ -151,6 +169,10 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def identify(df: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``: learned from the documents that aren't held out, applied to all."""
+    """``doc_id, held_out, lang_pred, score``: learned from the documents that aren't held out, applied to all.
+
+    Null and empty texts are UNDETERMINED with score 0; rows with a null language teach nothing, null ids may teach; repeated
+    rows stay and teach each time; texts of any length count whole; an empty table gives an empty result; other columns are ignored.
+    """
     learned = profiles(df.filter(~held_out()), "lang", "text")
     return predict(df, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
