@@ -19,6 +19,8 @@ BLOCK = 512
 SHARD_SLOTS = 1024
 SHARE = (3, 2)
 TIMES = 2
+#: Slots that a task lists and permutes, about.
+TASK_SLOTS = 1 << 14
 WEIGHTS = (5, 2, 1)
 CHUNK = 4096
 
@@ -119,7 +121,9 @@ class Mix:
         drawn = drawn.groupBy("ord", (_hash32("concat(ord, ':', slot)") % shards).alias("shard")).agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("ord").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
         counts = durable(drawn.withColumn("first", upto - F.col("n")))
-        slots = counts.join(quota, "ord").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+        # counts are few bytes, which adaptive execution would leave to one task; what comes of them is many rows
+        dealt = counts.join(quota, "ord").repartition(ceil(n / TASK_SLOTS) + 1, "ord", "shard")
+        slots = dealt.withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
         slots = slots.withColumns({"round": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
         slots = permuted(slots, "least(at, greatest(whole - 1, 0))", "whole", "(ord * 7919 + round * 104729 + 17)", "image")
         return slots.select(
