@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.rays import probes
 from ..grid import CELL, FRAME, Grid
+from ..sources.shared import written
 
 
 def occupied_cells(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
     return maps.filter(g.occupied(F.col("p"), threshold)).select(*FRAME, *CELL)
 
 
+def written_occupied(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``frame key, row, col, p`` of the occupied cells (p is 1), read from the shared checkpoint folder; a frame that has none
+    keeps one row without a cell. A frame has as many cells as the map at most."""
+    cells = F.collect_list(F.when(g.occupied(F.col("p"), threshold), F.struct(*CELL)))
+    frames = written(maps.groupBy(*FRAME).agg(cells.alias("cells")))
+    out = frames.select(*FRAME, F.explode_outer("cells").alias("c"))
+    return out.select(*FRAME, "c.row", "c.col", F.when(F.col("c").isNotNull(), F.lit(1.0)).alias("p"))
+
+
 def box_hits(maps: DataFrame, box_cells: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``frame key, box_id, n_box, n_hit``: a box's cells, and those of them that are occupied. Boxes without cells are left out."""
     hit = occupied_cells(maps, threshold).withColumn("hit", F.lit(1))
@@ -75,7 +85,12 @@ def angular_nmse(maps: DataFrame, points: DataFrame, grid: Grid = Grid(), bins:
 
 
 def scores(maps: DataFrame, points: DataFrame, boxes: DataFrame, box_cells: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> DataFrame:
-    """All scores of each frame's map in one row."""
+    """All scores of each frame's map in one row.
+
+    Every score asks for the occupied cells alone. They are written once, a row for each frame, so that the map behind
+    them, which sends a ray to every hit, is made once and not for each score.
+    """
+    maps = written_occupied(maps, threshold)
     out = angular_nmse(maps, points, grid, threshold=threshold).drop("n_bins")
     out = out.join(iobb(maps, box_cells, threshold), FRAME, "left")
     return out.join(precision(maps, boxes, box_cells, threshold).drop("n_true"), FRAME, "left")

@@ -5,9 +5,6 @@ Whole-number arithmetic first and one division last, so that any engine gets the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,12 +186,6 @@ QUARTERS = (
 )
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, or a temporary one where the session names none (tests)."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
-
-
 def metadata(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Writes the catalogue's tables as files of JSON arrays, one for each scene or residue of a key."""
     pose = frames(spark, sf_dir).selectExpr("concat('p', cast(scene_id AS int) + 5 * frame_idx) AS token", "pose_t AS translation", "pose_q AS rotation", "scene_id AS part")

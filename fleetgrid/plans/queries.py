@@ -14,6 +14,7 @@ from ..grid import CELL, FRAME, Grid
 from ..operators import boxes as bx
 from ..operators import catalog, metrics, preprocess, reports, tier1, tier2
 from ..sources import readers
+from ..sources.shared import new_folder
 from . import fixtures as fx
 from .oracle import HIGH_OK, K, RANGE_OK, fold, sql
 
@@ -625,7 +626,7 @@ def c1_files_by_split(spark: SparkSession, d: str) -> DataFrame:
 )
 def s1_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Tables of metadata written as JSON arrays and read again: rows, and the sum of a column, of each."""
-    root = fx.folder(spark)
+    root = new_folder(spark)
     fx.metadata(spark, d, root)
     sums = {"scene": "nbr_samples", "sample": "timestamp", "sample_data": "cast(is_key_frame AS int)", "ego_pose": "translation[0]", "calibrated_sensor": "translation[2]", "sample_annotation": "size[0]"}
     found = readers.read_metadata(spark, root)
@@ -692,7 +693,7 @@ _LOGGED = ("dataset", "scene_id", "frame_idx", "mode", "beta", "nmse", "iobb", "
 @query(sql("SELECT dataset, scene_id, frame_idx, method AS mode, beta::DOUBLE AS beta, nmse, iobb, precision, iters, converged, elapsed_s, true AS no_error FROM res", "res"))
 def s8_results_log(spark: SparkSession, d: str) -> DataFrame:
     """Results added to a log in two runs, and read again."""
-    path, rows = fx.folder(spark), fx.results(spark, d).withColumnRenamed("method", "mode")
+    path, rows = new_folder(spark), fx.results(spark, d).withColumnRenamed("method", "mode")
     for beta in (0, 1):
         readers.append_results(rows.filter(F.col("beta") == beta), path)
     return readers.read_results(spark, path).select(*_LOGGED, F.col("error").isNull().alias("no_error"))
@@ -701,7 +702,7 @@ def s8_results_log(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT dataset, method, count(nmse) AS n, round(min(nmse), 6) AS least FROM res WHERE beta = 1 GROUP BY ALL", "res"))
 def s9_report_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """A report written twice: the second run's rows alone are left."""
-    path, rows = fx.folder(spark), fx.results(spark, d)
+    path, rows = new_folder(spark), fx.results(spark, d)
     for part in (rows, rows.filter("beta = 1")):
         readers.write_report(part.groupBy("dataset", "method").agg(F.count("nmse").alias("n"), r6(F.min("nmse"), "least")), path)
     return spark.read.parquet(path)
