@@ -59,3 +59,44 @@ def test_matching_statistics(words):
     runs = {tuple(t.split()[i:j]) for t, _ in templates for i in range(9) for j in range(i + 1, len(t.split()) + 1)}
     for at, (_, n) in enumerate(m.statistics(ids)):
         assert n == max([0, *(k for k in range(1, at + 2) if tuple(words[at + 1 - k : at + 1]) in runs)])
+
+
+def test_whole_licences_are_found_in_altered_copies(spark):
+    """Each whole text with a name put in, every 40th word changed, and clauses left out at its end."""
+    rows = []
+    for i, (text, label) in enumerate(licenses.WHOLE):
+        words = [f"w{k}" if k % 40 == 39 else w for k, w in enumerate(text.split())]
+        words[25:25] = ["Copyright", "2024", "Some", "One"]
+        rows.append((i, "intro text. " + ", ".join(words[: int(len(words) * 0.9)]).upper() + " more of the text", label))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for i, text, label in rows:
+        best = max((s for s in got[i]["spans"] if s["label"] == label), key=lambda s: s["last_word"] - s["first_word"])
+        assert best["last_word"] - best["first_word"] > 0.8 * len(text.split()) and best["cover"] >= licenses.MIN_COVER
+
+
+def test_phrases_of_one_word():
+    m = licenses.Automaton((("zlib", "z"), ("all rights", "r")), (("a b c", "t"),))
+    assert m.scan([b"x", b"zlib", b"y", b"all", b"rights", b"zlib"])[0] == [(1, 0), (3, 1), (5, 0)]
+
+
+def plain_cover(words, template):
+    """The best chain of maximal matches of MIN_MATCH words or more: ever later in both, MAX_GAP words apart in the text at most."""
+    runs = {tuple(template[i:j]) for i in range(len(template)) for j in range(i + 1, len(template) + 1)}
+    ends = [max([0, *(n for n in range(1, at + 2) if tuple(words[at + 1 - n : at + 1]) in runs)]) for at in range(len(words))] + [0]
+    found = []
+    for at, n in enumerate(ends[:-1]):
+        if n >= licenses.MIN_MATCH and ends[at + 1] <= n:
+            found += [(at + 1 - n, a, n) for a in range(len(template) - n + 1) if template[a : a + n] == words[at + 1 - n : at + 1]]
+    best = {}
+    for first, a, n in sorted(found):
+        best[first, a, n] = n + max([0, *(c for (f, b, m), c in best.items() if b + m <= a and f + m <= first <= f + m + licenses.MAX_GAP)])
+    return max([0, *best.values()]) / len(template)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("a b c d x".split()), max_size=40))
+def test_best_covers_match_a_plain_search(words):
+    template = "a b c d a c b d d a".split()
+    m = licenses.Automaton((), ((" ".join(template), "t"),))
+    spans = m.scan([w.encode() for w in words])[1]
+    assert max([0.0, *(s.cover for s in spans)]) == plain_cover(words, template)
