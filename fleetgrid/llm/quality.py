@@ -68,6 +68,18 @@ class Model(NamedTuple):
         return out
 
 
+def slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its derivatives by each score and each cut."""
+    n, rows = len(score), np.arange(len(score))
+    # P(grade <= k) at the cuts, with 0 and 1 at the ends
+    below = np.c_[np.zeros(n), 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -60, 60))), np.ones(n)]
+    low, high = below[rows, grades], below[rows, grades + 1]
+    chance = np.maximum(high - low, 1e-9)
+    slope_low, slope_high = low * (1 - low) / chance, high * (1 - high) / chance
+    by_cut = np.array([slope_low[grades == k + 1].sum() - slope_high[grades == k].sum() for k in range(len(cuts))]) / n
+    return float(-np.log(chance).mean()), (slope_high - slope_low) / n, by_cut
+
+
 def fit_model(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray) -> Model:
     """Maximum likelihood with a small weight decay, over the features that differ between grades beyond chance."""
     top = int(grades.max(initial=0))
@@ -93,15 +105,8 @@ def fit_model(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.nd
     moments = [np.zeros(len(chosen) + top) for _ in range(2)]
     for step in range(1, ROUNDS + 1):
         score = np.bincount(doc, w[column] * value, n)
-        # P(grade <= k) at the cuts, with 0 and 1 at the ends
-        below = np.c_[np.zeros(n), 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -60, 60))), np.ones(n)]
-        rows = np.arange(n)
-        low, high = below[rows, grades], below[rows, grades + 1]
-        chance = np.maximum(high - low, 1e-9)
-        slope_low, slope_high = low * (1 - low) / chance, high * (1 - high) / chance
-        by_score = (slope_high - slope_low) / n
+        _, by_score, grad_cuts = slopes(score, cuts, grades)
         grad_w = np.bincount(column, by_score[doc] * value, len(chosen)) + DECAY * w
-        grad_cuts = np.array([slope_low[grades == k + 1].sum() - slope_high[grades == k].sum() for k in range(top)]) / n
         grad = np.r_[grad_w, grad_cuts]
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad * grad

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,3 +43,31 @@ def test_odd_conversations(spark):
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), sha("".join(f"{r}\n{x}\n" for *_, r, x in turns)))
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
     assert chat.formatted_conversations(df.limit(0)).count() == 1
+
+
+def test_paths_of_random_trees_match_a_plain_search(spark):
+    rng, rows = random.Random(6), []
+    for tree in range(25):
+        own = []
+        for _ in range(rng.randrange(1, 30)):
+            parent = rng.choice([None, *own[-4:], *own]) if own else None
+            if rng.random() < 0.05:
+                parent = -len(rows) - 1  # of a message that is missing
+            own.append(len(rows))
+            rows.append((len(rows), parent, tree, rng.choice([None, 0.0, 0.25, 0.5, 1.0])))
+    parent_of = {i: p for i, p, *_ in rows}
+    score = {i: s or 0.0 for i, _, _, s in rows}
+    inner, want = {*parent_of.values()}, {}
+    for tree in range(25):
+        found = []
+        for leaf in (i for i, _, t, _ in rows if t == tree and i not in inner):
+            path = [leaf]
+            while parent_of.get(path[0]) in parent_of:
+                path.insert(0, parent_of[path[0]])
+            found.append((-sum(score[i] for i in path) / len(path), leaf, path))
+        want |= {(tree, k): path for k, (*_, path) in enumerate(sorted(found)[:3], 1)}
+    got = {}
+    messages = spark.createDataFrame(rows, "id long, parent long, tree_id long, score double")
+    for r in chat.paths(messages, best=3).orderBy("depth").collect():
+        got.setdefault((r["tree_id"], r["rank"]), []).append(r["id"])
+    assert len(want) > 40 and got == want

@@ -11,7 +11,7 @@ def test_held_out_selection(spark):
     assert share[1, 0] > 0.97 and share[0, 0] < 0.05 and share[1, 1] < 0.7
 
 
-def test_ordered_thresholds_and_gradient():
+def test_ordered_thresholds():
     rng = np.random.default_rng(0)
     n = 600
     grades = rng.integers(0, 3, n)
@@ -44,3 +44,26 @@ def test_held_out_documents_with_insults_go(spark):
     toxic = [r["selected"] for r in got if r["toxic"] == 1 and r["insults"] >= 3]
     clean = [r["selected"] for r in got if r["toxic"] == 0]
     assert len(toxic) > 40 and not any(toxic) and sum(clean) > 0.985 * len(clean)
+
+
+def plain_loss(score, cuts, grades):
+    """Mean negative log-likelihood, one text at a time."""
+    total = 0.0
+    for x, g in zip(score, grades, strict=True):
+        upto = [0.0, *(1 / (1 + np.exp(x - c)) for c in cuts), 1.0]
+        total -= np.log(upto[g + 1] - upto[g])
+    return total / len(score)
+
+
+def test_loss_and_gradient_match_a_plain_computation():
+    rng, step = np.random.default_rng(2), 1e-6
+    for cuts in (np.array([0.3]), np.array([-0.5, 0.8]), np.array([-1.0, 0.1, 1.7])):
+        score, grades = rng.normal(size=40), rng.integers(0, len(cuts) + 1, 40)
+        loss, by_score, by_cut = quality.slopes(score, cuts, grades)
+        assert abs(loss - plain_loss(score, cuts, grades)) < 1e-9
+        for slope, own, other in ((by_score, score, lambda v: plain_loss(v, cuts, grades)), (by_cut, cuts, lambda v: plain_loss(score, v, grades))):
+            for i in range(len(own)):
+                up, down = own.copy(), own.copy()
+                up[i] += step
+                down[i] -= step
+                assert abs(slope[i] - (other(up) - other(down)) / (2 * step)) < 1e-6
