@@ -13,6 +13,7 @@ from ..functions.rays import ray
 from ..grid import CELL, FRAME, Grid
 from ..operators import boxes as bx
 from ..operators import catalog, metrics, preprocess, reports, tier1, tier2
+from ..operators.solver import Settings
 from ..sources import readers
 from ..sources.shared import new_folder
 from . import fixtures as fx
@@ -492,6 +493,42 @@ def t2_pcsbl(spark: SparkSession, d: str) -> DataFrame:
     return tier2.frame_maps(_kept(spark, d)).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
 
 
+def _around(c: str) -> str:
+    """Sum of the four neighbours of a cell, over a table of all cells."""
+    sides = (f"{f}({c}) OVER (PARTITION BY {K}, {a} ORDER BY {b})" for a, b in (("row", "col"), ("col", "row")) for f in ("lag", "lead"))
+    return " + ".join(f"coalesce({x}, 0)" for x in sides)
+
+
+def _two_steps(beta: int) -> str:
+    """Two steps of expectation-maximisation where rays have no weight, so that each cell is solved by itself."""
+    coupled = lambda c: f"({c} + {beta} * ({_around(c)}))"
+    update = lambda omega: f"least(greatest((2 * 1e-4::DOUBLE + 1) / (2 * 1e-4::DOUBLE + {omega}), 1e-3), 1e3)"
+    cells = f"""SELECT {K}, row, col, coalesce(n, 0)::DOUBLE AS h FROM (SELECT * FROM (SELECT DISTINCT {K} FROM model_rays), (SELECT unnest(range(80))::INT AS row), (SELECT unnest(range(80))::INT AS col))
+        LEFT JOIN (SELECT {K}, row, col, n FROM model_rays WHERE i = m) USING ({K}, row, col)"""
+    start = f"SELECT *, {update('(30 * h / (30 * h + 1)) * (30 * h / (30 * h + 1)) + 1 / 30.0::DOUBLE')} AS a FROM ({cells})"
+
+    def step(before: str) -> str:
+        return f"SELECT *, 30 * h / d AS mu, (30 * h / d) * (30 * h / d) + 1 / d AS v FROM (SELECT {K}, row, col, h, a, {coupled('a')} + 30 * h AS d FROM ({before}))"
+
+    first = f"SELECT {K}, row, col, h, {update(coupled('v'))} AS a FROM ({step(start)})"
+    second = f"SELECT {K}, row, col, mu, 0.7::DOUBLE * a + 0.3::DOUBLE * {update(coupled('v'))} AS alpha FROM ({step(first)})"
+    return sql(f"SELECT {K}, row, col, round(mu, 6) + 0.0 AS mu, round(alpha, 6) + 0.0 AS alpha FROM ({second}) SEMI JOIN model_rays USING ({K}, row, col)", "model_rays")
+
+
+@query(_two_steps(1))
+def t2_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The first two steps of the solver, coupled to neighbours, without rays: the map itself, cell by cell."""
+    solved = tier2.frame_maps(_kept(spark, d), Settings(beta=1.0, free_weight=0.0, max_iter=2))
+    return tier2.solved_cells(solved).select(*FRAME, *CELL, r6("mu"), r6("alpha"))
+
+
+@query(_two_steps(0))
+def t6_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    """As t2_two_steps, without the coupling, as one point of a sweep."""
+    swept = tier2.swept_maps(_kept(spark, d), Settings(max_iter=2), beta=[0.0, 1.0], free_weight=[0.0])
+    return tier2.solved_cells(swept.filter("beta = 0")).select(*FRAME, *CELL, r6("mu"), r6("alpha"))
+
+
 @query()
 def t3_sectors(spark: SparkSession, d: str) -> DataFrame:
     return tier2.sector_maps(_kept(spark, d), 2)
