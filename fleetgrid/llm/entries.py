@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact_dedup, langid, licenses, mixing, pq, quality, sharding, simhash
+from . import align, ann, bpe, chat, exact_dedup, langid, licenses, mixing, pq, quality, sharding, simhash
 from .common import table
 
 
@@ -51,12 +51,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.compress(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_chat_format, op4_exact_dedup, op5_additive_ann, op6_language_id, op7_license_scan, op8_quality, op9_simhash, op10_sharding, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_chat_format, op4_exact_dedup, op5_additive_ann, op6_language_id, op7_license_scan, op8_quality, op9_simhash, op10_sharding, op11_token_alignment, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
