@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, ann, bpe, chat, exact_dedup, langid, licenses, mixing, pq, quality, sharding, simhash
+from . import align, ann, bpe, chat, exact_dedup, langid, licenses, minhash, mixing, pq, quality, sharding, simhash
 from .common import table
 
 
@@ -59,9 +59,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_chat_format, op4_exact_dedup, op5_additive_ann, op6_language_id, op7_license_scan, op8_quality, op9_simhash, op10_sharding, op11_token_alignment, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_chat_format, op4_exact_dedup, op5_additive_ann, op6_language_id, op7_license_scan, op8_quality, op9_simhash, op10_sharding, op11_token_alignment, op12_vector_codes, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_sharding": sharding.ORACLE, "op12_vector_codes": pq.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_chat_format": chat.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_sharding": sharding.ORACLE, "op12_vector_codes": pq.ORACLE, "op13_minhash": minhash.ORACLE}

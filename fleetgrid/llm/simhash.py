@@ -7,6 +7,7 @@ have overflowed are abandoned. Candidates share the bits of one of several table
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -15,15 +16,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, marks, scratch, slices, text_or_empty, without
+from .alike import SEED, Group, Search, Wanted, alike_components, apart, components, dealt, dealt_again, edges_to, first_of_each, forest, grouped, shingles
+from .common import durable, slices, text_or_empty
 
-SEED = 42
-#: Fingerprints compared in one group; larger buckets are dealt out in parts of this size.
-PART = 1024
 #: Planes added between looks at which words can be abandoned, and pairs looked at together.
 LOOK = 16
 AT_ONCE = 1 << 20
@@ -54,13 +52,10 @@ def drawn(bits: int, width: int, tables: int) -> tuple[tuple[int, ...], ...]:
 
 #: Three words, 64 bits, radius 3: links are exact.
 CLOSE = Scheme(3, 1, 3, banded(64, 3, 5))
-#: Five words, for candidates of texts whose shingle sets are alike to LIKENESS or more. With that likeness (a cosine of 0.89)
+#: Five words, for candidates of texts whose shingle sets are alike to 0.8 or more. With that likeness (a cosine of 0.89)
 #: 15 % of 256 bits differ, 39 with a spread of 5.7; the radius lies three spreads above. That a candidate is alike is
 #: decided by the sets themselves.
 ALIKE = Scheme(5, 4, 58, drawn(256, 14, 72), True)
-LIKENESS = 0.8
-#: Bits of a sketch of a set: each tells whether an odd number of members falls on it.
-SKETCH_BITS = 512
 #: Besides its nearest candidate, a text is first compared with the first of those below it within each of these distances.
 TIERS = (30, 44)
 
@@ -76,15 +71,6 @@ def _wide(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """A hash of each run of n words, repeats included; fewer words are one shingle."""
-    words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
-    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), dtype=np.uint64)
-
-
 def fingerprint(text: str, scheme: Scheme = CLOSE) -> bytes:
     """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included unless distinct."""
     hashes = shingles(text, scheme.shingle)
@@ -99,12 +85,6 @@ def _majority(hashes: np.ndarray, words: int) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def sketch(members: np.ndarray) -> bytes:
-    """Two sets differ in at least as many members as their sketches do in bits."""
-    odd = np.bincount((members % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
     """``doc_id, fp`` of every row; the fingerprint has its highest bit first. Null texts have no words."""
 
@@ -190,30 +170,6 @@ def _hits(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.nda
         first, until = until, until * 4
 
 
-def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[x]
-        if np.array_equal(up, x):
-            return x
-        x = up
-
-
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """For rows sorted by key: the position that stands for each row's component under links between equal keys."""
-    parent = np.arange(len(keys))
-    for i, j in _hits(keys, fps, radius, also):
-        a, b = _roots(parent, i), _roots(parent, j)
-        for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        parent = _roots(parent, parent)
-    return parent
-
-
 def _masks(scheme: Scheme) -> np.ndarray:
     """The bits of each table, as words that lie like those of a fingerprint."""
     bits = np.zeros((len(scheme.tables), 64 * scheme.words), dtype=np.uint8)
@@ -231,10 +187,10 @@ def _met_before(differ: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.
     return met
 
 
-def _keyed(reps: DataFrame, scheme: Scheme, names: list[str]) -> DataFrame:
-    """``key`` and the columns ``names`` (rep, fp, ...): a row for each table."""
-    size = 8 * scheme.words
-    kinds = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in names)
+def _keyed(reps: DataFrame, names: list[str], scheme: Scheme) -> DataFrame:
+    """``key`` and the columns ``names`` of ``reps`` (rep, code, ...): a row for each table."""
+    size, columns = 8 * scheme.words, ["rep", "code", *(n for n in names if n not in ("rep", "code"))]
+    kinds = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in columns)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -243,293 +199,52 @@ def _keyed(reps: DataFrame, scheme: Scheme, names: list[str]) -> DataFrame:
                 bits = _bits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, size)).astype(np.int64)
                 for n, table in enumerate(scheme.tables):
                     key = bits[:, list(table)] @ (1 << np.arange(len(table), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(n << 32 | key), *batch.columns], names=["key", *columns])
 
-    return reps.select(*names).mapInArrow(keyed, f"key long, {kinds}")
+    return reps.select(*columns).mapInArrow(keyed, f"key long, {kinds}").select("key", *names)
 
 
-def _part(n: str) -> Column:
-    return F.pmod(F.xxhash64("rep"), F.col(n))
+def _candidates(g: Group, wanted: Wanted, scheme: Scheme, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and the bits in which they differ, of pairs within the radius that no table before has shown."""
+    wide, table = np.ascontiguousarray(g.code).view(np.uint64), g.key >> 32
+    for i, j in _hits(g.number, g.code, scheme.radius, wanted):
+        differ = wide[i] ^ wide[j]
+        new = ~_met_before(differ, table[i], masks)
+        if new.any():
+            yield i[new], j[new], np.bitwise_count(differ[new]).sum(axis=1, dtype=np.int64)
 
 
-def _dealt(reps: DataFrame, scheme: Scheme, *more: str) -> tuple[DataFrame, bool]:
-    """Rows ``key, part, split, rep, fp`` and the columns ``more``, in the order of key and part; and whether a bucket was split.
-
-    A bucket over PART rows is dealt out to parts, each row to one of them. Its first row goes to every part, so that
-    what is near to it meets there; other pairs of a split bucket may not meet (see _dealt_again).
-    """
-    names = ["rep", "fp", *more]
-    rows = _keyed(reps, scheme, names)
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter(F.col("n") > PART)
-    large = durable(counts.select("key", F.ceil(F.col("n") / PART).alias("parts"), "first"))
-    split = not large.isEmpty()
-    if split:
-        met = rows.join(large, "key", "left")
-        everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-        own = F.when(F.col("rep") == F.col("first"), everywhere).otherwise(F.array(F.coalesce(_part("parts"), F.lit(0).cast("long"))))
-        dealt = met.select("key", F.explode(own).alias("part"), F.col("parts").isNotNull().alias("split"), *names)
-    else:
-        dealt = rows.select("key", F.lit(0).cast("long").alias("part"), F.lit(False).alias("split"), *names)
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep"), split
-
-
-def _dealt_again(reps: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
-    """Rows ``key, part, side, rep, fp`` and the columns ``more``, one of which is ``label``: groups in which each pair of rows
-    of a bucket whose labels differ meets.
-
-    Buckets with one label are left out. In a bucket over PART rows, those of the most common label needn't meet each other: they are
-    dealt out to parts once for each part of the rest, and the rest alone is dealt out as pairs of its parts.
-    In a group of both, ``side`` is 1 for the rest and 2 for the common label, else 0; equal sides above 0 needn't be compared.
-    """
-    names = ["rep", "fp", *more]
-    rows = _keyed(reps, scheme, names)
-    mixed = durable(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "n"))
-    small = rows.join(mixed.filter(F.col("n") <= PART).select("key"), "key").select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), *names)
-    large = mixed.filter(F.col("n") > PART)
-    if large.isEmpty():
-        out = small
-    else:
-        in_large = rows.join(large.select("key", "n"), "key")
-        labels = in_large.groupBy("key", "label", "n").agg(F.count("*").alias("of_label"))
-        common = labels.groupBy("key", "n").agg(F.max(F.struct("of_label", "label")).alias("most"))
-        common = durable(common.select("key", F.col("most.label").alias("common"), F.ceil(F.col("most.of_label") / PART).alias("pm"), F.ceil((F.col("n") - F.col("most.of_label")) / PART).alias("pr")))
-        met = rows.join(common, "key").withColumns({"m": _part("pm"), "r": _part("pr")})
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        group = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
-        across = lambda r, m: F.col("pr") * F.col("pr") + r * F.col("pm") + m
-        of_common = F.transform(upto("pr"), lambda r: group(across(r, F.col("m")), 2))
-        with_rest = F.transform(upto("pr"), lambda r: group(F.least(F.col("r"), r) * F.col("pr") + F.greatest(F.col("r"), r), 0))
-        with_common = F.transform(upto("pm"), lambda m: group(across(F.col("r"), m), 1))
-        groups = F.when(F.col("label") == F.col("common"), of_common).otherwise(F.concat(with_rest, with_common))
-        out = small.unionByName(met.select("key", F.explode(groups).alias("g"), *names).select("key", "g.part", "g.side", *names))
-    return out.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
-
-
-class _Group(NamedTuple):
-    """Whole groups of dealt rows, sorted by group: its number, the table of its key, the third column, and the others."""
-
-    number: np.ndarray
-    table: np.ndarray
-    mark: np.ndarray
-    rep: np.ndarray
-    fp: np.ndarray
-    more: list[np.ndarray]
-
-    def pairs(self, radius: int, masks: np.ndarray, also: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """i, j and the bits in which they differ, of pairs that no table before has shown.
-
-        With sketches of sets (and their sizes, the first of the other columns), pairs whose sets can't be alike to LIKENESS are
-        left out: sets of that likeness differ in a share (1 - LIKENESS) / (1 + LIKENESS) of their members at most.
-        """
-        wide = np.ascontiguousarray(self.fp).view(np.uint64)
-        for i, j in _hits(self.number, self.fp, radius, also):
-            if sketches is not None:
-                n = self.more[0].astype(np.int64)
-                apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
-                can = apart <= (n[i] + n[j]) * (1 - LIKENESS) / (1 + LIKENESS) + 1e-6
-                i, j = i[can], j[can]
-            differ = wide[i] ^ wide[j]
-            new = ~_met_before(differ, self.table[i], masks)
-            if new.any():
-                yield i[new], j[new], np.bitwise_count(differ[new]).sum(axis=1, dtype=np.int64)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Group]:
-    kept = None
-    for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
-        new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, size))
-        new += [c.to_numpy(zero_copy_only=False) for c in batch.columns[5:]]
-        columns = [np.concatenate([k, c]) for k, c in zip(kept, new, strict=True)] if kept else new
-        last = np.flatnonzero(_changes(*columns[:2]))
-        end = int(last[-1]) + 1 if len(last) else 0
-        if end:
-            yield _numbered([c[:end] for c in columns])
-        kept = [c[end:] for c in columns]
-    if kept and len(kept[0]):
-        yield _numbered(kept)
-
-
-def _changes(key: np.ndarray, part: np.ndarray) -> np.ndarray:
-    return (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-
-
-def _numbered(columns: list[np.ndarray]) -> _Group:
-    key, part, mark, rep, fp, *more = columns
-    return _Group(np.cumsum(np.r_[True, _changes(key, part)]), key >> 32, mark, rep, fp, more)
+def search(scheme: Scheme) -> Search:
+    """Candidates by fingerprints of sets: they share the bits of a table and lie within the radius."""
+    return Search(
+        scheme.shingle, functools.partial(_majority, words=scheme.words), 8 * scheme.words, functools.partial(_keyed, scheme=scheme), functools.partial(_candidates, scheme=scheme, masks=_masks(scheme)), TIERS
+    )
 
 
 def links(reps: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
-    """Edges ``a, b`` between rows of ``rep, fp`` (distinct fingerprints): enough of them to join all that is linked.
+    """Edges ``a, b`` between rows of ``rep, code`` (distinct fingerprints): enough of them to join all that is linked.
 
     A bucket (rows that share the bits of a table) yields a spanning forest of its links, never its pairs. Where buckets
     were split, what isn't joined yet is compared again.
     """
-    size, radius = 8 * scheme.words, scheme.radius
+    size, rows_of = 8 * scheme.words, functools.partial(_keyed, scheme=scheme)
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An edge from each row to what stands for its component."""
-        for g in _grouped(batches, size):
-            root = linked(g.number, g.fp, radius)
-            own = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(g.rep[root[own]])], names=["a", "b"])
+        for g in grouped(batches, size):
+            yield edges_to(g.rep, forest(len(g.rep), _hits(g.number, g.code, scheme.radius)))
 
     def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, size):
-            root = linked(g.number, g.fp, radius, _apart(g))
-            own = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(g.rep[root[own]])], names=["a", "b"])
+        for g in grouped(batches, size):
+            yield edges_to(g.rep, forest(len(g.rep), _hits(g.number, g.code, scheme.radius, apart(g, g.more[0]))))
 
-    dealt, split = _dealt(reps, scheme)
-    edges = dealt.mapInArrow(linking, "a long, b long").filter("a <> b").distinct()
+    rows, split = dealt(reps, rows_of)
+    edges = rows.mapInArrow(linking, "a long, b long").filter("a <> b").distinct()
     if not split:
         return edges
     edges = durable(edges)
     of = components(edges)
-    labelled = durable(reps.join(of, reps["rep"] == of["node"], "left").select("rep", "fp", F.coalesce("label", "rep").alias("label")))
-    return edges.unionByName(_dealt_again(labelled, scheme, "label").mapInArrow(joining, "a long, b long").distinct())
-
-
-def _apart(g: _Group, n: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Pairs that are to be compared in a group of _dealt_again; with sizes ``n``, those that can be alike."""
-    label = g.more[-1] if n is None else g.more[1]
-
-    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = (label[i] != label[j]) & ((g.mark[i] != g.mark[j]) | (g.mark[i] == 0))
-        return out if n is None else out & _fit(n, i, j)
-
-    return wanted
-
-
-def _sketched(column: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
-
-
-def _fit(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can be alike to LIKENESS."""
-    return np.minimum(n[i], n[j]) >= LIKENESS * np.maximum(n[i], n[j]) - 1e-9
-
-
-def _least(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
-    """For each distinct value of ``group``: the position of its row that is first by ``by``."""
-    order = np.lexsort((*reversed(by), group))
-    return order[np.r_[True, group[order][1:] != group[order][:-1]]] if len(order) else order
-
-
-def first_candidates(reps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """``a, b`` with a < b: for each row of ``rep, fp, n`` its nearest candidate, and its first ones within each of TIERS; and
-    ``node``: every row that has a candidate, or may have one in another part of a split bucket."""
-    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
-
-    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, size):
-            n = g.more[0]
-            near_d, near_a = np.full(len(n), 1 << 20), np.full(len(n), -1)
-            least = np.full((len(TIERS), len(n)), -1)  # rows are sorted by rep in a group
-            for i, j, far in g.pairs(radius, masks, lambda i, j, n=n: _fit(n, i, j)):
-                for x, y in ((i, j), (j, i)):
-                    best = _least(x, far, y)
-                    x, y, d = x[best], y[best], far[best]
-                    nearer = d < near_d[x]
-                    near_d[x[nearer]], near_a[x[nearer]] = d[nearer], y[nearer]
-                for k, tier in enumerate(TIERS):
-                    own, low = j[far <= tier], i[far <= tier]
-                    best = _least(own, low)
-                    own, low = own[best], low[best]
-                    before = least[k, own]
-                    least[k, own] = np.where(before < 0, low, np.minimum(before, low))
-            at = np.flatnonzero((near_a >= 0) | g.mark.astype(bool))
-            name = lambda p, at=at, g=g: pa.array(g.rep[p[at]], mask=p[at] < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(g.rep[at]), pa.array(near_d[at]), name(near_a), *(name(x) for x in least)], names=["node", "far", "near", *(f"least{t}" for t in TIERS)])
-
-    dealt, _ = _dealt(reps, scheme, "n")
-    tiers = [f"least{t}" for t in TIERS]
-    found = dealt.mapInArrow(finding, f"node long, far long, near long, {', '.join(f'{t} long' for t in tiers)}")
-    found = durable(found.groupBy("node").agg(F.min(F.struct("far", "near")).alias("best"), *(F.min(t).alias(t) for t in tiers)))
-    other = F.explode(F.array_distinct(F.filter(F.array("best.near", *tiers), lambda x: x.isNotNull())))
-    return _ordered(found.select(F.col("node").alias("a"), other.alias("b"))), found.select("node")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def nearest_apart(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b among rows of ``rep, fp, n, label, of_label`` (rows of the label) and ``sketch``: for each row and each
-    other label with as many rows or more, the nearest candidate of that label."""
-    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
-
-    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, size):
-            n, label, of_label, sketches = g.more
-            for i, j, far in g.pairs(radius, masks, _apart(g, n), _sketched(sketches)):
-                swap = (of_label[i] < of_label[j]) | (of_label[i] == of_label[j]) & (label[i] < label[j])
-                own, other = np.where(swap, i, j), np.where(swap, j, i)
-                order = np.lexsort((g.rep[other], far, label[other], own))
-                own, other, far = own[order], other[order], far[order]
-                first = np.r_[True, (own[1:] != own[:-1]) | (label[other[1:]] != label[other[:-1]])]
-                own, other, far = own[first], other[first], far[first]
-                yield pa.RecordBatch.from_arrays([pa.array(g.rep[own]), pa.array(label[other]), pa.array(far), pa.array(g.rep[other])], names=["own", "of", "far", "other"])
-
-    found = _dealt_again(reps, scheme, "n", "label", "of_label", "sketch").mapInArrow(finding, "own long, of long, far long, other long")
-    best = found.groupBy("own", "of").agg(F.min(F.struct("far", "other")).alias("best"))
-    return _ordered(best.select(F.col("own").alias("a"), F.col("best.other").alias("b")))
-
-
-def open_candidates(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``a, b`` with a < b: every candidate pair of rows of ``rep, fp, n, label, sketch`` whose labels differ, once."""
-    size, radius, masks = 8 * scheme.words, scheme.radius, _masks(scheme)
-
-    def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, size):
-            for i, j, _ in g.pairs(radius, masks, _apart(g, g.more[0]), _sketched(g.more[2])):
-                yield pa.RecordBatch.from_arrays([pa.array(g.rep[i]), pa.array(g.rep[j])], names=["a", "b"])
-
-    return _ordered(_dealt_again(reps, scheme, "n", "label", "sketch").mapInArrow(finding, "a long, b long"))
-
-
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``sets`` (node, members: sorted hashes) have a likeness of LIKENESS or more."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= LIKENESS * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    # many pairs may share a, few share b: so the set of b is the one that travels with the pair
-    of_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-    both = of_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(compared, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches. Nodes without edges are left out.
-
-    In each round a node takes the least of itself and its neighbours, then what that one has taken, and so on to the
-    end, twice as far each time; edges are rewritten to what their ends have taken, and those inside one label go. What is
-    left has half the nodes at most, and no round joins all edges again. Every round is written to the shared folder; what is
-    joined is read from there, so that adaptive execution can split the rows of a node with many edges.
-    """
-    with scratch(edges.sparkSession) as written:
-        edges = written(edges.select("a", "b").filter("a <> b").distinct())
-        nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-        labels = written(nodes.withColumn("label", F.col("node")))
-        while not edges.isEmpty():
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            took = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("old"), F.least("a", "least").alias("new")))
-            more = True
-            while more:
-                further = written(took.alias("t").join(took.alias("u"), F.col("t.new") == F.col("u.old")).select("t.old", "u.new", F.col("t.new").alias("was")))
-                more, took = not further.filter("new <> was").isEmpty(), further.drop("was")
-            moved = lambda df, c, took=took: df.join(took, df[c] == took["old"]).drop("old", c).withColumnRenamed("new", c)
-            edges = written(moved(moved(edges, "a"), "b").filter("a <> b").distinct())
-            kept = labels.join(took, labels["label"] == took["old"], "left")
-            labels = written(kept.select("node", F.coalesce("new", "label").alias("label")))
-        return labels
+    labelled = durable(reps.join(of, reps["rep"] == of["node"], "left").select("rep", "code", F.coalesce("label", "rep").alias("label")))
+    return edges.unionByName(dealt_again(labelled, rows_of, "label").mapInArrow(joining, "a long, b long").distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
@@ -542,79 +257,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     too: their component is the smallest known id of the component, or null. An empty table gives an empty result.
     """
     prints = durable(fingerprints(df, id_col, text_col, scheme))
-    reps = durable(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = durable(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumnRenamed("fp", "code"))
     # an id repeated with other texts may stand for several fingerprints; then these are one component by the id
     found = components(links(reps, scheme))
-    classes = durable(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
+    classes = durable(reps.join(found, reps["rep"] == found["node"], "left").select(F.col("code").alias("fp"), F.coalesce("label", "rep").alias("component_id")))
     out = prints.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def _nodes(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
-    """``_id, _h1, _h2, node, n, fp, sketch`` of every row: its keys (see marks), and hash, size, fingerprint and sketch of its set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(3)).to_pylist(), 4_000_000):
-                sets = [np.unique(shingles(t, scheme.shingle)) for t in batch.column(3).slice(a, b - a).to_pylist()]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-                columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: _majority(s, scheme.words), sketch))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *columns], names=["_id", "_h1", "_h2", "node", "n", "fp", "sketch"])
-
-    rows = df.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {df.schema[id_col].dataType.simpleString()}, _h1 long, _h2 long, node long, n int, fp binary, sketch binary")
-
-
-def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, members`` for the rows named by ``wanted`` (_id, _h1, _h2, node): the sorted hashes of their shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
-                made = [np.unique(shingles(t, n)).tobytes() for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made, pa.binary())], names=["node", "members"])
-
-    rows = df.select(F.col(id_col).alias("_own"), *(c.alias(k) for k, c in marks(text_col).items()), text_or_empty(text_col).alias("_text"))
-    found = rows.join(wanted, rows["_own"].eqNullSafe(wanted["_id"]) & (rows["_h1"] == wanted["_h1"]) & (rows["_h2"] == wanted["_h2"]))
-    return found.select("node", "_text").mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
-
-
-def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
-    """``_id, _h1, _h2, label`` of every row; rows of one label are joined by links of texts alike to LIKENESS or more.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
+    """One row of each component of texts whose sets of shingles are alike to 0.8 or more: that with the smallest id, null ids
+    last; its columns stay as they are.
 
-    Fingerprints give the candidates and the sets of shingles decide. Candidates whose sets can't be alike, by a bound that
-    their sketches give, are ruled out where they meet; such a pair never leaves its task. First each text is compared with a few of its
-    candidates, which joins most of what is alike; then with its nearest in each other component; and then every
-    candidate pair that is still apart is compared. So each candidate pair is either compared or already joined, and a
-    large group of near copies never yields its pairs.
+    Fingerprints give the candidates and the sets decide (see alike_components). Ids need not tell rows apart; repeated rows are
+    alike. Null, empty and blank texts are alike. An empty table gives an empty result.
     """
-    rows = durable(_nodes(df, id_col, text_col, scheme))
-    reps = durable(rows.groupBy("node").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "sketch"))))
-    reps = reps.withColumnRenamed("node", "rep")
-    some, near_ones = first_candidates(reps, scheme)
-    some, near_ones = durable(some), durable(reps.join(near_ones, reps["rep"] == near_ones["node"], "left_semi"))
-    sets = durable(_sets(df, id_col, text_col, near_ones.select("row.*", F.col("rep").alias("node")), scheme.shingle))
-    tested, good = some, durable(alike(some, sets))
-    joined = components(good)
-    for search in (nearest_apart, open_candidates):
-        labelled = near_ones.join(joined, near_ones["rep"] == joined["node"], "left").select("rep", "fp", "n", "sketch", F.coalesce("label", "rep").alias("label"))
-        labelled = durable(labelled)
-        of_label = labelled.groupBy("label").agg(F.count("*").alias("of_label"))
-        found = durable(search(labelled.join(of_label, "label"), scheme).join(tested, ["a", "b"], "left_anti"))
-        more = durable(alike(found, sets))
-        tested = tested.unionByName(found)
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            joined = components(good)
-    return rows.join(joined, "node", "left").select("_id", "_h1", "_h2", F.coalesce("label", rows["node"]).alias("label"))
-
-
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = ALIKE) -> DataFrame:
-    """One row of each component of alike texts (see alike_components): that with the smallest id, null ids last; its
-    columns stay as they are. Ids need not tell rows apart. Texts without words are alike."""
-    rows = durable(alike_components(df, id_col, text_col, scheme).groupBy("label", "_id", "_h1", "_h2").agg(F.count("*").alias("copies")))
-    order = F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_h1", "_h2")
-    first = durable(rows.groupBy("label").agg(F.min(order).alias("first"), F.sum("copies").alias("all")).filter("all > 1"))
-    decided = durable(rows.join(first, "label").select("_id", "_h1", "_h2", "copies", order.eqNullSafe(F.col("first")).alias("kept")))
-    gone, once = (decided.filter(c).select("_id", "_h1", "_h2") for c in ("not kept", "kept and copies > 1"))
-    return without(df, id_col, text_col, gone, once)
+    found = search(scheme)
+    return first_of_each(alike_components(df, id_col, text_col, scheme.shingle, found.code, lambda _: found), df, id_col, text_col)

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
-from fleetgrid.llm import simhash
+from fleetgrid.llm import alike, simhash
 
 
 def brute_fingerprint(text, n=3):
@@ -55,8 +56,8 @@ def test_links_in_buckets_of_any_size(spark, monkeypatch):
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = {rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(400)}
     fps = dict(enumerate(sorted(fps)))
-    monkeypatch.setattr(simhash, "PART", 8)
-    nodes = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in fps.items()], "rep long, fp binary")
+    monkeypatch.setattr(alike, "PART", 8)
+    nodes = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in fps.items()], "rep long, code binary")
     found = simhash.components(simhash.links(nodes))
     got = {i: i for i in fps} | {r["node"]: r["label"] for r in found.collect()}
     assert got == brute_components(fps)
@@ -150,7 +151,7 @@ def test_chained_copies_in_split_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert 3 <= len({*label}) < 100
     for part in (1024, 16):
-        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(alike, "PART", part)
         assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {*label}
 
 
@@ -161,7 +162,7 @@ def test_components_match_a_plain_search(spark):
     for _ in edges:
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["label"] for r in alike.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
@@ -178,25 +179,58 @@ def test_sketches_never_rule_out_alike_sets():
         members = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
         for off in range(0, n + 1, max(1, n // 20)):
             x, y = members[:n], members[off : n + off]
-            bits = np.bitwise_count(np.frombuffer(simhash.sketch(x), np.uint8) ^ np.frombuffer(simhash.sketch(y), np.uint8)).sum()
+            bits = np.bitwise_count(np.frombuffer(alike.sketch(x), np.uint8) ^ np.frombuffer(alike.sketch(y), np.uint8)).sum()
             assert bits <= 2 * off
 
 
-def test_many_near_but_not_alike_texts_yield_few_pairs(spark):
-    """Short copies of one text, each with a word of its own changed: nearly all pairs lie within the radius, few are alike."""
-    rng, base = random.Random(4), [f"w{i}" for i in range(30)]
-    texts = []
-    for k in range(240):
-        words = list(base)
-        words[rng.randrange(4, 26)] = f"x{k}"
-        texts.append(" ".join(words))
+def components_of(texts):
+    """The first text that each text reaches by links of texts alike to 0.8, and the number of links."""
     sets = [{*simhash.shingles(t, 5).tolist()} for t in texts]
     label = list(range(len(texts)))
-    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     for _ in texts:
-        for i, j in alike:
+        for i, j in linked:
             label[i] = label[j] = min(label[i], label[j])
+    return label, len(linked)
+
+
+def rows_sent(monkeypatch, name):
+    """Counts of the rows of frames that a function of alike.py gives."""
+    counts, of = [], getattr(alike, name)
+
+    def counted(*args):
+        out = alike.durable(of(*args))
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(alike, name, counted)
+    return counts
+
+
+@pytest.mark.parametrize(("words", "own", "many"), [(30, 1, 240), (118, 14, 400), (118, 14, 800), (1500, 200, 200), (1500, 200, 400)])
+def test_near_but_not_alike_texts_send_no_pairs(spark, monkeypatch, words, own, many):
+    """Texts that share a core and have a tail of their own: nearly all pairs are candidates, few or none are alike."""
+    core = [f"w{i}" for i in range(words - own)]
+    texts = [" ".join([*core[: k % 20 + 4], f"x{k}", *core[k % 20 + 5 :]] if own == 1 else [*core, *(f"x{k}_{i}" for i in range(own))]) for k in range(many)]
+    label, links = components_of(texts)
+    forest, links_sent = rows_sent(monkeypatch, "open_forest"), rows_sent(monkeypatch, "settle")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = simhash._nodes(df, "doc_id", "text", simhash.ALIKE).selectExpr("node AS rep", "n", "fp", "sketch", "node AS label").dropDuplicates(["rep"])
-    assert simhash.open_candidates(nodes, simhash.ALIKE).count() <= 1.1 * len(alike) + 10
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {*label}
+    assert sum(links_sent) < many and sum(forest) <= many * len(simhash.ALIKE.tables)
+    assert links < 0.2 * many * many
+
+
+def test_settled_joins_what_is_alike():
+    rng = np.random.default_rng(6)
+    for n, many in ((5, 60), (70, 80), (900, 50)):
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[: rng.integers(n // 2, n + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 2 + 1), dtype=np.uint64)]) for _ in range(many)]
+        label, mark = rng.integers(0, many // 2, many), rng.integers(0, 3, many)
+        for mark in (np.zeros(many, dtype=int), mark):
+            want, got = list(label), list(label)
+            pairs = [(i, j) for i in range(many) for j in range(i) if alike.are_alike(sets[i], sets[j]) and (mark[i] != mark[j] or mark[i] == 0)]
+            for of, links in ((want, pairs), (got, alike.settled(sets, label, mark))):
+                for i, j in links:
+                    of[:] = [of[i] if x == of[j] else x for x in of]
+            assert len({*zip(want, got)}) == len({*want}) == len({*got})
+            assert all(alike.are_alike(sets[i], sets[j]) for i, j in alike.settled(sets, label, mark))
