@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,13 +31,15 @@ from .bpe import byte_table
 from .common import slices, stored, text_or_empty
 
 #: Text of a batch, and of what is encoded at once, in bytes; a longer text is a batch by itself.
-BATCH_BYTES = 8_000_000
-SLICE_BYTES = 1_000_000
-#: Words remembered by a worker, and the length up to which they are.
-REMEMBERED = 300_000
+BATCH_BYTES = 4_000_000
+SLICE_BYTES = 500_000
+#: Words remembered by a worker (twice as many for a while), the length up to which they are, and words encoded at once.
+REMEMBERED = 150_000
 LONGEST = 60
+AT_ONCE = 10_000
 #: Characters that are no white space, mark or control in any version of Unicode: between two of them, no token crosses a space.
-PLAIN = r"[!-~À-ÖØ-öø-ÿ]"
+PLAIN = "[!-~À-ÖØ-öø-ÿ]"
+CUT = re.compile(f" (?<={PLAIN} )(?={PLAIN})")
 
 
 class Pair:
@@ -51,51 +54,41 @@ class Pair:
         self.a_bytes = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in a_tokens]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.sizes = [np.array([len(t) for t in of], dtype=np.int64) for of in (self.a_bytes, self.b_bytes)]
-        self.names = [[f"{i}{end}".encode() for i in range(len(of)) for end in ends] for of, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
+        self.sizes = [np.array([len(t) for t in of], dtype=np.int32) for of in (self.a_bytes, self.b_bytes)]
+        #: ids of A and what follows them, then those of B
+        self.names = [f"{i}{end}".encode() for of, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(of)) for end in ends]
         #: whether no piece of B holds a space behind another character, so that none crosses the space before a word
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.plain = regex.compile(rf"{PLAIN}(?:.*{PLAIN})?", regex.DOTALL).fullmatch
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of A (of a space and the text) and B (which adds the space), as bytes of 32-bit numbers."""
-        a = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        return [(np.array(x.ids, dtype=np.int32).tobytes(), np.array(y, dtype=np.int32).tobytes()) for x, y in zip(a, b, strict=True)]
-
-    def _words(self, text: str) -> list[str]:
-        """The text, cut at spaces that stand between two plain characters; such a space belongs to the word behind it."""
-        words = text.split(" ")
-        if all(map(self.known.__contains__, words)):
-            return words
-        out, held = [], []
-        for i, word in enumerate(words):
-            held.append(word)
-            # what is remembered begins and ends with plain characters
-            end = word in self.known or bool(word) and self.plain(word[-1])
-            after = words[i + 1][:1] if i + 1 < len(words) else "!"
-            if end and after and self.plain(after):
-                out.append(" ".join(held))
-                held = []
-        if held:
-            out.append(" ".join(held))
-        return out
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        #: ids of A and of B of words seen, as bytes of 32-bit numbers; and those of the words seen before
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.before: list[dict[str, bytes]] = [{}, {}]
+
+    def _learn(self, texts: list[str]) -> None:
+        """Ids of A (of a space and the text) and B (which adds the space)."""
+        known_a, known_b = self.known
+        for k in range(0, len(texts), AT_ONCE):
+            part = texts[k : k + AT_ONCE]
+            a = self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)
+            b = self.b.encode(part, num_threads=1)
+            for text, x, y in zip(part, a, b, strict=True):
+                known_a[text], known_b[text] = array("i", x.ids).tobytes(), array("i", y).tobytes()
+
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """Token ids of A and B of a space and each text."""
-        if not self.splits:
-            return [tuple(np.frombuffer(x, dtype=np.int32) for x in both) for both in self._whole(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self._words(t) for t in texts]
-        new = [*{*chain.from_iterable(cut)}.difference(self.known)]
-        found = dict(zip(new, self._whole(new), strict=True))
-        self.known.update(found)
-        out = [tuple(np.frombuffer(b"".join(x), dtype=np.int32) for x in zip(*map(self.known.__getitem__, words), strict=True)) for words in cut]
+        if len(self.known[0]) > REMEMBERED:
+            self.before, self.known = self.known, [{}, {}]
+        # a space at a cut belongs to the word behind it
+        words = [CUT.split(t) if self.splits else [t] for t in texts]
+        new = {*chain.from_iterable(words)}.difference(self.known[0])
+        again = new.intersection(self.before[0])
+        for known, before in zip(self.known, self.before, strict=True):
+            known.update((w, before[w]) for w in again)
+        new = [*new.difference(again)]
+        self._learn(new)
+        out = [[np.frombuffer(b"".join(map(known.__getitem__, of)), dtype=np.int32) for known in self.known] for of in words]
         for word in new:
-            if len(word) > LONGEST or not self.plain(word):
-                del self.known[word]
+            if len(word) > LONGEST:
+                del self.known[0][word], self.known[1][word]
         return out
 
     def whole(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
@@ -144,19 +137,19 @@ def _ends(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _groups(of: Pair, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, n_links: np.ndarray) -> list[str]:
     """For each document the digest of its groups, ids of A before those of B; '' without groups."""
-    end_a, end_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    end_a, end_b = np.zeros(len(a), dtype=np.int32), np.zeros(len(b), dtype=np.int32)
     end_a[cut_a], end_b[cut_b] = 1, 1
     # tokens of B in earlier groups stand before a token of A, tokens of A up to the end of its own group before one of B
     before_a = np.r_[0, cut_b + 1][np.cumsum(end_a) - end_a]
     before_b = (cut_a + 1)[np.cumsum(end_b) - end_b] if len(b) else end_b
-    names = np.empty(len(a) + len(b), dtype=object)
-    names[np.arange(len(a)) + before_a] = [*map(of.names[0].__getitem__, (2 * a + end_a).tolist())]
-    names[np.arange(len(b)) + before_b] = [*map(of.names[1].__getitem__, (2 * b + end_b).tolist())]
+    names = np.empty(len(a) + len(b), dtype=np.int32)
+    names[np.arange(len(a)) + before_a] = 2 * a + end_a
+    names[np.arange(len(b)) + before_b] = 2 * (b + len(of.a_bytes)) + end_b
     out, at, link = [], 0, 0
     for n in n_links.tolist():
         link += n
         end = int(cut_a[link - 1] + cut_b[link - 1]) + 2 if n else at
-        out.append(hashlib.sha256(b"".join(names[at:end].tolist())[:-1]).hexdigest() if n else "")
+        out.append(hashlib.sha256(b"".join(map(of.names.__getitem__, names[at:end].tolist()))[:-1]).hexdigest() if n else "")
         at = end
     return out
 
@@ -172,7 +165,7 @@ def aligned(of: Pair, ids: pa.Array, texts: pa.Array) -> tuple[pa.RecordBatch, n
             kept_b.append(b if good else b[:0])
             n_a.append(len(kept_a[-1]))
             n_b.append(len(kept_b[-1]))
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (kept_a, kept_b))
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (kept_a, kept_b))
     n_a, n_b = np.array(n_a, dtype=np.int64), np.array(n_b, dtype=np.int64)
     some = n_a > 0
     cut_a, cut_b = lockstep(_ends(of.sizes[0][a], n_a[some]), _ends(of.sizes[1][b], n_b[some]), _starts(n_a[some]), _starts(n_b[some]))
@@ -180,7 +173,7 @@ def aligned(of: Pair, ids: pa.Array, texts: pa.Array) -> tuple[pa.RecordBatch, n
     n_links[some] = np.diff(np.searchsorted(cut_a, np.r_[0, np.cumsum(n_a[some])])) if some.any() else 0
     digests = _groups(of, a, b, cut_a, cut_b, n_links)
     rows = pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (n_a, n_b, n_links, digests))], names=["doc_id", "n_a", "n_b", "n_links", "groups_sha256"])
-    return rows, a[cut_a] << 32 | b[cut_b]
+    return rows, a[cut_a].astype(np.int64) << 32 | b[cut_b]
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -206,7 +199,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     and count; null ids stay. An empty table gives an empty result. Other columns are ignored.
 
     A batch of documents (BATCH_BYTES, or one longer document) is one row of a table in the shared folder. It names each of its
-    pairs of ids once; counts of pairs, and the highest of each id of B (it has no more pairs than A has ids), are joined to them.
+    pairs of ids once (they are numbered in the batch); counts of pairs, and the highest of each id of B (it has no more pairs than A has ids), are joined to them.
     """
     files = []
     for path in (a_path, b_path):
@@ -218,8 +211,9 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             for s, e in slices(pc.binary_length(batch.column(1)).to_pylist(), BATCH_BYTES):
                 rows, links = aligned(of, batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s))
-                pairs, place, counts = np.unique(links, return_inverse=True, return_counts=True)
-                cells = [_packed(pa.Table.from_batches([rows])), _packed(pa.table({"place": place.astype(np.int32)})), _packed(pa.table({"pair": pairs, "n": counts}))]
+                found = pa.array(links).dictionary_encode()
+                counts = np.bincount(found.indices, minlength=len(found.dictionary))
+                cells = [_packed(pa.table(x)) for x in ({c: rows[c] for c in rows.schema.names}, {"place": found.indices}, {"pair": found.dictionary, "n": counts})]
                 yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([c], pa.binary()) for c in cells)], names=["batch", "rows", "links", "pairs"])
                 n += 1
 
@@ -227,11 +221,11 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             for number, cell in zip(batch.column(0), batch.column(1), strict=True):
                 table = _unpacked(cell)
-                for part in table.append_column("batch", pa.array([number.as_py()] * len(table), pa.int64())).to_batches(max_chunksize=100_000):
-                    yield part.select(["batch", "pair", "n"])
+                table = table.append_column("batch", pa.array(np.full(len(table), number.as_py(), dtype=np.int64))).append_column("at", pa.array(np.arange(len(table), dtype=np.int32)))
+                yield from table.select(["batch", "at", "pair", "n"]).to_batches(max_chunksize=100_000)
 
     def counted(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        order = np.argsort(pairs["pair"].to_numpy())
+        order = np.argsort(pairs["at"].to_numpy())
         count, best = pairs["count"].to_numpy()[order], pairs["best"].to_numpy(zero_copy_only=False)[order]
         rows, place = _unpacked(docs["rows"][0]), _unpacked(docs["links"][0])["place"].to_numpy()
         n = rows["n_links"].to_numpy()
@@ -243,10 +237,10 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
     batches = stored(texts.mapInArrow(linking, "batch long, rows binary, links binary, pairs binary"))
-    named = batches.select("batch", "pairs").mapInArrow(listed, "batch long, pair long, n long")
+    named = batches.select("batch", "pairs").mapInArrow(listed, "batch long, at int, pair long, n long")
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))
     counts = named.groupBy("pair").agg(F.sum("n").alias("count"))
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(of_b))
-    told = named.select("batch", "pair").join(counts, "pair")
+    told = named.select("batch", "at", "pair").join(counts, "pair")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return batches.select("batch", "rows", "links").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(counted, schema)
