@@ -100,42 +100,42 @@ def solved_cells(solved: DataFrame, key: Sequence[str] = FRAME) -> DataFrame:
     return out.withColumn("p", g.clipped(F.col("mu")).cast("float"))
 
 
-def counted_hits(points: DataFrame, key: Sequence[str], hits: int, by: Sequence[str] | None = None, least: int = 0) -> DataFrame:
+def counted_hits(points: DataFrame, key: Sequence[str], hits: int, bins: int, by: Sequence[str] | None = None, least: int = 0) -> DataFrame:
     """The closest hits of each ``by`` (``key`` if not given), with ``n_points``, the number of all points of their key.
 
     The points are cut to their closest hits where they are, before anything is shuffled, and the counts come from a
     group-by of their own, which sends a row for each key and task. Keys with fewer than ``least`` points are left out.
     """
     n = points.groupBy(*key).agg(F.count("*").alias("n_points")).filter(F.col("n_points") >= least)
-    return closest_hits(points, by or key, hits).join(n, list(key))
+    return closest_hits(points, by or key, hits, bins).join(n, list(key))
 
 
-def frame_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
+def frame_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, bins: int = 360) -> DataFrame:
     """One map for each frame."""
-    return pcsbl_map(counted_hits(points, FRAME, hits), settings=settings, grid=grid)
+    return pcsbl_map(counted_hits(points, FRAME, hits, bins), settings=settings, grid=grid)
 
 
-def sector_maps(points: DataFrame, sectors: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
+def sector_maps(points: DataFrame, sectors: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, bins: int = 360) -> DataFrame:
     """A solve for each frame and sector, merged by the largest value of a cell: ``frame key, row, col, p``.
 
     Sectors with fewer than 3 points are skipped, and fewer than 5 give an empty map anyway.
     """
     key = [*FRAME, "sector"]
     dealt = points.withColumn("sector", g.sector(F.col("x"), F.col("y"), sectors))
-    solved = pcsbl_map(counted_hits(dealt, key, hits, least=3), key, settings, grid)
+    solved = pcsbl_map(counted_hits(dealt, key, hits, bins, least=3), key, settings, grid)
     return solved_cells(solved, key).groupBy(*FRAME, *CELL).agg(F.max("p").alias("p"))
 
 
-def window_maps(window: DataFrame, decay: float = 0.85, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
+def window_maps(window: DataFrame, decay: float = 0.85, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, bins: int = 360) -> DataFrame:
     """One solve for each frame from the points of its window, rows weighted by decay^|offset|. Hits are picked by frame seen.
 
-    Hits weighted one half or less take part in the solve, but not in where it starts.
+    Hits weighted one half or less take part in the solve, but not in where it starts. However few points a window has, it is solved.
     """
-    points = counted_hits(window, FRAME, hits, [*FRAME, "offset"]).withColumn("scale", F.pow(F.lit(decay), F.abs("offset")))
-    return pcsbl_map(points, settings=settings, grid=grid)
+    points = counted_hits(window, FRAME, hits, bins, [*FRAME, "offset"]).withColumn("scale", F.pow(F.lit(decay), F.abs("offset")))
+    return pcsbl_map(points, settings=settings._replace(least_points=1), grid=grid)
 
 
-def tile_maps(points: DataFrame, tiles: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3) -> DataFrame:
+def tile_maps(points: DataFrame, tiles: int, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, bins: int = 360) -> DataFrame:
     """Solves for tiles x tiles parts of the map, stitched: ``frame key, row, col, p``. Kept as an ablation: it harms the map.
 
     Each tile takes the points within its half width of the vehicle (not of its own centre), and hits and vehicle are
@@ -153,14 +153,14 @@ def tile_maps(points: DataFrame, tiles: int, settings: Settings = Settings(), gr
     place = lambda v, mid, down: clip(F.floor(((mid - v) if down else (v - mid)) / grid.cell + size / 2).cast("int"))
     near = own.filter((F.abs("x") <= part.half) & (F.abs("y") <= part.half))
     near = near.withColumns({"row": place(F.col("y"), mid_y, True), "col": place(F.col("x"), mid_x, False), "ego_row": place(F.lit(0.0), mid_y, True), "ego_col": place(F.lit(0.0), mid_x, False)})
-    solved = pcsbl_map(counted_hits(near, key, hits), key, settings, grid, part)
+    solved = pcsbl_map(counted_hits(near, key, hits, bins), key, settings, grid, part)
     cells = solved_cells(solved, key)
     return cells.select(*FRAME, (F.col("row") + F.col("tile_row") * size).alias("row"), (F.col("col") + F.col("tile_col") * size).alias("col"), "p")
 
 
-def swept_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, **swept: Sequence[float]) -> DataFrame:
+def swept_maps(points: DataFrame, settings: Settings = Settings(), grid: Grid = Grid(), hits: int = 3, bins: int = 360, **swept: Sequence[float]) -> DataFrame:
     """One solve for each frame and combination of the parameters ``swept`` (fields of Defaults and their values).
 
     Points are cut to their closest hits first; only these are taken once for each combination.
     """
-    return pcsbl_map(sweep(counted_hits(points, FRAME, hits), **swept), [*FRAME, *swept], settings, grid)
+    return pcsbl_map(sweep(counted_hits(points, FRAME, hits, bins), **swept), [*FRAME, *swept], settings, grid)

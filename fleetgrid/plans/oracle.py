@@ -162,3 +162,69 @@ part("taps", "SELECT u, w, CASE WHEN u + i < 0 THEN -1 - u - i WHEN u + i > 79 T
 part("dense", f"SELECT {K}, row, col, coalesce(p::DOUBLE, 0.5) AS p FROM (SELECT * FROM (SELECT DISTINCT {K} FROM map), (SELECT unnest(range(80))::INT AS row), (SELECT unnest(range(80))::INT AS col)) LEFT JOIN map USING ({K}, row, col)", "map")
 part("smooth_rows", f"SELECT {K}, u AS row, col, sum(w * p) AS p FROM dense JOIN taps ON row = v GROUP BY ALL", "dense", "taps")
 part("smooth_cols", f"SELECT {K}, row, u AS col, sum(w * p) AS p FROM smooth_rows JOIN taps ON col = v GROUP BY ALL", "smooth_rows", "taps")
+
+
+def coarse_hits(source: str, key: str, hits: int, bins: int, seen: str = "") -> str:
+    """The closest hits of each bearing on a grid of 10 x 10 cells of 4 metres, counted by cell; ``seen`` is part of the pick's key only."""
+    return f"""SELECT {key}{seen}, row, col, count(*)::DOUBLE AS n FROM (
+      SELECT * EXCLUDE (row, col), least(greatest(floor((20.0::FLOAT - y) / 4.0::FLOAT)::INT, 0), 9) AS row, least(greatest(floor((x + 20.0::FLOAT) / 4.0::FLOAT)::INT, 0), 9) AS col,
+        row_number() OVER (PARTITION BY {key}{seen}, bin ORDER BY rng, x, y) AS nth FROM (
+        SELECT *, floor((atan2(y::DOUBLE, x::DOUBLE) + pi()) / (2 * pi() / {bins}))::INT % {bins} AS bin, sqrt(x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE) AS rng FROM {source}))
+    WHERE nth <= {hits} GROUP BY ALL"""
+
+
+def solves(source: str, size: int, key: str = K, most: int = 150, tol: str = "2e-3") -> str:
+    """A recursive table ``em`` of full solves, to follow others: ``key, beta, it, mu, alpha, history, touched, done``, a row a step.
+
+    ``source`` has a row for each hit cell: key, beta, gamma (re-estimated if not above 0), fw (weight of rays), row, col, er, ec (the
+    vehicle), h (squared weights), n (hits), start (squared weights that count at the start). In each step the rays of the hits come in
+    one by one: each adds a vector g and a number s, and the inverse is the diagonal 1 / d less the sum of s g g'.
+    """
+    n, names = size * size, f"{key}, beta, gamma_given, fw, hits, h, touched, n"
+    cells = f"range(1, {n + 1})"
+    each = lambda e: f"list_transform({cells}, lambda i: {e})"
+    within = lambda e, low, high: f"least(greatest({e}, {low}), {high})"
+    update = lambda omega: within(f"(2 * 1e-4::DOUBLE + 1) / (2 * 1e-4::DOUBLE + {omega})", "1e-3", "1e3")
+    side = lambda d: f"sign({d})::INT * CASE WHEN abs({d}) = m THEN i ELSE (2 * i * abs({d}) + m - 1) // (2 * m) END"
+
+    def around(c: str) -> str:
+        sides = ((f"i > {size}", f"i - {size}"), (f"i <= {n - size}", f"i + {size}"), (f"(i - 1) % {size} > 0", "i - 1"), (f"i % {size} > 0", "i + 1"))
+        return "(" + " + ".join(f"CASE WHEN {there} THEN {c}[{at}] ELSE 0 END" for there, at in sides) + ")"
+
+    def scattered(v: str) -> str:
+        return each(f"coalesce(list_sum(list_transform(list_filter(hits, lambda t: t.cell = i), lambda t: t.{v})), 0.0)")
+
+    lines = f"""SELECT {key}, beta, gamma, fw, row, col, h, n, start, list((er + {side('dr')}) * {size} + ec + {side('dc')} + 1) AS line
+      FROM (SELECT *, unnest(range(m + 1))::INT AS i FROM (SELECT *, greatest(abs(dr), abs(dc)) AS m FROM (SELECT *, row - er AS dr, col - ec AS dc FROM ({source})))) GROUP BY ALL"""
+    hit = f"{{'cell': row * {size} + col + 1, 'h': h, 'n': n, 'start': start, 'line': line, 'u': {each('list_contains(line, i)::INT::DOUBLE')}}}"
+    models = f"""SELECT *, {scattered('h')} AS h, list_distinct(flatten(list_transform(hits, lambda t: t.line))) AS touched, list_sum(list_transform(hits, lambda t: t.n)) AS n,
+      CASE WHEN gamma_given > 0 THEN gamma_given ELSE 50.0 END::DOUBLE AS gamma
+      FROM (SELECT {key}, beta, gamma AS gamma_given, fw, list({hit} ORDER BY row, col) AS hits FROM ({lines}) GROUP BY ALL)"""
+    first = f"""SELECT {names}, 0 AS it, gamma, list_transform(list_transform({scattered('start')}, lambda x: gamma * x / (gamma * x + 1)), lambda m: {update('m * m + 1 / gamma')}) AS alpha,
+      {each('0.0::DOUBLE')} AS mu, []::DOUBLE[] AS history, false AS done FROM ({models})"""
+    none = f"{{'gs': [{{'g': {each('0.0::DOUBLE')}, 's': 0.0::DOUBLE}}], 'u': []::DOUBLE[], 'w': 0.0::DOUBLE}}"
+    ray = "{'gs': [{'g': []::DOUBLE[], 's': 0.0::DOUBLE}], 'u': t.u, 'w': gamma * fw * fw * t.h}"
+    less = lambda gs: f"list_dot_product(f, list_transform({gs}, lambda z: z.g[i]))"
+    grown = f"""list_transform([list_transform(acc.gs, lambda z: z.s * list_dot_product(z.g, x.u))], lambda f: list_transform([{each(f'x.u[i] / d[i] - {less("acc.gs")}')}], lambda g:
+      {{'gs': list_append(acc.gs, {{'g': g, 's': 1 / (1 / x.w + list_dot_product(x.u, g))}}), 'u': []::DOUBLE[], 'w': 0.0::DOUBLE}})[1])[1]"""
+    rays_in = f"list_reduce(list_prepend({none}, list_transform(list_filter(hits, lambda t: fw > 0), lambda t: {ray})), lambda acc, x: {grown}).gs"
+    step = f"SELECT *, {each(f'alpha[i] + beta * {around("alpha")} + gamma * h[i]')} AS d FROM em WHERE NOT done AND it < {most}"
+    step = f"SELECT *, {rays_in} AS gs FROM ({step})"
+    step = f"SELECT *, list_transform(gs, lambda z: z.s * list_dot_product(z.g, list_transform(h, lambda x: gamma * x))) AS f FROM ({step})"
+    step = f"""SELECT *, {each(f'gamma * h[i] / d[i] - {less("gs")}')} AS new,
+      {each('greatest(1 / d[i] - list_sum(list_transform(gs, lambda z: z.s * z.g[i] * z.g[i])), 0.0)')} AS var FROM ({step})"""
+    step = f"SELECT *, {each('new[i] * new[i] + var[i]')} AS v FROM ({step})"
+    step = f"""SELECT *, {each(update(f'v[i] + beta * {around("v")}'))} AS up,
+      list_sum(list_transform(hits, lambda t: t.h * (1 - new[t.cell]) ** 2 + t.n * var[t.cell] + fw * fw * t.h * list_dot_product(t.u, new) ** 2 + CASE WHEN fw > 0 THEN t.n * list_dot_product(t.u, var) ELSE 0 END)) AS misfit,
+      sqrt(list_sum({each('(new[i] - mu[i]) ** 2')})) / greatest(sqrt(list_sum(list_transform(new, lambda x: x * x))), 1e-12) AS change FROM ({step})"""
+    step = f"""SELECT {names}, it + 1, CASE WHEN gamma_given > 0 THEN gamma ELSE {within('2 * n / greatest(misfit, 1e-12)', '1e-3', '1e6')} END,
+      CASE WHEN it = 0 THEN up ELSE {each('0.7::DOUBLE * alpha[i] + 0.3::DOUBLE * up[i]')} END, new, list_append(history, change), change < {tol} FROM ({step})"""
+    return f", em AS ({first} UNION ALL {step})"
+
+
+def solved(source: str, size: int, key: str, *needs: str, final: str | None = None) -> str:
+    """Full solves of ``source``, cell by cell; or ``final``, which selects from ``cells`` (of the maps) or ``em``."""
+    cells = f"""cells AS (SELECT {key}, beta, gamma_given AS gamma, fw AS free_weight, it AS iters, done AS converged, ((c - 1) // {size})::INT AS row, ((c - 1) % {size})::INT AS col, mu[c] AS mu, alpha[c] AS alpha
+      FROM (SELECT *, unnest(touched) AS c FROM em WHERE done OR it = 150))"""
+    end = final or f"SELECT {key}, beta, gamma, free_weight, iters, converged, row, col, round(mu, 6) + 0.0 AS mu, round(alpha, 6) + 0.0 AS alpha FROM cells"
+    return sql("", *needs).strip() + f"{solves(source, size, key)}, {cells}\n{end}"

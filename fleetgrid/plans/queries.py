@@ -17,7 +17,7 @@ from ..operators.solver import Settings
 from ..sources import readers
 from ..sources.shared import new_folder
 from . import fixtures as fx
-from .oracle import HIGH_OK, K, RANGE_OK, fold, sql
+from .oracle import HIGH_OK, K, RANGE_OK, coarse_hits, fold, solved, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,7 +490,7 @@ def t1_measurement_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t2_pcsbl(spark: SparkSession, d: str) -> DataFrame:
-    return tier2.frame_maps(_kept(spark, d)).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
+    return _solved_rows(tier2.frame_maps(_kept(spark, d)))
 
 
 def _around(c: str) -> str:
@@ -529,6 +529,113 @@ def t6_two_steps(spark: SparkSession, d: str) -> DataFrame:
     return tier2.solved_cells(swept.filter("beta = 0")).select(*FRAME, *CELL, r6("mu"), r6("alpha"))
 
 
+#: Full solves that SQL can follow: 10 x 10 cells, 12 bearings, two hits in each.
+COARSE = Grid(10, 4.0)
+FEW = {"grid": COARSE, "hits": 2, "bins": 12}
+DEFAULT = "1 AS beta, 30.0::DOUBLE AS gamma, 0.5::DOUBLE AS fw"
+
+
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    return preprocess.preprocess(fx.points(spark, d), fx.frames(spark, d), COARSE)
+
+
+def _coarse_hits(key: str = K, source: str = "kept", settings: str = DEFAULT, more: str = "") -> str:
+    """Hit cells of the coarse grid of keys with 5 points or more, with settings."""
+    return f"""SELECT {key}, row, col, n, n AS h, n AS start, 5 AS er, 5 AS ec, {settings} FROM ({coarse_hits(source, key, 2, 12)})
+      JOIN (SELECT {key} FROM {source} GROUP BY ALL HAVING count(*) >= 5) USING ({key}){more}"""
+
+
+SWEPT = {"beta": [0.0, 1.0], "gamma": [15.0, 60.0], "free_weight": [0.0, 0.5]}
+SWEPT_HITS = _coarse_hits(settings="beta, gamma, fw", more="".join(f", (SELECT unnest({v}::DOUBLE[]) AS {n})" for n, v in (("beta", SWEPT["beta"]), ("gamma", SWEPT["gamma"]), ("fw", SWEPT["free_weight"]))))
+
+
+def _solved_rows(out: DataFrame, *key: str) -> DataFrame:
+    out = out.select(*FRAME, *key, "iters", "converged", F.explode("cells").alias("c"))
+    return out.select(*FRAME, *key, "iters", "converged", "c.row", "c.col", r6("c.mu", "mu"), r6("c.alpha", "alpha"))
+
+
+def _set(out: DataFrame, **settings: float) -> DataFrame:
+    return out.withColumns({n: F.lit(v) for n, v in settings.items()})
+
+
+@query(solved(_coarse_hits(), 10, K, "kept"))
+def t2_full_solve(spark: SparkSession, d: str) -> DataFrame:
+    """Solves to the stop rule, with neighbours and rays: the map itself, cell by cell."""
+    return _solved_rows(_set(tier2.frame_maps(_coarse(spark, d), **FEW), beta=1, gamma=30.0, free_weight=0.5), *SWEPT)
+
+
+@query(solved(SWEPT_HITS, 10, K, "kept"))
+def t6_full_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """As t2_full_solve, for eight settings a frame."""
+    return _solved_rows(tier2.swept_maps(_coarse(spark, d), **FEW, **SWEPT), *SWEPT)
+
+
+@query(
+    solved(
+        _coarse_hits(settings="beta, 30.0::DOUBLE AS gamma, 0.5::DOUBLE AS fw", more=", (SELECT unnest([0.0, 1.0]::DOUBLE[]) AS beta)"),
+        10,
+        K,
+        "kept",
+        final=f"""SELECT {K}, beta, iteration, round(rel_change, 6) + 0.0 AS rel_change, round(rel_change - lag(rel_change) OVER (PARTITION BY {K}, beta ORDER BY iteration), 6) + 0.0 AS step
+          FROM (SELECT *, unnest(history) AS rel_change, unnest(range(1, len(history) + 1))::INT AS iteration FROM em WHERE done OR it = 150)""",
+    )
+)
+def w4_full_trace(spark: SparkSession, d: str) -> DataFrame:
+    out = reports.trace(tier2.swept_maps(_coarse(spark, d), **FEW, beta=[0.0, 1.0]))
+    return out.select(*FRAME, "beta", "iteration", r6("rel_change"), r6("step"))
+
+
+_SECTOR = f"SELECT *, floor(((atan2(y::DOUBLE, x::DOUBLE) + 2 * pi()) % (2 * pi())) / (2 * pi() / 2))::INT AS sector FROM kept"
+
+
+@query(solved(_coarse_hits(f"{K}, sector", f"({_SECTOR})"), 10, f"{K}, sector", "kept", final=f"SELECT {K}, row, col, round(max(least(greatest(mu, 0), 1)::FLOAT)::DOUBLE, 6) + 0.0 AS p FROM cells GROUP BY ALL"))
+def t3_full_sectors(spark: SparkSession, d: str) -> DataFrame:
+    return tier2.sector_maps(_coarse(spark, d), 2, **FEW).select(*FRAME, *CELL, r6("p"))
+
+
+def _window_hits(gamma: float) -> str:
+    """Hits of windows of two frames on either side, picked by frame seen, weighted by its distance."""
+    return f"""SELECT {K}, row, col, sum(n)::DOUBLE AS n, sum(n * 0.85::DOUBLE ** (2 * abs(off)))::DOUBLE AS h, sum(n * 0.85::DOUBLE ** (2 * abs(off)))::DOUBLE AS start, 5 AS er, 5 AS ec,
+      1 AS beta, {gamma}::DOUBLE AS gamma, 0.5::DOUBLE AS fw FROM ({coarse_hits("window_kept", K, 2, 12, ", off")}) GROUP BY ALL"""
+
+
+def _window(spark: SparkSession, d: str, gamma: float) -> DataFrame:
+    window = tier1.window_points(fx.points(spark, d), fx.frames(spark, d), 2, COARSE)
+    return _solved_rows(_set(tier2.window_maps(window, settings=Settings(gamma=gamma), **FEW), beta=1, gamma=gamma, free_weight=0.5), *SWEPT)
+
+
+@query(solved(_window_hits(30.0), 10, K, "window_kept"))
+def t4_full_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _window(spark, d, 30.0)
+
+
+@query(solved(_window_hits(0.0), 10, K, "window_kept"))
+def t4_adaptive_noise(spark: SparkSession, d: str) -> DataFrame:
+    """As t4_full_windows, with the noise estimated in each step; weights differ by frame seen."""
+    return _window(spark, d, 0.0)
+
+
+_TILES = f"""SELECT {K}, tile_row, tile_col, x, y, least(greatest(floor((20 - (tile_row + 0.5) * 20 - y) / 4.0 + 2.5)::INT, 0), 4) AS row, least(greatest(floor((x - ((tile_col + 0.5) * 20 - 20)) / 4.0 + 2.5)::INT, 0), 4) AS col
+  FROM kept, (SELECT unnest([0, 1]) AS tile_row), (SELECT unnest([0, 1]) AS tile_col) WHERE abs(x) <= 10 AND abs(y) <= 10"""
+_TILE_HITS = f"""SELECT {K}, tile_row, tile_col, row, col, count(*)::DOUBLE AS n, count(*)::DOUBLE AS h, count(*)::DOUBLE AS start, least(5 - 5 * tile_row, 4) AS er, least(5 - 5 * tile_col, 4) AS ec, {DEFAULT} FROM (
+    SELECT *, row_number() OVER (PARTITION BY {K}, tile_row, tile_col, bin ORDER BY rng, x, y) AS nth, count(*) OVER (PARTITION BY {K}, tile_row, tile_col) AS points FROM (
+      SELECT *, floor((atan2(y::DOUBLE, x::DOUBLE) + pi()) / (2 * pi() / 12))::INT % 12 AS bin, sqrt(x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE) AS rng FROM ({_TILES})))
+  WHERE nth <= 2 AND points >= 5 GROUP BY ALL"""
+
+
+@query(
+    solved(
+        _TILE_HITS,
+        5,
+        f"{K}, tile_row, tile_col",
+        "kept",
+        final=f"SELECT {K}, (row + 5 * tile_row)::INT AS row, (col + 5 * tile_col)::INT AS col, round(least(greatest(mu, 0), 1)::FLOAT::DOUBLE, 6) + 0.0 AS p FROM cells",
+    )
+)
+def t5_full_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tier2.tile_maps(_coarse(spark, d), 2, **FEW).select(*FRAME, *CELL, r6("p"))
+
+
 @query()
 def t3_sectors(spark: SparkSession, d: str) -> DataFrame:
     return tier2.sector_maps(_kept(spark, d), 2)
@@ -536,8 +643,7 @@ def t3_sectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t4_window_solve(spark: SparkSession, d: str) -> DataFrame:
-    window = tier1.window_points(fx.points(spark, d), fx.frames(spark, d), 1)
-    return tier2.window_maps(window).select(*FRAME, "iters", "converged", F.size("cells").alias("n_cells"), "error")
+    return _solved_rows(tier2.window_maps(tier1.window_points(fx.points(spark, d), fx.frames(spark, d), 2)))
 
 
 @query()

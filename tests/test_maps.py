@@ -158,6 +158,54 @@ def test_solver_matches_dense(s):
     assert np.allclose(got.mu, mu, atol=1e-9) and got.iters == it
 
 
+def dense_windows(rows, size, ego, s):
+    """The same steps with the whole matrix, a row for each entry of ``rows`` (row, col, weight): noise estimated if gamma isn't above 0."""
+    n, c, y = size * size, [], []
+    for r, col, w in rows:
+        for cells, weight, target in (([(r, col)], w, w), (line(r, col, ego), w * s.free_weight, 0.0)):
+            c.append(np.zeros(n))
+            c[-1][[i * size + j for i, j in cells]] = weight
+            y.append(target)
+    c, y = np.array(c), np.array(y)
+    sums = lambda f: sum(np.pad(f.reshape(size, size), 1)[1 + i : size + 1 + i, 1 + j : size + 1 + j] for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))).ravel()
+    gamma, loud = s.gamma if s.gamma > 0 else s.gamma_start, y > 0.5
+    start = (c[loud] ** 2).sum(axis=0)
+    mu = gamma * start / (gamma * start + 1)
+    alpha, mu, found = np.clip((2 * s.shape + 1) / (2 * s.rate + mu**2 + 1 / gamma), s.alpha_min, s.alpha_max), np.zeros(n), []
+    for it in range(1, s.max_iter + 1):
+        inv = np.linalg.inv(gamma * c.T @ c + np.diag(alpha + s.beta * sums(alpha)))
+        new, var = inv @ (gamma * c.T @ y), np.diag(inv)
+        v = new**2 + var
+        up = np.clip((2 * s.shape + 1) / (2 * s.rate + v + s.beta * sums(v)), s.alpha_min, s.alpha_max)
+        alpha = up if it == 1 else (1 - s.damping) * alpha + s.damping * up
+        if s.gamma <= 0:
+            gamma = np.clip(len(y) / (((y - c @ new) ** 2).sum() + (c != 0).sum(axis=0) @ var), 1e-3, 1e6)
+        change, mu = np.linalg.norm(new - mu) / np.linalg.norm(new), new
+        found.append(gamma)
+        if change < s.tol:
+            break
+    return mu, alpha, it, found
+
+
+@pytest.mark.parametrize("s", [Settings(gamma=g, beta=b, free_weight=w, max_iter=m) for g in (0.0, 30.0) for b in (0.0, 1.0) for w in (0.0, 0.5) for m in (8, 60)])
+def test_windows_match_dense(s):
+    """Hits of unequal weights, several of them in a cell."""
+    rng = np.random.default_rng(4)
+    rows = [(int(r), int(c), 0.85 ** int(k)) for r, c, k in zip(*rng.integers(0, 16, (2, 60)), rng.integers(0, 6, 60))]
+    cells = sorted({r[:2] for r in rows})
+    of = lambda f: np.array([f([w for r, c, w in rows if (r, c) == x]) for x in cells], dtype=float)
+    h, count, start = of(lambda w: sum(x * x for x in w)), of(len), of(lambda w: sum(x * x for x in w if x > 0.5))
+    got = solve(*np.array(cells).T, h, count, start, 60, 16, (8, 8), s)
+    mu, alpha, it, _ = dense_windows(rows, 16, (8, 8), s)
+    assert got.iters == it and np.allclose(got.mu, mu, atol=1e-8) and np.allclose(got.alpha[got.touched], alpha[got.touched], rtol=1e-6)
+
+
+def test_windows_are_solved_however_few_points(spark):
+    window = cells(spark, [(0, 30, 50), (0, 31, 50)]).withColumns({"offset": F.lit(0), "x": F.lit(5.0), "y": F.col("row") / 10.0})
+    assert tier2.window_maps(window).first()["iters"] > 0
+    assert tier2.frame_maps(window).first()["iters"] == 0
+
+
 def test_few_points_and_adaptive_noise():
     one = np.array([3]), np.array([4]), np.ones(1), np.ones(1), np.ones(1)
     got = solve(*one, 4, 16, (8, 8), Settings())
