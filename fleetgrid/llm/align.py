@@ -4,7 +4,7 @@ All documents of a batch are merged in lockstep. One NumPy state vector holds a
 those of B for each document; each step moves the pointer whose token ends first, or both, in all documents at once. Where
 both tokens end together there is a link and a cut. Documents that have ended leave the vector.
 
-Words are told apart where no token of either tokenizer can cross, so that each distinct word is encoded once by the libraries.
+Words are told apart where no token of either tokenizer can cross, so that the libraries encode each distinct word of a batch once.
 Counts of linked ids come back to batches by a join on the ids, of which each batch names every pair once; links never leave
 their batch. Vocabulary files stay where they are: the driver reads them (their size is fixed) and tasks get their bytes.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,12 +29,8 @@ from tokenizers import Tokenizer
 from .bpe import byte_table
 from .common import slices, stored, text_or_empty
 
-#: Text of a batch, and of what is encoded at once, in bytes; a longer text is a batch by itself.
+#: Text of a batch in bytes, a longer text is a batch by itself; and distinct words encoded at once.
 BATCH_BYTES = 4_000_000
-SLICE_BYTES = 500_000
-#: Words remembered by a worker (twice as many for a while), the length up to which they are, and words encoded at once.
-REMEMBERED = 150_000
-LONGEST = 60
 AT_ONCE = 10_000
 #: Characters that are no white space, mark or control in any version of Unicode: between two of them, no token crosses a space.
 PLAIN = "[!-~À-ÖØ-öø-ÿ]"
@@ -56,45 +51,43 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [np.array([len(t) for t in of], dtype=np.int32) for of in (self.a_bytes, self.b_bytes)]
         #: ids of A and what follows them, then those of B
-        self.names = [f"{i}{end}".encode() for of, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(of)) for end in ends]
+        self.names = np.array([f"{i}{end}".encode() for of, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(of)) for end in ends])
         #: whether no piece of B holds a space behind another character, so that none crosses the space before a word
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
-        #: ids of A and of B of words seen, as bytes of 32-bit numbers; and those of the words seen before
-        self.known: list[dict[str, bytes]] = [{}, {}]
-        self.before: list[dict[str, bytes]] = [{}, {}]
-
-    def _learn(self, texts: list[str]) -> None:
-        """Ids of A (of a space and the text) and B (which adds the space)."""
-        known_a, known_b = self.known
-        for k in range(0, len(texts), AT_ONCE):
-            part = texts[k : k + AT_ONCE]
-            a = self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)
-            b = self.b.encode(part, num_threads=1)
-            for text, x, y in zip(part, a, b, strict=True):
-                known_a[text], known_b[text] = array("i", x.ids).tobytes(), array("i", y).tobytes()
-
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """Token ids of A and B of a space and each text."""
-        if len(self.known[0]) > REMEMBERED:
-            self.before, self.known = self.known, [{}, {}]
-        # a space at a cut belongs to the word behind it
-        words = [CUT.split(t) if self.splits else [t] for t in texts]
-        new = {*chain.from_iterable(words)}.difference(self.known[0])
-        again = new.intersection(self.before[0])
-        for known, before in zip(self.known, self.before, strict=True):
-            known.update((w, before[w]) for w in again)
-        new = [*new.difference(again)]
-        self._learn(new)
-        out = [[np.frombuffer(b"".join(map(known.__getitem__, of)), dtype=np.int32) for known in self.known] for of in words]
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[0][word], self.known[1][word]
+
+    def _tokens(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For A (of a space and each word) and B (which adds the space): ids, their number in each word, and whether their bytes are the word's."""
+        ids: list[list[list[int]]] = [[], []]
+        for k in range(0, len(words), AT_ONCE):
+            part = words[k : k + AT_ONCE]
+            ids[0] += [x.ids for x in self.a.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)]
+            ids[1] += self.b.encode(part, num_threads=1)
+        out = []
+        for of, names in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
+            many = np.fromiter(map(len, of), dtype=np.int64, count=len(of))
+            same = [b"".join(map(names.__getitem__, x)) == f" {w}".encode() for w, x in zip(words, of, strict=True)]
+            out.append((np.fromiter(chain.from_iterable(of), dtype=np.int32, count=many.sum()), many, np.array(same, dtype=bool)))
         return out
 
-    def whole(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether the bytes of either's tokens are those of a space and the text."""
-        want = f" {text}".encode()
-        return all(b"".join(map(of.__getitem__, ids.tolist())) == want for of, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: token ids of a space and each text, one text behind the other, and their number in each text. Texts whose
+        tokens don't give back a space and the text have none."""
+        # a space at a cut belongs to the word behind it
+        words = [CUT.split(t) if self.splits else [t] for t in texts]
+        coded = pa.array(chain.from_iterable(words), pa.large_string()).dictionary_encode()
+        place, first = coded.indices.to_numpy(), _starts(np.array([*map(len, words)], dtype=np.int64))
+        if not texts:
+            return 2 * [(place, first)]
+        tokens = self._tokens(coded.dictionary.to_pylist())
+        out = []
+        for ids, many, _ in tokens:
+            sizes = many[place]
+            within = np.arange(sizes.sum()) - np.repeat(_starts(sizes), sizes)
+            out.append((ids[np.repeat(_starts(many)[place], sizes) + within], np.add.reduceat(sizes, first)))
+        good = np.logical_and.reduceat((tokens[0][2] & tokens[1][2])[place], first)
+        for k in np.flatnonzero(~good).tolist():
+            good[k] = all(b"".join(map(of.__getitem__, x[:end][-n:].tolist())) == f" {texts[k]}".encode() for of, (x, c) in zip((self.a_bytes, self.b_bytes), out, strict=True) for end, n in [(int(c[: k + 1].sum()), int(c[k]))])
+        return [(ids[np.repeat(good, counts)], counts * good) for ids, counts in out]
 
 
 @functools.lru_cache(maxsize=1)
@@ -145,28 +138,24 @@ def _groups(of: Pair, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np
     names = np.empty(len(a) + len(b), dtype=np.int32)
     names[np.arange(len(a)) + before_a] = 2 * a + end_a
     names[np.arange(len(b)) + before_b] = 2 * (b + len(of.a_bytes)) + end_b
+    shown = of.names[names].view(np.uint8).reshape(len(names), -1)
+    ends = np.r_[0, np.cumsum((shown != 0).sum(axis=1))]
+    text = shown[shown != 0].tobytes()
     out, at, link = [], 0, 0
     for n in n_links.tolist():
         link += n
-        end = int(cut_a[link - 1] + cut_b[link - 1]) + 2 if n else at
-        out.append(hashlib.sha256(b"".join(map(of.names.__getitem__, names[at:end].tolist()))[:-1]).hexdigest() if n else "")
+        end = int(ends[cut_a[link - 1] + cut_b[link - 1] + 2]) if n else at
+        out.append(hashlib.sha256(text[at : end - 1]).hexdigest() if n else "")
         at = end
     return out
 
 
 def aligned(of: Pair, ids: pa.Array, texts: pa.Array) -> tuple[pa.RecordBatch, np.ndarray]:
     """A row for each document (its id, counts and digest), and its links as pairs of ids in one number each."""
-    kept_a, kept_b, n_a, n_b = [], [], [], []
-    for s, e in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
-        part = texts.slice(s, e - s).to_pylist()
-        for text, (a, b) in zip(part, of.encode([t or "!" for t in part]), strict=True):
-            good = bool(text) and of.whole(text, a, b)
-            kept_a.append(a if good else a[:0])
-            kept_b.append(b if good else b[:0])
-            n_a.append(len(kept_a[-1]))
-            n_b.append(len(kept_b[-1]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (kept_a, kept_b))
-    n_a, n_b = np.array(n_a, dtype=np.int64), np.array(n_b, dtype=np.int64)
+    written = [t or "" for t in texts.to_pylist()]
+    (a, n_a), (b, n_b) = of.encode([t or "!" for t in written])
+    there = np.array([*map(bool, written)], dtype=bool)
+    a, b, n_a, n_b = a[np.repeat(there, n_a)], b[np.repeat(there, n_b)], n_a * there, n_b * there
     some = n_a > 0
     cut_a, cut_b = lockstep(_ends(of.sizes[0][a], n_a[some]), _ends(of.sizes[1][b], n_b[some]), _starts(n_a[some]), _starts(n_b[some]))
     n_links = np.zeros(len(n_a), dtype=np.int64)

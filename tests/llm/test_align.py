@@ -61,18 +61,26 @@ ODD = [
 ]
 
 
+def encoded(pair, texts):
+    for text, *ids in zip(texts, *(np.split(ids, np.cumsum(counts)[:-1]) for ids, counts in pair.encode(texts)), strict=True):
+        if "▁" in text:  # it doesn't come back
+            assert not len(ids[0]) and not len(ids[1])
+        else:
+            yield text, *ids
+
+
 def order(rows):
     return sorted(map(str, map(tuple, rows)))
 
 
 def test_words_are_encoded_as_whole_texts(pair):
     for _ in range(2):  # with nothing known, and with words known
-        for text, (a, b) in zip(ODD, pair.encode(ODD), strict=True):
+        for text, a, b in encoded(pair, ODD):
             assert a.tolist() == pair.a.encode(f" {text}", add_special_tokens=False).ids and b.tolist() == pair.b.encode(text), text
     rng = np.random.default_rng(3)
     pieces = [*" ", " ", " ", "a", "the", "Ü", "é", "́", "\n", "\t", "'s", "7", "!", "▁", " ", "中", "😀", "</s>", "‍"]
     texts = ["".join(rng.choice(pieces, rng.integers(1, 30))) for _ in range(3000)]
-    for text, (a, b) in zip(texts, pair.encode(texts), strict=True):
+    for text, a, b in encoded(pair, texts):
         assert a.tolist() == pair.a.encode(f" {text}", add_special_tokens=False).ids and b.tolist() == pair.b.encode(text), text
 
 
