@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.rays import probes
 from ..grid import CELL, FRAME, Grid
-from ..sources.shared import written
+from .boxes import masks, words_of_row
 
 
 def occupied_cells(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
     return maps.filter(g.occupied(F.col("p"), threshold)).select(*FRAME, *CELL)
 
 
-def written_occupied(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``frame key, row, col, p`` of the occupied cells (p is 1), read from the shared checkpoint folder; a frame that has none
-    keeps one row without a cell. A frame has as many cells as the map at most."""
-    cells = F.collect_list(F.when(g.occupied(F.col("p"), threshold), F.struct(*CELL)))
-    frames = written(maps.groupBy(*FRAME).agg(cells.alias("cells")))
-    out = frames.select(*FRAME, F.explode_outer("cells").alias("c"))
-    return out.select(*FRAME, "c.row", "c.col", F.when(F.col("c").isNotNull(), F.lit(1.0)).alias("p"))
-
-
 def box_hits(maps: DataFrame, box_cells: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``frame key, box_id, n_box, n_hit``: a box's cells, and those of them that are occupied. Boxes without cells are left out."""
     hit = occupied_cells(maps, threshold).withColumn("hit", F.lit(1))
@@ -84,13 +75,54 @@ def angular_nmse(maps: DataFrame, points: DataFrame, grid: Grid = Grid(), bins:
     return both.groupBy(*FRAME).agg((F.sum(off * off) / F.sum(F.col("d") * F.col("d"))).alias("nmse"), F.count("*").alias("n_bins"))
 
 
-def scores(maps: DataFrame, points: DataFrame, boxes: DataFrame, box_cells: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> DataFrame:
-    """All scores of each frame's map in one row.
+def packed(maps: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> DataFrame:
+    """``frame key, bits``: the occupied cells of each map as bits, a row of the map in whole 64-bit words."""
+    n = words_of_row(grid)
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("col") % 64)
+    bits = F.bit_or(F.when(g.occupied(F.col("p"), threshold), own).otherwise(F.lit(0).cast("long")))
+    words = maps.groupBy(*FRAME, (F.col("row") * n + F.floor(F.col("col") / 64)).cast("int").alias("word")).agg(bits.alias("bits"))
+    of = words.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n * grid.size - 1)), lambda w: F.coalesce(F.element_at("of", w.cast("int")), F.lit(0).cast("long")))
+    return of.select(*FRAME, every.alias("bits"))
+
+
+def scores(maps: DataFrame, points: DataFrame, boxes: DataFrame, grid: Grid = Grid(), bins: int = 360, threshold: float = 0.5) -> DataFrame:
+    """All scores of each frame's map in one row: ``nmse, iobb, n_objects, n_occupied, precision``, as the functions above give them.
 
-    Every score asks for the occupied cells alone. They are written once, a row for each frame, so that the map behind
-    them, which sends a ray to every hit, is made once and not for each score.
+    A frame is one row: its map as bits, its boxes as masks over them (a frame has few), and the nearest point on each bearing.
+    Scores count bits under masks and look bits up along bearings, so the map is made once and no cells are joined or shuffled.
     """
-    maps = written_occupied(maps, threshold)
-    out = angular_nmse(maps, points, grid, threshold=threshold).drop("n_bins")
-    out = out.join(iobb(maps, box_cells, threshold), FRAME, "left")
-    return out.join(precision(maps, boxes, box_cells, threshold).drop("n_true"), FRAME, "left")
+    n = words_of_row(grid)
+    seen = seen_ranges(points, bins).groupBy(*FRAME).agg(F.collect_list(F.struct("bin", "d")).alias("seen"))
+    boxed = masks(boxes, grid, keep=()).groupBy(*FRAME).agg(F.collect_list("words").alias("boxes"))
+    steps = probes(maps.sparkSession, grid, bins).groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("step", (F.col("row") * n + F.floor(F.col("col") / 64)).cast("int").alias("word"), (F.col("col") % 64).alias("bit")))).alias("of"))
+    # one row, whose size depends on the grid alone
+    steps = steps.groupBy().agg(F.sort_array(F.collect_list(F.struct("bin", "of"))).alias("steps"))
+    rows = packed(maps, grid, threshold).join(seen, FRAME).join(boxed, FRAME, "left").crossJoin(F.broadcast(steps))
+
+    zero, bits = F.lit(0).cast("long"), F.col("bits")
+    total = lambda xs, of: F.aggregate(xs, zero, lambda a, x: a + of(x))
+    under = lambda w: F.bit_count(w["mask"].bitwiseAND(F.get(bits, w["word"]))).cast("long")
+    counts = F.transform("boxes", lambda ws: F.struct(total(ws, under).alias("hit"), total(ws, lambda w: F.bit_count(w["mask"]).cast("long")).alias("all")))
+    objects = F.filter(counts, lambda b: b["all"] > 0)
+    true = F.aggregate(F.flatten("boxes"), F.transform(bits, lambda _: zero), lambda a, w: F.transform(a, lambda x, i: F.when(i == w["word"], x.bitwiseOR(w["mask"])).otherwise(x)))
+    n_true = F.aggregate(F.zip_with(true, bits, lambda t, b: F.bit_count(t.bitwiseAND(b)).cast("long")), zero, lambda a, x: a + x)
+
+    def first_step(b: Column) -> Column:
+        along = F.get(F.col("steps"), b)["of"]
+        hit = F.array_position(F.transform(along, lambda p: F.getbit(F.get(bits, p["word"]), p["bit"]).cast("int")), 1)
+        return F.when(hit > 0, F.get(along, (hit - 1).cast("int"))["step"]).otherwise(F.lit(grid.half * 1.42))
+
+    off = F.transform("seen", lambda s: F.struct((s["d"] - first_step(s["bin"])).alias("off"), s["d"].alias("d")))
+    squares = F.aggregate(off, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda a, x: F.struct((a["a"] + x["off"] * x["off"]).alias("a"), (a["b"] + x["d"] * x["d"]).alias("b")))
+    out = rows.select(*FRAME, squares.alias("squares"), objects.alias("objects"), F.size("boxes").alias("n_boxes"), total(bits, lambda b: F.bit_count(b).cast("long")).alias("n_occupied"), n_true.alias("n_true"))
+    shares = F.aggregate("objects", F.lit(0.0), lambda a, b: a + b["hit"] / b["all"])
+    has = F.size("objects") > 0
+    return out.select(
+        *FRAME,
+        (F.col("squares.a") / F.col("squares.b")).alias("nmse"),
+        F.when(has, shares / F.size("objects")).alias("iobb"),
+        F.when(has, F.size("objects").cast("long")).alias("n_objects"),
+        "n_occupied",
+        F.when((F.col("n_occupied") > 0) & (F.col("n_boxes") > 0), F.col("n_true") / F.col("n_occupied")).alias("precision"),
+    )

@@ -14,6 +14,11 @@ from .preprocess import discretize, height_filter, project, range_filter, transf
 
 #: Frames of a scene that are folded as one list.
 FOLD = 512
+#: Frames of a scene whose windows are made in one task.
+SPAN = 32
+#: Columns that deal out scans to tasks. Grouping by any key that holds them needs no further shuffle, also where ``dataset`` is one
+#: constant, which Spark would tell apart from itself.
+DEALT = ["scene_id", "frame_idx"]
 
 
 def evidence(cells: DataFrame, key: Sequence[str] = FRAME, grid: Grid = Grid(), ego: tuple[Column, Column] | None = None) -> DataFrame:
@@ -21,10 +26,12 @@ def evidence(cells: DataFrame, key: Sequence[str] = FRAME, grid: Grid = Grid(),
 
     ``cells`` has a row for each point. Points are counted first, so each hit cell sends one ray however many points it
     has; counted cells are dealt out by ``key`` (a scan is small), and rays are then made and merged without another
-    shuffle. ``ego``: columns with the ego cell, if it isn't the middle.
+    shuffle. ``ego``: columns with the ego cell, if it isn't the middle. A ``span`` in the key says that cells are dealt
+    out by it already (see window_points).
     """
     row, col = ego or (F.lit(grid.ego[0]), F.lit(grid.ego[1]))
-    hits = cells.groupBy(*key, *CELL, row.alias("_er"), col.alias("_ec")).agg(F.count("*").alias("n")).repartition(*key)
+    hits = cells.groupBy(*key, *CELL, row.alias("_er"), col.alias("_ec")).agg(F.count("*").alias("n"))
+    hits = hits if "span" in key else hits.repartition(*DEALT)
     line = hits.select(*key, "n", F.explode(ray(F.col("row"), F.col("col"), F.col("_er"), F.col("_ec"))).alias("c"))
     end = F.col("c.i") == F.col("c.m")
     return (
@@ -114,25 +121,47 @@ def window_pairs(frames: DataFrame, w: int) -> DataFrame:
     return wanted.join(known, ["dataset", "scene_id", "j"])
 
 
+def spanned(rows: DataFrame, w: int, frame: str = "frame_idx") -> DataFrame:
+    """Rows with ``span``: that of their frame, and again those of neighbours that have a frame at most ``w`` away."""
+    span_of = lambda f: F.floor(f / SPAN).cast("int")
+    return rows.withColumn("span", F.explode(F.sequence(span_of(F.col(frame) - w), span_of(F.col(frame) + w))))
+
+
 def window_points(points: DataFrame, frames: DataFrame, w: int, grid: Grid = Grid()) -> DataFrame:
-    """Points of each window in the axes of its frame, with ``offset`` and cells. Heights are filtered first, in the axes of the
-    frame that saw them and before points fan out to their windows; ranges are filtered in the window's axes."""
-    seen = height_filter(transform_to_ego(points, frames))
-    pose = frames.select("dataset", "scene_id", F.col("frame_idx").alias("j"), F.col("pose_r").alias("r_j"), F.col("pose_t").alias("t_j"))
-    pairs = window_pairs(frames, w).join(pose, ["dataset", "scene_id", "j"]).join(frames.select(*FRAME, "pose_r", "pose_t"), FRAME)
-    out = seen.withColumnRenamed("frame_idx", "j").join(pairs, ["dataset", "scene_id", "j"])
-    moved = g.ego_to_ego([F.col(c).cast("double") for c in "xyz"], F.col("r_j"), F.col("t_j"), F.col("pose_r"), F.col("pose_t"))
-    out = out.withColumns(dict(zip("xyz", moved, strict=True))).drop("r_j", "t_j", "pose_r", "pose_t", "j")
+    """Points of each window in the axes of its frame, with ``offset``, ``span`` and cells. Heights are filtered first, in the axes of
+    the frame that saw them and before points fan out to their windows; ranges are filtered in the window's axes.
+
+    Frames of a scene are dealt out in spans of SPAN. A point goes to its own span, and to a neighbouring one only if that has a frame
+    at most ``w`` away; so 1 + 2 w / SPAN of the points are shuffled, and they fan out to their windows inside the span's task.
+    """
+    scene = ["dataset", "scene_id"]
+    # the poses of a span and of w frames on either side, by place; frames that aren't there are null
+    pose = F.struct(F.col("frame_idx").alias("k"), F.col("pose_r").alias("r"), F.col("pose_t").alias("t"))
+    poses = spanned(frames.select(*FRAME, pose.alias("pose")), w).groupBy(*scene, "span").agg(F.collect_list("pose").alias("of"))
+    by_frame = F.map_from_entries(F.transform("of", lambda p: F.struct(p["k"], p)))
+    first = F.col("span") * SPAN - w
+    poses = poses.select(*scene, F.col("span"), by_frame.alias("of")).select(*scene, F.col("span"), F.transform(F.sequence(first, first + (SPAN + 2 * w - 1)), lambda k: F.element_at("of", k)).alias("poses"))
+
+    seen = height_filter(transform_to_ego(points, frames)).withColumnRenamed("frame_idx", "j")
+    near = spanned(seen, w, "j").join(poses.hint("shuffle_hash"), [*scene, "span"])
+    windows = F.sequence(F.greatest(F.col("j") - w, F.col("span") * SPAN), F.least(F.col("j") + w, F.col("span") * SPAN + (SPAN - 1)))
+    at = lambda k: F.get("poses", k - first)
+    rest = [c for c in seen.columns if c not in (*scene, "j")]
+    out = near.select(*scene, F.col("span"), "j", *rest, at(F.col("j")).alias("_j"), F.explode(F.transform(windows, at)).alias("_k")).filter("_k is not null")
+    moved = g.ego_to_ego([F.col(c).cast("double") for c in "xyz"], F.col("_j.r"), F.col("_j.t"), F.col("_k.r"), F.col("_k.t"))
+    out = out.withColumns(dict(zip("xyz", moved, strict=True))).withColumns({"frame_idx": F.col("_k.k"), "offset": F.col("j") - F.col("_k.k")}).drop("_j", "_k", "j")
     return discretize(project(range_filter(out, grid)), grid)
 
 
 def fuse_windows(window: DataFrame, windows: Sequence[int], decay: float = 0.85, grid: Grid = Grid()) -> DataFrame:
     """``frame key, row, col, w, value, p``: single-scan maps of a window's frames, weighted by decay^|offset|, added and clamped,
-    for each half width in ``windows``, all from one pass over the widest (``window``: from window_points)."""
-    scans = scan_map(evidence(window, [*FRAME, "offset"], grid))
+    for each half width in ``windows``, all from one pass over the widest (``window``: from window_points, whose spans hold every frame
+    of a window, so that nothing is shuffled again)."""
+    frame = [*FRAME, "span"]
+    scans = scan_map(evidence(window, [*frame, "offset"], grid))
     far = F.abs("offset")
     sums = {w: F.sum(F.when(far <= w, F.pow(F.lit(decay), far) * F.col("value"))) for w in windows}
-    fused = scans.groupBy(*FRAME, *CELL).agg(*(s.alias(f"w{w}") for w, s in sums.items()))
+    fused = scans.groupBy(*frame, *CELL).agg(*(s.alias(f"w{w}") for w, s in sums.items()))
     rows = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.col(f"w{w}").alias("value")) for w in windows)))
     # least() and greatest() skip NULLs, so cells that a narrower window doesn't touch go first
     out = fused.select(*FRAME, *CELL, rows.alias("s")).filter("s.value is not null").select(*FRAME, *CELL, "s.w", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("s.value"))).alias("value"))

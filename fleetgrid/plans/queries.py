@@ -341,7 +341,7 @@ def a13_angular_nmse(spark: SparkSession, d: str) -> DataFrame:
 def workload_a(spark: SparkSession, d: str) -> DataFrame:
     """Single-scan maps of every frame and all their scores."""
     kept, boxes = _kept(spark, d), _boxes(spark, d)
-    out = metrics.scores(tier1.single_scan_map(kept), kept, boxes, bx.rasterize(boxes))
+    out = metrics.scores(tier1.single_scan_map(kept), kept, boxes)
     return out.select(*FRAME, r6("nmse"), r6("iobb"), "n_objects", "n_occupied", r6("precision"))
 
 

@@ -284,3 +284,94 @@ def test_solver_queries_run_to_the_default_limit(spark):
     rows = QUERIES["w4_trace"](spark, "/root/testdata/sf0.001").groupBy("beta").agg({"iteration": "max"}).collect()
     most = {r["beta"]: r["max(iteration)"] for r in rows}
     assert most.keys() == {0.0, 1.0} and 40 < max(most.values()) <= 150
+
+
+def test_box_rows_match_a_look_at_every_cell(spark):
+    """Boxes at right angles and at others, thin ones between cells, and over the map's edges."""
+    rng = np.random.default_rng(8)
+    rows = [(float(x), float(y), float(w), float(h), float(a)) for x, y, w, h, a in zip(*rng.uniform(-22, 22, (2, 300)), rng.uniform(0.05, 6, 300), rng.uniform(0.05, 9, 300), rng.choice([0.0, math.pi / 2, math.pi, 0.3, 1.2, -2.5, 3.0], 300))]
+    rows += [(0.25, 0.25, 0.5, 0.5, 0.0), (0.0, 0.0, 1.0, 1.0, 0.0), (19.9, 19.9, 4.0, 4.0, 0.7), (-21.0, 0.0, 1.0, 1.0, 0.0), (30.0, 0.0, 2.0, 4.0, 0.0)]
+    schema = "dataset string, scene_id string, frame_idx int, box_id int, cx double, cy double, w double, l double, yaw double"
+    df = spark.createDataFrame([("d", "s", 0, i, *r) for i, r in enumerate(rows)], schema)
+    for grid in (Grid(), Grid(130, 0.3)):
+        row, col = np.mgrid[: grid.size, : grid.size]
+        want = set()
+        for i, (x, y, w, length, a) in enumerate(rows):
+            dx, dy = (col + 0.5) * grid.cell - grid.half - x, grid.half - (row + 0.5) * grid.cell - y
+            c, s = math.cos(a), math.sin(a)
+            want |= {(i, int(p), int(q)) for p, q in zip(*np.nonzero((abs(dx * c + dy * s) < length / 2) & (abs(dy * c - dx * s) < w / 2)))}
+        assert {(r["box_id"], r["row"], r["col"]) for r in boxes.rasterize(df, grid).collect()} == want
+        n = boxes.words_of_row(grid)
+        bits = {(r["box_id"], w["word"] // n, 64 * (w["word"] % n) + b) for r in boxes.masks(df, grid).collect() for w in r["words"] for b in range(64) if w["mask"] >> b & 1}
+        assert bits == want
+
+
+def test_scores_in_one_row_match_the_single_scores(spark):
+    rng = np.random.default_rng(9)
+    kept = preprocess.preprocess(points(spark, *np.c_[rng.uniform(-15, 15, (400, 2)), np.ones(400)]).union(points(spark, (5, 5, 1), frame=1)), frames(spark, 3))
+    schema = "dataset string, scene_id string, frame_idx int, box_id int, cx double, cy double, w double, l double, yaw double"
+    near = spark.createDataFrame([("d", "s", 0, i, *map(float, r)) for i, r in enumerate(np.c_[rng.uniform(-18, 18, (12, 2)), rng.uniform(1, 5, (12, 2)), rng.uniform(-3, 3, 12)])] + [("d", "s", 0, 99, 50.0, 0.0, 1.0, 1.0, 0.0)], schema)
+    for grid in (Grid(), Grid(130, 0.3)):
+        m = tier1.single_scan_map(preprocess.discretize(kept.drop("row", "col"), grid), grid)
+        got = {r["frame_idx"]: r for r in metrics.scores(m, kept, near, grid).collect()}
+        cells_ = boxes.rasterize(near, grid)
+        single = [metrics.angular_nmse(m, kept, grid), metrics.iobb(m, cells_), metrics.precision(m, near, cells_)]
+        for name, of in (("nmse", 0), ("iobb", 1), ("n_objects", 1), ("n_occupied", 2), ("precision", 2)):
+            want = {r["frame_idx"]: r[name] for r in single[of].collect()}
+            assert {f: r[name] for f, r in got.items()} == {f: want.get(f) if want.get(f) is None else pytest.approx(want[f]) for f in got}, name
+
+
+def test_scores_make_the_map_once(spark, tmp_path):
+    frames(spark, 2).write.parquet(str(tmp_path / "frames"))
+    points(spark, (5, 1, 1), (7, -3, 2)).write.parquet(str(tmp_path / "points"))
+    kept = preprocess.preprocess(spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "frames")))
+    near = spark.createDataFrame([("d", "s", 0, 1, 5.0, 0.0, 2.0, 4.0, 0.0)], "dataset string, scene_id string, frame_idx int, box_id int, cx double, cy double, w double, l double, yaw double")
+    plan = metrics.scores(tier1.single_scan_map(kept), kept, near)._jdf.queryExecution().executedPlan().toString()
+    assert rays_and_what_follows(plan) == [[]]
+
+
+def rays_and_what_follows(plan):
+    """For each place where rays are made, the shuffles between it and the result."""
+    lines, out = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "Generate explode(transform(sequence(0, greatest(abs" in line:
+            own, over = depth(line), []
+            for x in reversed(lines[:i]):
+                if depth(x) < own:
+                    own = depth(x)
+                    if "collect_list(struct(word" in x:  # packed: a row a frame
+                        break
+                    over += [x] * ("Exchange" in x)
+            out.append(over)
+    return out
+
+
+def test_windows_by_spans(spark, tmp_path):
+    """Windows over the edges of spans and over missing frames; a point is shuffled once for each span that needs it."""
+    rng = np.random.default_rng(7)
+    number = [f for f in range(-5, 90) if f not in (3, 31, 32, 40)]
+    turn = lambda a: [math.cos(a), -math.sin(a), 0.0, math.sin(a), math.cos(a), 0.0, 0.0, 0.0, 1.0]
+    preprocess.with_defaults(spark.createDataFrame([("d", s, f, None, [0.0] * 3, turn(0.02 * f), [0.3 * f, 0.1 * f, 0.0]) for s in "ab" for f in number], FRAMES)).write.parquet(str(tmp_path / "frames"))
+    rows = [("d", s, int(f), *map(float, p)) for s in "ab" for f in rng.choice(number, 300) for p in [rng.uniform((-25, -25, 0), (25, 25, 4))]]
+    spark.createDataFrame(rows, POINTS).write.parquet(str(tmp_path / "points"))
+    fr, pts = (spark.read.parquet(str(tmp_path / n)) for n in ("frames", "points"))
+    seen = preprocess.height_filter(preprocess.transform_to_ego(pts, fr)).collect()
+    pose = {(r["scene_id"], r["frame_idx"]): (np.array(r["pose_r"]).reshape(3, 3), np.array(r["pose_t"])) for r in fr.collect()}
+    for w in (0, 2):
+        want = []
+        for r in seen:
+            for k in range(r["frame_idx"] - w, r["frame_idx"] + w + 1):
+                if (r["scene_id"], k) in pose:
+                    (rj, tj), (rk, tk) = pose[r["scene_id"], r["frame_idx"]], pose[r["scene_id"], k]
+                    x, y, _ = rk.T @ (rj @ [r["x"], r["y"], r["z"]] + tj - tk)
+                    if abs(x) <= 20 and abs(y) <= 20 and math.hypot(x, y) >= 1.5:
+                        want.append((r["scene_id"], k, r["frame_idx"] - k, x, y))
+        window = tier1.window_points(pts, fr, w)
+        got = sorted((r["scene_id"], r["frame_idx"], r["offset"], r["x"], r["y"]) for r in window.collect())
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3:] for r in got], [r[3:] for r in sorted(want)], atol=1e-4)
+    plan = tier1.fuse_windows(window, [0, 2])._jdf.queryExecution().executedPlan().toString()
+    assert rays_and_what_follows(plan) == [[]]
+    # the points that are dealt out, before they fan out
+    copies = tier1.spanned(preprocess.height_filter(preprocess.transform_to_ego(pts, fr)), 2).count()
+    assert len(seen) < copies <= len(seen) * (1 + 2 * 2 / tier1.SPAN) * 1.05
