@@ -7,6 +7,7 @@ exactly, in double precision, on the vectors themselves.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import isqrt
 
@@ -91,12 +92,10 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v`` of the rows that take part: vectors of the most common length that are finite throughout and not zero."""
+    """``vec_id, v`` of the rows that take part: vectors that are finite throughout and not zero."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null and size(v) > 0").filter(fine)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null and size(v) > 0").filter(fine)
 
 
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, squared: bool = False) -> DataFrame:
@@ -105,7 +104,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     Nearness is the inner product, or with ``squared`` the squared distance taken negative, for which the index stores the
     norms of the coded sums; scores are exact, ties go to the smaller id. ``queries`` has ``vec_id`` and ``v``. Equal
     vectors are one entry of the index with the k+1 smallest ids that have it, as no answer needs more. Vectors that are
-    null, zero, of another length, or hold null or non-finite components take no part; with fewer candidates than k
+    null, zero, or hold null or non-finite components take no part; vectors of each length are searched among those of
+    that length, in an index of their own (lengths are few: each is a search); with fewer candidates than k
     all are returned; empty tables give an empty result; rows that repeat an id and its vector count once.
 
     The index holds every vector, in blocks of BLOCK_ROWS at most. A task holds one block and one block of queries;
@@ -113,12 +113,20 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     codebooks are fitted on FIT_ROWS vectors at most, picked by a hash.
     """
     rows = usable(df, id_col, vector_col)
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    asked = {r["n"] for r in queries.select(F.size("v").alias("n")).distinct().collect()}
+    found = [_search(*(of.filter(F.size("v") == n) for of in (rows, queries)), k, squared) for n in lengths if n in asked]
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, squared: bool) -> DataFrame:
+    """See search; rows and queries are ``vec_id, v`` of one length."""
     same = Window.partitionBy("v").orderBy("vec_id")
     first_ids = rows.dropDuplicates(["vec_id", "v"]).withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
     entries = durable(first_ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = entries.count()
-    if not n:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # a hash picks a few more rows than wanted before they are ordered, so partitions don't each send FIT_ROWS
     spare = FIT_ROWS + 6 * isqrt(FIT_ROWS)
     drawn = entries.filter(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 40)) < (spare << 40) // n) if n > spare else entries

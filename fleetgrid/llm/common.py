@@ -28,6 +28,21 @@ def marks(text_col: str) -> dict[str, Column]:
     return {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
 
 
+#: Copies of a row that are laid out by one task.
+COPIES = 4096
+
+
+def laid_out(counted: DataFrame, copies: str, nth: str) -> DataFrame:
+    """Each row as often as its column ``copies`` says, with its number ``nth`` from 0. A row with many copies is laid out by many tasks."""
+    few = counted.filter(F.col(copies) <= COPIES).withColumn(nth, F.explode(F.expr(f"sequence(0L, {copies} - 1)")))
+    many = counted.filter(F.col(copies) > COPIES)
+    if many.isEmpty():
+        return few.drop(copies)
+    first = many.withColumn("_first", F.explode(F.expr(f"sequence(0L, {copies} - 1, {COPIES}L)")))
+    dealt = first.repartition(F.xxhash64(*first.columns))
+    return few.unionByName(dealt.withColumn(nth, F.explode(F.expr(f"sequence(_first, least(_first + {COPIES}, {copies}) - 1)"))).drop("_first")).drop(copies)
+
+
 def without(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, once: DataFrame) -> DataFrame:
     """``df`` without the rows in ``gone`` and with one of each in ``once``; both have distinct ``_id, _h1, _h2`` (see marks)."""
     marked = df.withColumns(marks(text_col))

@@ -19,6 +19,8 @@ from .common import slices, text_or_empty
 
 #: N-grams in a profile, and the prediction for texts without a letter.
 PROFILE, UNDETERMINED = 300, "und"
+#: Languages that profiles may have, as each task knows them all. More of them are an error, not a cut.
+LANGUAGES = 1000
 #: Bits of a code point in an n-gram, which holds three of them at most, and the boundary mark.
 CODE_BITS, BOUNDARY = 21, 0x20
 #: Code points handled at once, and texts: a text's number shares a sort key with the n-grams of its slice.
@@ -127,9 +129,11 @@ def predict(df: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col:
 
     The score is one less the distance over the largest possible distance. Texts that are null or have no letter are
     UNDETERMINED with score 0, as are all texts if no language was learned; ties go to the first language by name.
-    Profiles have ``size`` rows for each language, and languages are few: they go to the tasks as a table of ranks.
+    Profiles have ``size`` rows for each language, and there are LANGUAGES of them at most: they go to the tasks as a table of ranks.
     """
-    known = learned.collect()
+    known = learned.limit(LANGUAGES * size + 1).collect()
+    if len(known) > LANGUAGES * size:
+        raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted({r["lang"] for r in known})
     ranks = [[(r["gram"], r["rank"]) for r in known if r["lang"] == n] for n in names]
 

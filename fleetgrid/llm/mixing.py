@@ -12,7 +12,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, marks
+from .common import WORD, durable, laid_out, marks
 
 #: Words in a block; least slots in an output shard; the mix's words as a share of all words (3/2); times a source may be used.
 BLOCK = 512
@@ -21,6 +21,8 @@ SHARE = (3, 2)
 TIMES = 2
 #: Slots that a task lists and permutes, about.
 TASK_SLOTS = 1 << 14
+#: Times its share of the rows from which a bucket of a source is divided.
+CROWDED = 8
 WEIGHTS = (5, 2, 1)
 CHUNK = 4096
 
@@ -81,7 +83,7 @@ class Mix:
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, marked: bool = False):
         self.own = [*marks(text_col)] if marked else []
         sized = durable(
-            df.select(F.col(id_col).alias("doc_id"), *(marks(text_col)[k].alias(k) for k in self.own), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+            df.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in marks(text_col).items()), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         )
         counts = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
         self.sources = durable(targets(counts))
@@ -91,16 +93,25 @@ class Mix:
     def _placed(self, sized: DataFrame) -> DataFrame:
         """Where each row starts in its source, by two running sums: over buckets of a source, and inside a bucket.
 
-        There are about as many buckets as rows in a bucket, so neither sum meets more than the root of the rows.
+        There are about as many buckets as rows in a bucket, so neither sum meets more than about the root of the rows: rows that are
+        equal throughout are counted first, and a bucket with CROWDED times its share, as of rows with a null or repeated id, is
+        divided by the text.
         """
-        n = sized.count()
+        counted = durable(sized.groupBy("doc_id", "_h1", "_h2", "source", "size").agg(F.count("*").alias("copies")))
+        n = counted.count()
         buckets = isqrt(max(n - 1, 0)) + 1
-        rows = sized.join(self.sources.select("source", "ord"), sized["source"].eqNullSafe(self.sources["source"])).drop("source")
+        rows = counted.join(self.sources.select("source", "ord"), counted["source"].eqNullSafe(self.sources["source"])).drop("source")
         rows = rows.withColumn("bucket", _hash32("coalesce(cast(doc_id as string), '')") % buckets)
-        sums = rows.groupBy("ord", "bucket").agg(F.sum("size").alias("words"))
-        sums = durable(sums.withColumn("base", F.sum("words").over(Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).drop("words"))
-        inside = Window.partitionBy("ord", "bucket").orderBy("doc_id", "size", *self.own).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(sums, ["ord", "bucket"]).select("doc_id", *self.own, "ord", "size", (F.col("base") + F.col("inside")).alias("start"))
+        crowded = durable(rows.groupBy("ord", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED * buckets).select("ord", "bucket", F.expr(f"n div {buckets}").alias("parts")))
+        rows = rows.join(F.broadcast(crowded), ["ord", "bucket"], "left").withColumn("part", F.coalesce(F.pmod("_h1", "parts"), F.lit(0))).drop("parts")
+        own = ["ord", "bucket", "part"]
+        sums = rows.groupBy(*own).agg(F.expr("sum(size * copies)").alias("words"))
+        sums = durable(sums.withColumn("base", F.sum("words").over(Window.partitionBy("ord").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).drop("words"))
+        inside = Window.partitionBy(*own).orderBy("doc_id", "size", "_h1", "_h2").rowsBetween(Window.unboundedPreceding, 0)
+        words = F.col("size") * F.col("copies")
+        placed = rows.withColumn("inside", F.sum(words).over(inside) - words).join(sums, own)
+        placed = laid_out(placed.select("doc_id", "_h1", "_h2", "ord", "size", "copies", (F.col("base") + F.col("inside")).alias("start")), "copies", "nth")
+        return placed.select("doc_id", *self.own, "ord", "size", (F.col("start") + F.col("nth") * F.col("size")).alias("start"))
 
     def _slots(self, block: int) -> DataFrame:
         """``ord, slot, shard, block_index, words``: each slot of the mix, and how many words of its block it takes.

@@ -205,11 +205,13 @@ def grade() -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
 
 
-def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, grade`` of FIT_ROWS labelled documents that aren't held out; a document with several labels gets the lowest."""
+def rated(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """``text, grade`` of FIT_ROWS labelled documents that aren't held out, under the name ``text_col``; a document with several labels
+    gets the lowest, an id with several texts the least text that isn't null."""
     own = labels.filter(~held_out()).groupBy("doc_id").agg(F.min(grade()).alias("grade")).filter("grade is not null")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "grade")
+    texts = docs.select("doc_id", F.col(text_col).alias("_text")).join(F.broadcast(own), "doc_id")
+    return texts.groupBy("doc_id", "grade").agg(F.min("_text").alias(text_col)).select(text_col, "grade")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_selected(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are selected, with their columns as they are; nothing is shuffled for it."""
-    model = learn(rated(docs, labels), text_col)
+    model = learn(rated(docs, labels, text_col), text_col)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     at = docs.columns.index(text_col)
 

@@ -89,3 +89,16 @@ def test_squared_distance(spark):
     far = ((x - x[7]) ** 2).sum(1)
     want = [int(i) for i in np.argsort(far) if i != 7][:5]
     assert [i for i, _ in got] == want and [-s for _, s in got] == pytest.approx(far[want].tolist())
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=(4, 6, 6)[i % 3])]) for i in range(90)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    vectors = dict(rows)
+    assert set(got) == {i for i in vectors if i % 10 == 0}
+    for q, found in got.items():
+        others = [(-float(np.dot(vectors[q], v)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+        assert [i for _, i, _ in sorted(found)] == [i for _, i in sorted(others)[:20]]

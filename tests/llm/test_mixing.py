@@ -109,3 +109,22 @@ def test_documents_with_null_and_repeated_ids(spark):
         sizes[s] += len(words(t))
     target = brute_targets(sizes)
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+
+
+def test_rows_without_ids_are_dealt_out(spark, monkeypatch):
+    """Rows of one source that all lack an id, many of them equal: places are gapless, and no bucket holds them all."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "a b c" if i % 2 else " ".join(f"w{i}" for _ in range(1 + i % 7)), "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for crowded in (8, 1):
+        monkeypatch.setattr(mixing, "CROWDED", crowded)
+        placed = mixing.Mix(df).documents.collect()
+        at = 0
+        for r in sorted(placed, key=lambda r: (r["start"], r["size"])):
+            assert r["start"] == at
+            at += r["size"]
+        assert len(placed) == 3000
+    got = mixing.mix(df)
+    total = got.agg(F.sum("size").alias("n"), F.sum("taken").alias("t"), F.max(F.expr("taken - 2 * size")).alias("over")).first()
+    assert total["n"] == at and abs(total["t"] - 1.5 * at) <= 1 and total["over"] <= 0

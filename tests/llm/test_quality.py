@@ -27,6 +27,8 @@ def test_odd_rows(spark, docs, nothing):
     got = quality.classify(docs, labels)
     assert got.count() == docs.count() and got.filter("p_above_1 > p_above_0").count() == 0
     assert quality.keep_selected(docs, labels).columns == docs.columns
+    other = docs.withColumnRenamed("text", "body")
+    assert quality.keep_selected(other, labels, text_col="body").count() == quality.keep_selected(docs, labels).count()
     assert quality.classify(docs, labels.limit(0)).filter("not selected").count() == 0
     assert quality.classify(nothing, labels).count() == 0 and quality.keep_selected(nothing, labels).count() == 0
 
