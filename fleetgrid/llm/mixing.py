@@ -149,7 +149,8 @@ class Mix:
         """``ord, start, shard, slot, first_word, n_words``: start tells the document, first_word counts inside it."""
         pieces = self.documents.filter("size > 0").select("ord", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block_index"))
         pieces = pieces.withColumn("low", F.expr(f"greatest(start - block_index * {block}, 0)")).withColumn("high", F.expr(f"least(start + size - block_index * {block}, {block}L)"))
-        joined = pieces.join(self._slots(block), ["ord", "block_index"]).withColumn("n_words", F.expr("least(high, words) - low"))
+        # what Spark expects of the slots comes from the few rows that they are listed from, so it would broadcast them
+        joined = pieces.join(self._slots(block).hint("merge"), ["ord", "block_index"]).withColumn("n_words", F.expr("least(high, words) - low"))
         return joined.filter("n_words > 0").select("ord", "start", "shard", "slot", F.expr(f"block_index * {block} + low - start").alias("first_word"), "n_words")
 
     def taken(self) -> DataFrame:
