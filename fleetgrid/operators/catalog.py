@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..grid import FRAME
+from ..sources.shared import scratch
 
 
 def list_scenes(scenes: DataFrame) -> DataFrame:
@@ -36,17 +37,27 @@ def keyframes(samples: DataFrame, sample_data: DataFrame) -> DataFrame:
 
 
 def linked_order(scenes: DataFrame, samples: DataFrame) -> DataFrame:
-    """``scene_token, sample_token, place``: samples in the order of their links, which may differ from time. A recursive
-    query follows the links of all scenes at once, a round for each place."""
-    spark = scenes.sparkSession
-    scenes.createOrReplaceTempView("_fleetgrid_scenes")
-    samples.createOrReplaceTempView("_fleetgrid_samples")
-    return spark.sql("""
-        WITH RECURSIVE walk (scene_token, sample_token, place) MAX RECURSION LEVEL 100000 AS (
-          SELECT token, first_sample_token, 0 FROM _fleetgrid_scenes
-          UNION ALL
-          SELECT w.scene_token, s.next, w.place + 1 FROM walk w JOIN _fleetgrid_samples s ON s.token = w.sample_token WHERE s.next <> ''
-        ) SELECT * FROM walk""")
+    """``scene_token, sample_token, place``: samples in the order of their links, which may differ from time.
+
+    Links are doubled: in each round the samples known of all scenes jump twice as far as before, so a chain of n samples takes
+    log2(n) rounds, whatever its length. Rounds are written to the shared folder. Links end at a sample that isn't there or
+    names no next; links that lead round in a circle are an error.
+    """
+    with scratch(scenes.sparkSession) as put:
+        links = samples.filter("next <> ''").select(F.col("token").alias("at"), F.col("next").alias("to"))
+        jumps = put(links.join(samples.select(F.col("token").alias("to")), "to").select("at", "to").distinct())
+        most, far = samples.count(), 1
+        walk = put(scenes.filter("first_sample_token <> ''").select(F.col("token").alias("scene_token"), F.col("first_sample_token").alias("sample_token"), F.lit(0).cast("long").alias("place")))
+        while True:
+            further = put(walk.join(jumps, walk["sample_token"] == jumps["at"]).select("scene_token", F.col("to").alias("sample_token"), (F.col("place") + far).alias("place")))
+            if further.isEmpty():
+                # the last table that is written stays
+                return put(walk).select("scene_token", "sample_token", F.col("place").cast("int").alias("place"))
+            if far > most:
+                raise ValueError("links of samples lead round in a circle")
+            walk = put(walk.unionByName(further))
+            jumps = put(jumps.alias("a").join(jumps.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to"))
+            far *= 2
 
 
 def with_lookups(keys: DataFrame, ego_pose: DataFrame, calibrated_sensor: DataFrame) -> DataFrame:

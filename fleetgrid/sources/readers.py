@@ -5,14 +5,20 @@ Files are read by Spark alone, so they may lie in any store that it reaches.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import hadoop
+
 NUMBERS = T.ArrayType(T.DoubleType())
 
 
@@ -142,15 +148,44 @@ RESULTS = (
 )
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Adds rows to the results log; columns of RESULTS that ``df`` lacks are NULL."""
+def append_results(df: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Adds the rows of a run to the results log; columns of RESULTS that ``df`` lacks are NULL. Returns whether they were added.
+
+    Rows are written first, under a name of this attempt; then the run is committed by a file that names the attempt, which is made
+    only if there is none. So a run that is added again, by another job too, or one that died before it was committed, never
+    doubles rows and never shows part of them. Without ``run_id`` each call is a run of its own.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    run = attempt if run_id is None else run_id
+    files, at = hadoop(spark, f"{path}/runs/{hashlib.sha256(run.encode()).hexdigest()}.json")
+    if files.exists(at):
+        return False
     schema = T.StructType.fromDDL(RESULTS)
     rows = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-    rows.write.mode("append").partitionBy("dataset").parquet(path)
+    rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", "dataset").parquet(f"{path}/rows")
+    return _commit(files, at, {"run": run, "attempt": attempt})
+
+
+def _commit(files, at, entry: dict) -> bool:
+    """Makes the file of a run, unless there is one."""
+    try:
+        out = files.create(at, False)
+    except Py4JJavaError:
+        if files.exists(at):
+            return False
+        raise
+    try:
+        out.write(bytearray(json.dumps(entry).encode()))
+    finally:
+        out.close()
+    return True
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(path)
+    """The rows of all runs that are committed; rows of other attempts aren't read."""
+    runs = spark.read.schema("run string, attempt string").json(f"{path}/runs")
+    rows = spark.read.schema(f"{RESULTS}, attempt string").parquet(f"{path}/rows")
+    return rows.join(runs.select("attempt"), "attempt", "left_semi").select(*T.StructType.fromDDL(RESULTS).names)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -375,3 +375,21 @@ def test_windows_by_spans(spark, tmp_path):
     # the points that are dealt out, before they fan out
     copies = tier1.spanned(preprocess.height_filter(preprocess.transform_to_ego(pts, fr)), 2).count()
     assert len(seen) < copies <= len(seen) * (1 + 2 * 2 / tier1.SPAN) * 1.05
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_quartiles_against_all_scores(spark, accuracy):
+    rng = np.random.default_rng(11)
+    made = {f"n{n}": rng.normal(size=n) for n in (1, 2, 3, 4, 5, 7, 10, 101, 4000)} | {"ties": rng.integers(0, 3, 3000).astype(float), "one": np.full(500, 2.5), "skew": rng.pareto(0.5, 2500)}
+    rows = [(m, float(v)) for m, vs in made.items() for v in vs] + [("n5", None), ("none", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "method string, nmse double").repartition(6)
+    got = {r["method"]: r for r in reports.distribution(df, accuracy=accuracy).collect()}
+    made[None] = np.array([1.0, 3.0])
+    for m, vs in made.items():
+        assert [got[m][c] for c in reports.QUARTILES] == pytest.approx(np.quantile(vs, [0, 0.25, 0.5, 0.75, 1]).tolist()) and got[m]["n"] == len(vs), m
+    assert got["none"]["n"] == 0 and got["none"]["median"] is None and len(got) == len(made) + 1
+    for r in reports.summary(df, accuracy=accuracy).collect():
+        vs = np.sort(made[r["method"]])
+        for c, q in reports.QUARTILES.items():
+            low, high = np.searchsorted(vs, r[c]), np.searchsorted(vs, r[c], "right")
+            assert low - 1 <= q * len(vs) + len(vs) / accuracy and high + 1 >= q * len(vs) - len(vs) / accuracy

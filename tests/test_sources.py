@@ -1,3 +1,4 @@
+import os
 import json
 import math
 from datetime import datetime
@@ -87,6 +88,59 @@ def test_results_log_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "report")).count() == 1
 
 
+def test_a_run_is_logged_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "s", i, 0.5) for i in range(6)] + [("b", "s", 0, None)], "dataset string, scene_id string, frame_idx int, nmse double").repartition(3)
+    path = str(tmp_path / "log")
+    commit = readers._commit
+
+    def dies(*_):
+        raise RuntimeError("the driver died")
+
+    monkeypatch.setattr(readers, "_commit", dies)
+    with pytest.raises(RuntimeError):
+        readers.append_results(rows, path, "run 1/1")
+    monkeypatch.setattr(readers, "_commit", commit)
+    assert readers.append_results(rows, path, "run 1/2") and readers.read_results(spark, path).count() == 7  # nothing of the run that died
+    assert readers.append_results(rows, path, "run 1/1") and not readers.append_results(rows, path, "run 1/1")
+    assert readers.read_results(spark, path).groupBy("dataset").count().orderBy("dataset").collect() == [("a", 12), ("b", 2)]
+    # two attempts at once: both have written their rows when the first commits
+    monkeypatch.setattr(readers, "_commit", lambda *a: (commit(*a), commit(*a))[1])
+    assert not readers.append_results(rows, path, "run 2") and readers.read_results(spark, path).count() == 21
+    with pytest.raises(Exception, match="CAST|cast"):
+        readers.append_results(rows.withColumn("nmse", F.expr("if(frame_idx = 5, cast('x' AS double), nmse)")), path, "run 3")
+    assert readers.read_results(spark, path).count() == 21
+
+
+def test_long_links_in_few_rounds(spark):
+    n = 120_000
+    order = (spark.range(n).withColumn("token", F.concat(F.lit("m"), (F.col("id") * 7919 % n).cast("string"))).withColumn("next", F.when(F.col("id") < n - 1, F.concat(F.lit("m"), ((F.col("id") + 1) * 7919 % n).cast("string"))).otherwise("")))
+    more = spark.createDataFrame([("a0", "a1"), ("a1", "gone"), ("c0", "")], "token string, next string")
+    scenes = spark.createDataFrame([("long", "m0"), ("short", "a0"), ("one", "c0"), ("none", "")], "token string, first_sample_token string")
+    got = catalog.linked_order(scenes, order.select("token", "next").unionByName(more))
+    ends = {r["scene_token"]: (r["n"], r["last"]) for r in got.groupBy("scene_token").agg(F.count("*").alias("n"), F.max_by("sample_token", "place").alias("last")).collect()}
+    assert ends == {"long": (n, f"m{(n - 1) * 7919 % n}"), "short": (2, "a1"), "one": (1, "c0")}
+    assert got.filter("scene_token = 'long'").join(order, got["sample_token"] == order["token"]).filter("place <> id").isEmpty()
+    circle = spark.createDataFrame([("m0", "m1"), ("m1", "m0")], "token string, next string")
+    with pytest.raises(ValueError, match="circle"):
+        catalog.linked_order(scenes.limit(1), circle)
+
+
+def test_scratch_tables_go(spark):
+    from fleetgrid.sources import shared
+
+    left = lambda: {p for p in os.listdir(shared.shared_folder(spark).removeprefix("file:")) if p.startswith("scratch")}
+    before = left()
+    with shared.scratch(spark) as put:
+        put(spark.range(3))
+        last = put(spark.range(4))
+    folder = (left() - before).pop()
+    assert last.count() == 4 and os.listdir(f"{shared.shared_folder(spark).removeprefix('file:')}/{folder}") == ["1"]
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark) as put:
+        put(spark.range(3))
+        1 / 0
+    assert left() - before == {folder}
+
+
 def test_quaternion_round_trip(spark):
     rng = np.random.default_rng(0)
     q = rng.normal(size=(50, 4))
