@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..sources.shared import written
 from .bpe import byte_table
-from .common import slices, stored, text_or_empty
+from .common import slices, text_or_empty
 
 #: Text of a batch in bytes, a longer text is a batch by itself; and distinct words encoded at once.
 BATCH_BYTES = 4_000_000
@@ -225,7 +226,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         return pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
-    batches = stored(texts.mapInArrow(linking, "batch long, rows binary, links binary, pairs binary"))
+    batches = written(texts.mapInArrow(linking, "batch long, rows binary, links binary, pairs binary"))
     named = batches.select("batch", "pairs").mapInArrow(listed, "batch long, at int, pair long, n long")
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))
     counts = named.groupBy("pair").agg(F.sum("n").alias("count"))

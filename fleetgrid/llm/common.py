@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: A word, in the contracts that split at ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,51 +53,12 @@ def without(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, once: Da
     return kept.select(*df.columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: that of ``spark.checkpoint.dir``, or a temporary one where the session names none (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and cut from its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read from there; the files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a table to the shared folder and reads it again; all but the last one written go at the end.
-
-    For loops: a checkpoint keeps what is known of its columns and every way in which its joins were dealt, which grows from
-    round to round until planning takes minutes. A table that is read is known by its columns and size alone.
-    """
-    folder, paths = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
-
-    def written(df: DataFrame) -> DataFrame:
-        paths.append(f"{folder}/{len(paths)}")
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
-    yield written
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in paths[:-1]:
-        at = files.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes add up to about ``most`` (one row at least)."""
     start = total = at = 0

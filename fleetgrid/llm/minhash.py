@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .alike import Group, Search, Wanted, alike_components
-from .common import stored
 
 SHINGLE = 4
 #: Sets alike to 0.8 agree in fewer than MATCHES coordinates once in three million pairs.
@@ -95,7 +95,7 @@ def search(reps: DataFrame) -> Search:
     A row in a posting list carries the lowest byte of each coordinate: bytes of unequal values agree once in 256, which
     adds a few candidates and loses none.
     """
-    posted = stored(_postings(reps))
+    posted = written(_postings(reps))
 
     def rows(reps: DataFrame, names: list[str]) -> DataFrame:
         if names == ["rep"]:
