@@ -6,13 +6,12 @@ the next one. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetgrid.llm import bpe, exact_dedup, mixing, quality, simhash
-from fleetgrid.llm.common import shared_folder, table
+from fleetgrid.llm.common import table
+from fleetgrid.sources.shared import new_folder
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +49,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what lies between two stages is written to the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents table; what lies between two stages is written to the shared folder,
+    where it stays until the session ends, as the last stage is yet to read it."""
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
