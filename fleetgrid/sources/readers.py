@@ -50,7 +50,8 @@ def read_metadata(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def read_points(spark: SparkSession, paths: str | Sequence[str], n_cols: int) -> DataFrame:
     """``path, point_idx, x, y, z, intensity, ring`` from scans of little-endian float32 records of 4 or 5 numbers.
 
-    Each file is one row for Spark (see decode_points). Write the result as Parquet once rather than decode scans again.
+    Each file is one row for Spark (see decode_points); for large files there is ScanSource, which reads ranges of them. Write the
+    result as Parquet once rather than decode scans again.
     """
     return decode_points(spark.read.format("binaryFile").load(paths), n_cols)
 
@@ -65,17 +66,25 @@ def decode_points(files: DataFrame, n_cols: int) -> DataFrame:
     most = 200_000
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "point_idx", "x", "y", "z", "intensity", "ring"]
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                records = np.frombuffer(content.as_buffer(), dtype="<f4").reshape(-1, n_cols)
-                for a in range(0, len(records), most):
-                    part = records[a : a + most]
-                    ring = pa.array(part[:, 4]) if n_cols == 5 else pa.nulls(len(part), pa.float32())
-                    columns = [pa.array([path.as_py()] * len(part)), pa.array(np.arange(a, a + len(part), dtype=np.int64)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(4)), ring]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return files.select("path", "content").mapInArrow(decode, "path string, point_idx long, x float, y float, z float, intensity float, ring float")
+                data = content.as_buffer()
+                for a in range(0, max(data.size, 1), most * 4 * n_cols):
+                    yield point_batch(path.as_py(), data[a : a + most * 4 * n_cols], n_cols, a // (4 * n_cols))
+
+    return files.select("path", "content").mapInArrow(decode, POINTS)
+
+
+POINTS = "path string, point_idx long, x float, y float, z float, intensity float, ring float"
+
+
+def point_batch(path: str, data: pa.Buffer, n_cols: int, first: int) -> pa.RecordBatch:
+    """Records of a scan as rows of POINTS, the ``first`` of which is given."""
+    records = np.frombuffer(data, dtype="<f4").reshape(-1, n_cols)
+    n = len(records)
+    ring = pa.array(np.ascontiguousarray(records[:, 4])) if n_cols == 5 else pa.nulls(n, pa.float32())
+    columns = [pa.array([path] * n, pa.string()), pa.array(np.arange(first, first + n, dtype=np.int64)), *(pa.array(np.ascontiguousarray(records[:, i])) for i in range(4)), ring]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "point_idx", "x", "y", "z", "intensity", "ring"])
 
 
 def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -88,6 +88,33 @@ def test_results_log_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "report")).count() == 1
 
 
+def test_scans_in_ranges_of_bytes(spark, tmp_path):
+    from fleetgrid.sources.scans import ScanSource
+
+    spark.dataSource.register(ScanSource)
+    rng = np.random.default_rng(2)
+    sizes = {"a/large.bin": 5000, "a/small.bin": 3, "b/small.bin": 40, "b/empty.bin": 0, "b/_hidden": 7}
+    made = {n: rng.normal(size=(k, 5)).astype("<f4") for n, k in sizes.items()}
+    for n, data in made.items():
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(data.tobytes())
+    read = lambda path, **o: spark.read.format("scans").options(**o).load(str(path))
+    got = read(tmp_path, columns=5, split=20_010)
+    assert got.rdd.getNumPartitions() == 6  # five pieces of the large file; what is left of it shares a task with the small ones
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(os.path.relpath(r["path"], tmp_path), {})[r["point_idx"]] = [r[c] for c in ("x", "y", "z", "intensity", "ring")]
+    assert rows == {n: {i: p for i, p in enumerate(made[n].tolist())} for n in ("a/large.bin", "a/small.bin", "b/small.bin")}
+    whole = lambda df: sorted(map(tuple, df.select("point_idx", "x", "y", "z", "intensity", "ring").collect()))
+    one = tmp_path / "a/large.bin"
+    assert whole(read(one, columns=5)) == whole(readers.read_points(spark, str(one), 5))
+    assert read(tmp_path / "b/small.bin", columns=4).filter("ring is not null").isEmpty()
+    with pytest.raises(Exception, match="records of 4 numbers"):
+        read(tmp_path / "a/small.bin", columns=4).collect()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        read(tmp_path / "c", columns=4).collect()
+
+
 def test_a_run_is_logged_once(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("a", "s", i, 0.5) for i in range(6)] + [("b", "s", 0, None)], "dataset string, scene_id string, frame_idx int, nmse double").repartition(3)
     path = str(tmp_path / "log")
