@@ -271,6 +271,34 @@ def test_live_map_equals_stored(spark, tmp_path):
     assert got == want
 
 
+def test_live_map_with_late_scans_equals_stored(spark, tmp_path):
+    """Scans in any order over several batches, some split between batches; those too far behind are left out."""
+    rng = np.random.default_rng(12)
+    schema = "dataset string, scene_id string, frame_idx int, row int, col int, n_hits long, is_free int"
+    order = sorted(range(40), key=lambda f: f + rng.integers(0, 8))
+    batches, late = [order[i : i + 8] for i in range(0, 40, 8)], 12
+    rows = {f: [("d", s, f, int(r), int(c), int(n), int(b)) for s in "ab" for r, c, n, b in zip(*rng.integers(0, 4, (2, 5)), rng.integers(0, 9, 5), rng.integers(0, 2, 5))] for f in range(40)}
+    rows = {f: list({r[:5]: r for r in of}.values()) for f, of in rows.items()}
+    sent = [[r for f in b for r in rows[f]] for b in batches]
+    sent[2].append(sent[1].pop())  # a row of a scan that comes after the others
+    sent[4].append(("d", "a", 1, 0, 0, 5, 0))  # far behind
+    (tmp_path / "in").mkdir()
+    stream = live_scene_map(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), late)
+    q = stream.writeStream.foreachBatch(lambda df, i: df.write.mode("append").parquet(str(tmp_path / f"out/batch={i}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for i, part in enumerate(sent):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"made{i}"))
+        for f in (tmp_path / f"made{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+        q.processAllAvailable()
+    q.stop()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect():
+        got[r["scene_id"], r["row"], r["col"]] = (round(r["value"], 9), r["n_scans"])
+    every = spark.createDataFrame([r for of in rows.values() for r in of], schema)
+    want = {(r["scene_id"], r["row"], r["col"]): (round(r["value"], 9), r["n_scans"]) for r in tier1.folded(every, ["dataset", "scene_id"]).collect()}
+    assert got == want
+
+
 def test_camera_frames(spark):
     tr = F.array(*(F.lit(float(v)) for v in (0, -1, 0, 0.1, 0, 0, -1, 0.2, 1, 0, 0, 0.3)))
     r, t = g.camera_calibration(tr)
