@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -42,6 +43,7 @@ class Pair:
     """Tokenizers A (a ``tokenizers`` file, byte-level) and B (a ``sentencepiece`` model), and the bytes of their tokens."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other
         self.a = Tokenizer.from_str(a_file.decode())
         self.a.encode_special_tokens = True  # strings of special tokens in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
