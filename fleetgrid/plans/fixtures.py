@@ -22,14 +22,15 @@ def _frame(of: str) -> list[str]:
     return [f"'{DATASET}' AS dataset", f"cast({of} % 5 AS string) AS scene_id", f"cast({of} div 5 AS int) AS frame_idx"]
 
 
-def points(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
-    """One point a row of lineitem, in sensor axes. ``coarse`` moves them to few places, so that cells are hit often."""
+def points(spark: SparkSession, sf_dir: str, coarse: bool = False, dense: bool = False) -> DataFrame:
+    """One point a row of lineitem, in sensor axes. ``coarse`` moves them to few places, so that cells are hit often; ``dense`` gives
+    them all to nine frames, so that these have as many points as a real scan or more."""
     xyz = (
         "((l_partkey * 7919 + l_linenumber * 1543 + l_orderkey * 31) % 5000 - 2500) / 100D AS x",
         "((l_orderkey * 6007 + l_linenumber * 977 + l_partkey * 17) % 5000 - 2500) / 100D AS y",
         "((l_orderkey * 101 + l_partkey * 13 + l_linenumber * 7) % 600 - 250) / 100D AS z",
     )
-    out = _read(spark, sf_dir, "lineitem").selectExpr(*_frame("l_suppkey"), *xyz)
+    out = _read(spark, sf_dir, "lineitem").selectExpr(*_frame("(1 + l_suppkey % 9)" if dense else "l_suppkey"), *xyz)
     return out.withColumns({c: F.floor(c) + 0.25 for c in "xy"}) if coarse else out
 
 

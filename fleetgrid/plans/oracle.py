@@ -48,6 +48,7 @@ XYZ = """((l_partkey * 7919 + l_linenumber * 1543 + l_orderkey * 31) % 5000 - 25
   ((l_orderkey * 101 + l_partkey * 13 + l_linenumber * 7) % 600 - 250) / 100.0::DOUBLE AS z"""
 
 part("pts", f"SELECT {frame('l_suppkey')}, {XYZ} FROM lineitem")
+part("pts_dense", f"SELECT {frame('(1 + l_suppkey % 9)')}, {XYZ} FROM lineitem")
 part("pts_coarse", f"SELECT {K}, floor(x) + 0.25 AS x, floor(y) + 0.25 AS y, z FROM pts", "pts")
 part("frq", f"""SELECT s_suppkey, {frame('s_suppkey')}, (s_suppkey % 7) / 20.0::DOUBLE AS cu, ((s_suppkey // 5) % 11) / 40.0::DOUBLE AS pu,
   1000.0::DOUBLE * (s_suppkey % 5) + 8 * (s_suppkey // 5) / 10.0::DOUBLE AS px, 3 * (s_suppkey // 5) / 10.0::DOUBLE AS py FROM supplier""")
@@ -55,6 +56,7 @@ part("frw", f"SELECT *, {quat('pu')[0]} AS pw, {quat('pu')[1]} AS pz, {quat('cu'
 part("frm", f"SELECT *, {matrix('pw', 'pz')} FROM frw", "frw")
 part("ego", f"SELECT {K}, x::FLOAT AS x, y::FLOAT AS y, (z + 1.84::DOUBLE)::FLOAT AS z FROM pts JOIN frq USING ({K})", "pts", "frq")
 part("ego_coarse", f"SELECT {K}, x::FLOAT AS x, y::FLOAT AS y, (z + 1.84::DOUBLE)::FLOAT AS z FROM pts_coarse JOIN frq USING ({K})", "pts_coarse", "frq")
+part("ego_dense", f"SELECT {K}, x::FLOAT AS x, y::FLOAT AS y, (z + 1.84::DOUBLE)::FLOAT AS z FROM pts_dense JOIN frq USING ({K})", "pts_dense", "frq")
 part("turned", f"SELECT {K}, (r00 * x + r01 * y)::FLOAT AS x, (r10 * x + r11 * y)::FLOAT AS y, (z + 1.84::DOUBLE)::FLOAT AS z FROM pts JOIN (SELECT {K}, {matrix('cw', 'cz')} FROM frw) USING ({K})", "pts", "frw")
 HIGH_OK = "z BETWEEN 0.3::FLOAT AND 3.0::FLOAT"
 RANGE_OK = "abs(x) <= 20 AND abs(y) <= 20 AND sqrt(x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE) >= 1.5"
@@ -67,6 +69,7 @@ def kept(source: str) -> str:
 
 part("kept", kept("ego"), "ego")
 part("kept_coarse", kept("ego_coarse"), "ego_coarse")
+part("kept_dense", kept("ego_dense"), "ego_dense")
 part("kept_turned", kept("turned"), "turned")
 
 
@@ -88,7 +91,7 @@ def scan(source: str) -> str:
     return f"SELECT * EXCLUDE (n_hits, is_free), {value} AS value, (1 / (1 + exp(-({value}))))::FLOAT AS p FROM {source}"
 
 
-for v in ("", "_coarse"):
+for v in ("", "_coarse", "_dense"):
     part(f"ev{v}", evidence(rays(f"kept{v}")), f"kept{v}")
     part(f"map{v}", scan(f"ev{v}"), f"ev{v}")
 

@@ -121,6 +121,22 @@ def p13_label_to_ego(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*FRAME, "box_id", r6("cx"), r6("cy"), r6("cz"), r6(F.sin("yaw"), "sin_yaw"), r6(F.cos("yaw"), "cos_yaw"))
 
 
+@query(
+    sql(
+        f"""SELECT {K}, box_id, round(z + 0.1, 6) + 0.0 AS cx, round(-(0.8 * x + 0.6 * 1.65 + 0.2), 6) + 0.0 AS cy, round(-(-0.6 * x + 0.8 * 1.65 - 0.3) + 1.73, 6) + 0.0 AS cz,
+        round(sin(atan2(-0.8 * sin(rotation_y), cos(rotation_y))), 6) + 0.0 AS sin_yaw, round(cos(atan2(-0.8 * sin(rotation_y), cos(rotation_y))), 6) + 0.0 AS cos_yaw FROM labels""",
+        "labels",
+    )
+)
+def p13_rectified_label(spark: SparkSession, d: str) -> DataFrame:
+    """As p13_label_to_ego, with a rectifying rotation about the camera's axis."""
+    tr = F.array(*(F.lit(float(v)) for v in (0, -1, 0, -0.2, 0, 0, -1, 0.3, 1, 0, 0, -0.1)))
+    r0 = (0.8, -0.6, 0.0, 0.6, 0.8, 0.0, 0.0, 0.0, 1.0)
+    centre, yaw = g.label_to_ego([F.col("x"), F.col("y"), F.col("z")], F.col("rotation_y"), r0, tr)
+    out = fx.labels(spark, d).withColumns({"cx": centre[0], "cy": centre[1], "cz": centre[2], "yaw": yaw})
+    return out.select(*FRAME, "box_id", r6("cx"), r6("cy"), r6("cz"), r6(F.sin("yaw"), "sin_yaw"), r6(F.cos("yaw"), "cos_yaw"))
+
+
 @query(
     sql(
         f"""SELECT {K}, box_id, i::INT AS corner, round(cos(yaw) * (a * l) - sin(yaw) * (b * w) + cx, 6) + 0.0 AS x, round(sin(yaw) * (a * l) + cos(yaw) * (b * w) + cy, 6) + 0.0 AS y
@@ -245,6 +261,13 @@ def a2_single_scan(spark: SparkSession, d: str) -> DataFrame:
     return _map(spark, d, coarse=True).select(*FRAME, *CELL, r6("value"), r6("p"))
 
 
+@query(sql(f"SELECT {K}, row, col, round(value, 6) + 0.0 AS value, round(p::DOUBLE, 6) AS p FROM map_dense", "map_dense"))
+def a2_dense_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Scans of thousands of points each."""
+    kept = preprocess.preprocess(fx.points(spark, d, dense=True), fx.frames(spark, d))
+    return tier1.single_scan_map(kept).select(*FRAME, *CELL, r6("value"), r6("p"))
+
+
 @query(sql(f"SELECT dataset, scene_id, row, col, n_scans, round(value, 6) + 0.0 AS value FROM ({fold('ev_coarse')})", "ev_coarse"))
 def a3_scene_map(spark: SparkSession, d: str) -> DataFrame:
     return tier1.scene_map(_kept(spark, d, coarse=True)).select("dataset", "scene_id", *CELL, "n_scans", r6("value"))
