@@ -15,11 +15,11 @@ CAMERA_TO_EGO = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0)
 #: Heights kept (metres), least distance, height of the roof sensor in frames without calibration.
 LOW, HIGH, NEAR, ROOF = 0.3, 3.0, 1.5, 1.73
 
-Matrix = Column | Sequence[float]
+Matrix = Column | Sequence[float | Column]
 
 
 def _at(m: Matrix, i: int) -> Column:
-    return m[i] if isinstance(m, Column) else F.lit(float(m[i]))
+    return m[i] if isinstance(m[i], Column) else F.lit(float(m[i]))
 
 
 def quat_to_matrix(q: Column) -> Column:
@@ -49,12 +49,22 @@ def matrix_to_quat(r: Column) -> Column:
     return F.when(trace > 0, whole).when((m[0][0] >= m[1][1]) & (m[0][0] >= m[2][2]), about(0)).when(m[1][1] >= m[2][2], about(1)).otherwise(about(2))
 
 
+def turned(r: Matrix) -> list[Column]:
+    """The elements of a transposed matrix, which say less than an array of them where they are used one by one."""
+    return [_at(r, 3 * j + i) for i in range(3) for j in range(3)]
+
+
 def transpose(r: Matrix) -> Column:
-    return F.array(*(_at(r, 3 * j + i) for i in range(3) for j in range(3)))
+    return F.array(*turned(r))
+
+
+def product(a: Matrix, b: Matrix) -> list[Column]:
+    """The elements of a matrix product."""
+    return [_at(a, 3 * i) * _at(b, j) + _at(a, 3 * i + 1) * _at(b, 3 + j) + _at(a, 3 * i + 2) * _at(b, 6 + j) for i in range(3) for j in range(3)]
 
 
 def matmul(a: Matrix, b: Matrix) -> Column:
-    return F.array(*(_at(a, 3 * i) * _at(b, j) + _at(a, 3 * i + 1) * _at(b, 3 + j) + _at(a, 3 * i + 2) * _at(b, 6 + j) for i in range(3) for j in range(3)))
+    return F.array(*product(a, b))
 
 
 def rotate(r: Matrix, v: Sequence[Column]) -> list[Column]:
@@ -149,7 +159,7 @@ def corners(cx: Column, cy: Column, w: Column, l: Column, yaw: Column) -> Column
 def label_to_ego(location: Sequence[Column], rotation_y: Column, r0: Matrix, tr: Column, height: float = ROOF) -> tuple[list[Column], Column]:
     """Centre and yaw in ego axes of a label in camera coordinates: the camera's rotation is undone, the sensor's height added."""
     r_v, t_v = split_3x4(tr)
-    back = transpose(matmul(r0, r_v))
+    back = turned(product(r0, r_v))
     moved = rotate(back, rotate(r0, [t_v[i] for i in range(3)]))
     at = rotate(back, location)
     centre = [a - m for a, m in zip(at, moved, strict=True)]
