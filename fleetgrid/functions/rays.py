@@ -7,23 +7,42 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import Grid
+from ..grid import CELL, Grid
 
 
 def ray(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:
-    """Array of (row, col, i, m) from the ego cell (i = 0) to the hit cell (i = m), both included.
+    """Array of (row, col, i, m) from the ego cell (i = 0) to the hit cell (i = m), both included."""
+    m = length(row, col, ego_row, ego_col)
+    return F.transform(F.sequence(F.lit(0), m), lambda i: F.struct(*(c.alias(n) for n, c in zip(CELL, cell_at(row, col, ego_row, ego_col, i, m), strict=True)), i.alias("i"), m.alias("m")))
+
+
+def along_rays(hits: DataFrame, row: str, col: str, ego_row: str, ego_col: str) -> DataFrame:
+    """The hit cells (by the columns named) with a row for each cell of their rays: ``i, m``, and ``at_row, at_col``. The same cells as
+    ``ray``; a list has the steps alone, and cells are worked out as columns, which Spark compiles."""
+    ends = [F.col(c) for c in (row, col, ego_row, ego_col)]
+    m = length(*ends)
+    out = hits.withColumn("_s", F.explode(F.transform(F.sequence(F.lit(0), m), lambda i: F.struct(i.alias("i"), m.alias("m"))))).select("*", "_s.i", "_s.m").drop("_s")
+    at = cell_at(*ends, F.col("i"), F.col("m"))
+    return out.withColumns({"at_row": at[0], "at_col": at[1]})
+
+
+def length(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:
+    """Steps of a ray."""
+    return F.greatest(F.abs(row - ego_row), F.abs(col - ego_col))
+
+
+def cell_at(row: Column, col: Column, ego_row: Column, ego_col: Column, i: Column, m: Column) -> tuple[Column, Column]:
+    """Row and column of step ``i`` of ``m``.
 
     The line is the integer one: on the longer axis a cell a step, on the other the rounded share, halves towards the ego.
     """
-    dr, dc = row - ego_row, col - ego_col
-    m = F.greatest(F.abs(dr), F.abs(dc))
 
-    def along(start: Column, d: Column, i: Column) -> Column:
+    def along(start: Column, d: Column) -> Column:
         far = F.abs(d)
         share = F.when(far == m, i).otherwise(F.floor((2 * i * far + m - 1) / (2 * m)).cast("int"))
         return start + F.signum(d).cast("int") * share
 
-    return F.transform(F.sequence(F.lit(0), m), lambda i: F.struct(along(ego_row, dr, i).alias("row"), along(ego_col, dc, i).alias("col"), i.alias("i"), m.alias("m")))
+    return along(ego_row, row - ego_row), along(ego_col, col - ego_col)
 
 
 def probes(spark: SparkSession, grid: Grid, bins: int = 360, start: float = 1.5) -> DataFrame:
