@@ -36,9 +36,9 @@ def box_corners(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("corners", g.corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("l"), F.col("yaw")))
 
 
-def _rows(boxes: DataFrame, grid: Grid, keep: Sequence[str]) -> DataFrame:
-    """``frame key, keep, rows``: for each row of cells that a box may reach, an array of ``row, first, last``, the columns whose centres lie
-    strictly inside the box. Rows without any are left out.
+def _rows(boxes: DataFrame, grid: Grid, keep: Sequence[str], every: bool = False) -> DataFrame:
+    """``frame key, keep, row, first, last``: for each row of cells that a box reaches, the columns whose centres lie strictly inside the
+    box. Rows without any have NULLs, as with ``every`` has a box that reaches none. A row of cells is a row of the table, so that Spark compiles its numbers, which it wouldn't in lists.
 
     In a row, either pair of a box's sides leaves an interval of columns; the interval that both leave is found in closed form. Its
     ends may be off by the last digit, so the cells next to them are asked whether they are inside; if none is, the row has none.
@@ -46,51 +46,52 @@ def _rows(boxes: DataFrame, grid: Grid, keep: Sequence[str]) -> DataFrame:
     reach = F.sqrt(F.col("w") * F.col("w") + F.col("l") * F.col("l")) / 2
     low, high = (F.floor((grid.half - F.col("cy") + side) / grid.cell).cast("int") for side in (-reach, reach))
     low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(grid.size - 1))
-    near = boxes.select(*FRAME, *keep, "cx", "cy", "w", "l", F.cos("yaw").alias("c"), F.sin("yaw").alias("s"), low.alias("low"), high.alias("high"))
-    c, s, half_l, half_w = F.col("c"), F.col("s"), F.col("l") / 2, F.col("w") / 2
+    box = F.struct("cx", "cy", F.cos("yaw").alias("c"), F.sin("yaw").alias("s"), (F.col("l") / 2).alias("half_l"), (F.col("w") / 2).alias("half_w"), low.alias("low"), high.alias("high"))
+    near = boxes.select(*FRAME, *keep, F.inline(F.array(box)))
+    near = near.select("*", (F.explode_outer if every else F.explode)(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high"))).alias("row"))
+    c, s, half_l, half_w, dy = (F.col(n) for n in ("c", "s", "half_l", "half_w", "dy"))
+    near = near.withColumn("dy", grid.half - (F.col("row") + 0.5) * grid.cell - F.col("cy"))
     wide = F.lit(2.0) * grid.size * grid.cell
-
-    def span(row: Column) -> Column:
-        dy = grid.half - (row + 0.5) * grid.cell - F.col("cy")
-        # |dx c + dy s| < l / 2 and |dy c - dx s| < w / 2 as bounds of dx; where a factor is 0, dx has no bound by it
-        along = [F.when(c != 0, (side - dy * s) / c) for side in (-half_l, half_l)]
-        across = [F.when(s != 0, (dy * c - side) / s) for side in (-half_w, half_w)]
-        least = F.greatest(*(F.coalesce(F.least(*ends), -wide) for ends in (along, across)), -wide)
-        most = F.least(*(F.coalesce(F.greatest(*ends), wide) for ends in (along, across)), wide)
-        at = lambda dx: F.least(F.greatest((dx + F.col("cx") + grid.half) / grid.cell, F.lit(-2.0)), F.lit(grid.size + 2.0)) - 0.5
-        return F.struct(row.alias("row"), dy.alias("dy"), F.ceil(at(least)).cast("int").alias("start"), F.floor(at(most)).cast("int").alias("stop"))
-
-    def trimmed(r: Column) -> Column:
-        def inside(col: Column) -> Column:
-            dx = (col + 0.5) * grid.cell - grid.half - F.col("cx")
-            return (F.abs(dx * c + r["dy"] * s) < half_l) & (F.abs(r["dy"] * c - dx * s) < half_w)
-
-        first, last = (F.coalesce(*(F.when(inside(r[end] + k), r[end] + k) for k in near)) for end, near in (("start", (-1, 0, 1)), ("stop", (1, 0, -1))))
-        within = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0)), F.lit(grid.size - 1)))
-        crosses = (last >= 0) & (first < grid.size)
-        return F.struct(r["row"].alias("row"), F.when(crosses, within(first)).alias("first"), F.when(crosses, within(last)).alias("last"))
-
-    spans = F.transform(F.transform(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high")).otherwise(F.array().cast("array<int>")), span), trimmed)
-    return near.select(*FRAME, *keep, F.filter(spans, lambda r: r["first"] <= r["last"]).alias("rows"))
+    # |dx c + dy s| < l / 2 and |dy c - dx s| < w / 2 as bounds of dx; where a factor is 0, dx has no bound by it
+    along = [F.when(c != 0, (side - dy * s) / c) for side in (-half_l, half_l)]
+    across = [F.when(s != 0, (dy * c - side) / s) for side in (-half_w, half_w)]
+    least = F.greatest(*(F.coalesce(F.least(*ends), -wide) for ends in (along, across)), -wide)
+    most = F.least(*(F.coalesce(F.greatest(*ends), wide) for ends in (along, across)), wide)
+    at = lambda dx: F.least(F.greatest((dx + F.col("cx") + grid.half) / grid.cell, F.lit(-2.0)), F.lit(grid.size + 2.0)) - 0.5
+    ends = F.struct(F.ceil(at(least)).cast("int").alias("start"), F.floor(at(most)).cast("int").alias("stop"))
+    near = near.select("*", F.inline(F.array(ends)))
+
+    def inside(col: Column) -> Column:
+        dx = (col + 0.5) * grid.cell - grid.half - F.col("cx")
+        return (F.abs(dx * c + dy * s) < half_l) & (F.abs(dy * c - dx * s) < half_w)
+
+    first, last = (F.coalesce(*(F.when(inside(F.col(end) + k), F.col(end) + k) for k in by)) for end, by in (("start", (-1, 0, 1)), ("stop", (1, 0, -1))))
+    near = near.select(*FRAME, *keep, "row", F.inline(F.array(F.struct(first.alias("first"), last.alias("last")))))
+    crosses = (F.col("last") >= 0) & (F.col("first") < grid.size)
+    within = lambda v: F.when(crosses, F.least(F.greatest(F.col(v), F.lit(0)), F.lit(grid.size - 1))).alias(v)
+    return near.select(*FRAME, *keep, "row", within("first"), within("last"))
 
 
 def rasterize(boxes: DataFrame, grid: Grid = Grid(), keep: Sequence[str] = ("box_id",)) -> DataFrame:
     """``frame key, keep, row, col``: cells whose centre lies strictly inside a box (centre from the ego, yaw). No other cell is made."""
-    spans = _rows(boxes, grid, keep).select(*FRAME, *keep, F.explode("rows").alias("r"))
-    return spans.select(*FRAME, *keep, "r.row", F.explode(F.sequence("r.first", "r.last")).alias("col"))
+    some = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last"))
+    return _rows(boxes, grid, keep).select(*FRAME, *keep, "row", F.explode(some).alias("col"))
 
 
-def masks(boxes: DataFrame, grid: Grid = Grid(), keep: Sequence[str] = ("box_id",)) -> DataFrame:
-    """``frame key, keep, words``: the cells of each box as an array of ``word, mask``, as in packed maps; a box without cells has none."""
-    n = words_of_row(grid)
+def mask_rows(boxes: DataFrame, grid: Grid = Grid(), keep: Sequence[str] = ("box_id",), every: bool = False) -> DataFrame:
+    """``frame key, keep, word, mask``: the cells of each box as bits, word by word as in packed maps. No other word is made, but with
+    ``every`` a box without cells has rows of NULLs."""
+    some = F.when(F.col("first") <= F.col("last"), F.sequence(F.floor(F.col("first") / 64).cast("int"), F.floor(F.col("last") / 64).cast("int")))
+    words = _rows(boxes, grid, keep, every).select(*FRAME, *keep, "row", "first", "last", (F.explode_outer if every else F.explode)(some).alias("k"))
+    first, last = F.greatest(F.col("first") - 64 * F.col("k"), F.lit(0)), F.least(F.col("last") - 64 * F.col("k"), F.lit(63))
+    ones = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - (last - first)), first)
+    return words.select(*FRAME, *keep, (F.col("row") * words_of_row(grid) + F.col("k")).alias("word"), F.when(F.col("k").isNotNull(), ones).alias("mask"))
 
-    def word(r: Column, k: int) -> Column:
-        first, last = F.greatest(r["first"] - 64 * k, F.lit(0)), F.least(r["last"] - 64 * k, F.lit(63))
-        ones = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - (last - first)), first)
-        return F.struct((r["row"] * n + k).alias("word"), F.when(first <= last, ones).otherwise(F.lit(0).cast("long")).alias("mask"))
 
-    every = F.flatten(F.transform("rows", lambda r: F.array(*(word(r, k) for k in range(n)))))
-    return _rows(boxes, grid, keep).select(*FRAME, *keep, F.filter(every, lambda w: w["mask"] != 0).alias("words"))
+def masks(boxes: DataFrame, grid: Grid = Grid(), keep: Sequence[str] = ("box_id",)) -> DataFrame:
+    """``frame key, keep, words``: the cells of each box (told apart by ``keep``) as an array of ``word, mask``; a box without cells has none."""
+    word = F.when(F.col("mask").isNotNull(), F.struct("word", "mask"))
+    return mask_rows(boxes, grid, keep, every=True).groupBy(*FRAME, *keep).agg(F.collect_list(word).alias("words"))
 
 
 def words_of_row(grid: Grid) -> int:

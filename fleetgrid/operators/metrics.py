@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.rays import probes
 from ..grid import CELL, FRAME, Grid
-from .boxes import masks, words_of_row
+from .boxes import mask_rows, masks, words_of_row
+from .tier1 import dealt
 
 
 def occupied_cells(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -24,8 +27,7 @@ def box_hits(maps: DataFrame, box_cells: DataFrame, threshold: float = 0.5) -> D
 
 def iobb(maps: DataFrame, box_cells: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``iobb`` (mean over boxes of occupied over all cells) and ``n_objects`` of each frame that has a box with cells."""
-    per_box = box_hits(maps, box_cells, threshold)
-    return per_box.groupBy(*FRAME).agg(F.avg(F.col("n_hit") / F.col("n_box")).alias("iobb"), F.count("*").alias("n_objects"))
+    return mean_share(box_hits(maps, box_cells, threshold))
 
 
 def precision(maps: DataFrame, boxes: DataFrame, box_cells: DataFrame, threshold: float = 0.5, zero_outside: bool = False) -> DataFrame:
@@ -37,6 +39,10 @@ def precision(maps: DataFrame, boxes: DataFrame, box_cells: DataFrame, threshold
     true = box_cells.select(*FRAME, *CELL).distinct().withColumn("true", F.lit(1))
     counts = maps.select(*FRAME, *CELL, g.occupied(F.col("p"), threshold).alias("occ")).join(true, [*FRAME, *CELL], "left")
     counts = counts.groupBy(*FRAME).agg(F.count_if("occ").alias("n_occupied"), F.count_if(F.col("occ") & F.col("true").isNotNull()).alias("n_true"))
+    return _precision(counts, boxes, zero_outside)
+
+
+def _precision(counts: DataFrame, boxes: DataFrame, zero_outside: bool) -> DataFrame:
     labelled = boxes.groupBy(*FRAME).agg(F.count("*").alias("n_boxes"))
     out = counts.join(labelled, FRAME, "left")
     score = F.when((F.col("n_occupied") > 0) & (F.col("n_boxes") > 0), F.col("n_true") / F.col("n_occupied"))
@@ -47,10 +53,14 @@ def precision(maps: DataFrame, boxes: DataFrame, box_cells: DataFrame, threshold
 
 def overlay(maps: DataFrame, boxes: DataFrame, box_cells: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> DataFrame:
     """``n_inside`` (boxes whose centre is in the map) and ``n_overlap`` (occupied cells summed over boxes) of each frame."""
+    return overlaid(boxes, box_hits(maps, box_cells, threshold), grid)
+
+
+def overlaid(boxes: DataFrame, counts: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """As overlay, from box_counts or box_hits."""
     inside = (F.abs("cx") <= grid.half) & (F.abs("cy") <= grid.half)
-    counts = boxes.groupBy(*FRAME).agg(F.count_if(inside).alias("n_inside"))
-    hits = box_hits(maps, box_cells, threshold).groupBy(*FRAME).agg(F.sum("n_hit").alias("n_overlap"))
-    return counts.join(hits, FRAME, "left").withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0).cast("long")))
+    hits = counts.groupBy(*FRAME).agg(F.sum("n_hit").alias("n_overlap"))
+    return boxes.groupBy(*FRAME).agg(F.count_if(inside).alias("n_inside")).join(hits, FRAME, "left").withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0).cast("long")))
 
 
 def seen_ranges(points: DataFrame, bins: int = 360) -> DataFrame:
@@ -86,27 +96,60 @@ def packed(maps: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> Data
     return of.select(*FRAME, every.alias("bits"))
 
 
+def under(bits: DataFrame, boxes: DataFrame, keep: Sequence[str] = ("box_id",), grid: Grid = Grid()) -> DataFrame:
+    """``frame key, keep, word, mask, hit``: the cells of each box as bits, word by word, and those of them that are occupied in
+    packed maps.
+
+    A map meets its frame's boxes as one row of bits. So boxes are shuffled, never their cells.
+    """
+    both = boxes.select(*FRAME, *keep, "cx", "cy", "w", "l", "yaw").join(bits, FRAME, "left")
+    return mask_rows(both, grid, [*keep, "bits"]).select(*FRAME, *keep, "word", "mask", F.coalesce(F.col("mask").bitwiseAND(F.get("bits", "word")), F.lit(0).cast("long")).alias("hit"))
+
+
+def box_counts(maps: DataFrame, boxes: DataFrame, grid: Grid = Grid(), threshold: float = 0.5) -> DataFrame:
+    """As box_hits, from boxes (with ids) instead of their cells."""
+    n = lambda c: F.sum(F.bit_count(c).cast("long"))
+    return under(packed(maps, grid, threshold), boxes, grid=grid).groupBy(*FRAME, "box_id").agg(n("mask").alias("n_box"), n("hit").alias("n_hit"))
+
+
+def mean_share(counts: DataFrame) -> DataFrame:
+    """As iobb, from box_counts or box_hits."""
+    return counts.groupBy(*FRAME).agg(F.avg(F.col("n_hit") / F.col("n_box")).alias("iobb"), F.count("*").alias("n_objects"))
+
+
+def box_precision(maps: DataFrame, boxes: DataFrame, labelled: DataFrame, grid: Grid = Grid(), threshold: float = 0.5, zero_outside: bool = False) -> DataFrame:
+    """As precision, from boxes instead of their cells; ``labelled``: the rows that say which frames have boxes at all."""
+    bits = dealt(packed(maps, grid, threshold))
+    true = under(bits, boxes, (), grid).groupBy(*FRAME, "word").agg(F.bit_or("hit").alias("hit"))
+    true = true.groupBy(*FRAME).agg(F.sum(F.bit_count("hit").cast("long")).alias("n_true"))
+    n = F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b))
+    counts = bits.select(*FRAME, n.alias("n_occupied")).join(true, FRAME, "left").fillna(0, ["n_true"])
+    return _precision(counts, labelled, zero_outside)
+
+
 def scores(maps: DataFrame, points: DataFrame, boxes: DataFrame, grid: Grid = Grid(), bins: int = 360, threshold: float = 0.5) -> DataFrame:
     """All scores of each frame's map in one row: ``nmse, iobb, n_objects, n_occupied, precision``, as the functions above give them.
 
-    A frame is one row: its map as bits, its boxes as masks over them (a frame has few), and the nearest point on each bearing.
-    Scores count bits under masks and look bits up along bearings, so the map is made once and no cells are joined or shuffled.
+    A frame is one row: its map as bits, its boxes and all of them together as masks over them (a frame has few), and the nearest point on each
+    bearing. Scores count bits under masks and look bits up along bearings, so the map is made once and no cells are joined or shuffled.
     """
     n = words_of_row(grid)
     seen = seen_ranges(points, bins).groupBy(*FRAME).agg(F.collect_list(F.struct("bin", "d")).alias("seen"))
-    boxed = masks(boxes, grid, keep=()).groupBy(*FRAME).agg(F.collect_list("words").alias("boxes"))
+    # boxes are told apart by their place among their frame's
+    told = boxes.groupBy(*FRAME).agg(F.collect_list(F.struct("cx", "cy", "w", "l", "yaw")).alias("of")).select(*FRAME, F.posexplode("of").alias("nth", "box")).select(*FRAME, "nth", "box.*")
+    boxed = masks(told, grid, ["nth"]).groupBy(*FRAME).agg(F.collect_list("words").alias("boxes"))
+    truth = mask_rows(boxes, grid, ()).groupBy(*FRAME, "word").agg(F.bit_or("mask").alias("mask")).groupBy(*FRAME).agg(F.collect_list(F.struct("word", "mask")).alias("truth"))
     steps = probes(maps.sparkSession, grid, bins).groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("step", (F.col("row") * n + F.floor(F.col("col") / 64)).cast("int").alias("word"), (F.col("col") % 64).alias("bit")))).alias("of"))
     # one row, whose size depends on the grid alone
     steps = steps.groupBy().agg(F.sort_array(F.collect_list(F.struct("bin", "of"))).alias("steps"))
-    rows = packed(maps, grid, threshold).join(seen, FRAME).join(boxed, FRAME, "left").crossJoin(F.broadcast(steps))
+    rows = packed(maps, grid, threshold).join(seen, FRAME).join(boxed, FRAME, "left").join(truth, FRAME, "left").crossJoin(F.broadcast(steps))
 
     zero, bits = F.lit(0).cast("long"), F.col("bits")
     total = lambda xs, of: F.aggregate(xs, zero, lambda a, x: a + of(x))
     under = lambda w: F.bit_count(w["mask"].bitwiseAND(F.get(bits, w["word"]))).cast("long")
     counts = F.transform("boxes", lambda ws: F.struct(total(ws, under).alias("hit"), total(ws, lambda w: F.bit_count(w["mask"]).cast("long")).alias("all")))
     objects = F.filter(counts, lambda b: b["all"] > 0)
-    true = F.aggregate(F.flatten("boxes"), F.transform(bits, lambda _: zero), lambda a, w: F.transform(a, lambda x, i: F.when(i == w["word"], x.bitwiseOR(w["mask"])).otherwise(x)))
-    n_true = F.aggregate(F.zip_with(true, bits, lambda t, b: F.bit_count(t.bitwiseAND(b)).cast("long")), zero, lambda a, x: a + x)
+    n_true = F.coalesce(total("truth", under), zero)
 
     def first_step(b: Column) -> Column:
         along = F.get(F.col("steps"), b)["of"]

@@ -421,3 +421,39 @@ def test_quartiles_against_all_scores(spark, accuracy):
         for c, q in reports.QUARTILES.items():
             low, high = np.searchsorted(vs, r[c]), np.searchsorted(vs, r[c], "right")
             assert low - 1 <= q * len(vs) + len(vs) / accuracy and high + 1 >= q * len(vs) - len(vs) / accuracy
+
+
+def test_rays_of_scans_with_other_egos(spark):
+    """Cells that rays touch, for scans with an ego cell of their own, against the array form of a ray."""
+    rng = np.random.default_rng(10)
+    rows = [("d", "s", f, int(r), int(c), 5 + f, 30 - f) for f in range(9) for r, c in rng.integers(0, 40, (12, 2))] + [("d", "s", 0, 5, 30, 5, 30)] * 3
+    df = spark.createDataFrame(rows, "dataset string, scene_id string, frame_idx int, row int, col int, er int, ec int")
+    line = F.explode(ray(F.col("row"), F.col("col"), F.col("er"), F.col("ec"))).alias("c")
+    end = F.col("c.i") == F.col("c.m")
+    want = df.select(*FRAME, line).groupBy(*FRAME, "c.row", "c.col").agg(F.sum(end.cast("long")).alias("n_hits"), F.max((~end).cast("int")).alias("is_free"))
+    got = tier1.evidence(df, grid=Grid(40, 1.0), ego=(F.col("er"), F.col("ec")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_map_tasks_are_not_joined_by_size(spark):
+    """A scan's hits are few bytes that grow to a map, so their tasks stay as many as the session shuffles into."""
+    found = tier1.evidence(cells(spark, [(f, 40, 45) for f in range(50)]))
+    assert found.rdd.getNumPartitions() >= tier1.parts(spark)
+
+
+def test_boxes_meet_packed_maps(spark):
+    """Scores from boxes, without their cells, are those from cells; frames without a map or a box keep their places."""
+    rng = np.random.default_rng(11)
+    kept = preprocess.preprocess(points(spark, *np.c_[rng.uniform(-15, 15, (300, 2)), np.ones(300)]).union(points(spark, (5, 5, 1), frame=1)), frames(spark, 3))
+    m = tier1.single_scan_map(kept)
+    schema = "dataset string, scene_id string, frame_idx int, box_id int, cx double, cy double, w double, l double, yaw double"
+    rows = [("d", "s", i % 2 * 2, i, *map(float, r)) for i, r in enumerate(np.c_[rng.uniform(-18, 18, (12, 2)), rng.uniform(1, 5, (12, 2)), rng.uniform(-3, 3, 12)])]
+    near = spark.createDataFrame([*rows, ("d", "s", 1, 99, 50.0, 0.0, 1.0, 1.0, 0.0)], schema)
+    cells_ = boxes.rasterize(near)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
+    counts = metrics.box_counts(m, near)
+    assert same(metrics.box_hits(m, cells_), counts) and same(metrics.overlay(m, near, cells_), metrics.overlaid(near, counts))
+    for zero in (False, True):
+        assert same(metrics.precision(m, near, cells_, zero_outside=zero), metrics.box_precision(m, near, near, zero_outside=zero))
+    plan = metrics.box_precision(m, near, near)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(first" not in plan
