@@ -8,7 +8,7 @@ from fleetgrid.functions import geometry as g
 from fleetgrid.functions.rays import ray
 from fleetgrid.grid import EVIDENCE, FRAME, Grid
 from fleetgrid.operators import boxes, metrics, preprocess, reports, tier1, tier2
-from fleetgrid.operators.solver import Settings, line, solve
+from fleetgrid.operators.solver import Settings, inverse_of, line, solve
 from fleetgrid.streaming.fold import live_scene_map
 
 FRAMES = "dataset string, scene_id string, frame_idx int, calib_r array<double>, calib_t array<double>, pose_r array<double>, pose_t array<double>"
@@ -457,3 +457,26 @@ def test_boxes_meet_packed_maps(spark):
         assert same(metrics.precision(m, near, cells_, zero_outside=zero), metrics.box_precision(m, near, near, zero_outside=zero))
     plan = metrics.box_precision(m, near, near)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(first" not in plan
+
+
+def test_inverse_by_halves():
+    rng = np.random.default_rng(12)
+    for n in (1, 64, 65, 200):
+        a = rng.normal(size=(n, n))
+        a = a @ a.T + n * np.eye(n)
+        assert np.allclose(inverse_of(a) @ a, np.eye(n), atol=1e-9)
+
+
+def test_solves_come_in_batches(spark):
+    """Many keys in one task, more than are sent at once, with one that has too few points and one that fails; no key is a pandas group."""
+    rows = [(f, 40 + i, 41 + f) for f in range(40) for i in range(6)]
+    kept = cells(spark, rows).withColumn("n_points", F.when(F.col("frame_idx") == 3, 2).otherwise(6)).withColumn("gamma", F.when(F.col("frame_idx") == 5, float("nan")).otherwise(30.0)).coalesce(1)
+    out = tier2.pcsbl_map(kept, settings=Settings(max_iter=3))
+    got = {r["frame_idx"]: r for r in out.collect()}
+    assert len(got) == 40 and got[3]["cells"] == [] and got[3]["iters"] == 0
+    for f in (0, 17, 39):
+        n = np.ones(6)
+        want = solve(np.arange(40, 46), np.full(6, 41 + f), n, n, n, 6, 80, (40, 40), Settings(max_iter=3)).cells()
+        assert [(c["row"], c["col"]) for c in got[f]["cells"]] == [(c["row"], c["col"]) for c in want]
+        assert np.allclose([c["mu"] for c in got[f]["cells"]], [c["mu"] for c in want])
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
