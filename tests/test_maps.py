@@ -480,3 +480,17 @@ def test_solves_come_in_batches(spark):
         assert [(c["row"], c["col"]) for c in got[f]["cells"]] == [(c["row"], c["col"]) for c in want]
         assert np.allclose([c["mu"] for c in got[f]["cells"]], [c["mu"] for c in want])
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smoothing_and_differences_send_no_copies(spark):
+    """Maps of many scans, more than are laid out at once, are smoothed without a shuffle after their own; differences need no sorted join."""
+    rows = [(f, (7 * f) % 80, (3 * f + i) % 80) for f in range(70) for i in (0, 40)]
+    m = cells(spark, rows).withColumn("p", F.lit(0.9).cast("float"))
+    got = reports.smoothed(m)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert got.select(*FRAME).distinct().count() == 70 and got.groupBy(*FRAME).agg(F.sum(F.col("p") - 0.5).alias("s")).filter("abs(s - 0.8) > 1e-6").count() == 0
+    other = m.filter("frame_idx < 5").withColumn("p", F.lit(0.25).cast("float"))
+    diff = reports.difference(m, other)
+    assert sorted({(r["frame_idx"] < 5, round(r["diff"], 6)) for r in diff.collect()}) == [(False, 0.4), (True, 0.65)] and diff.count() == 140
+    assert "SortMergeJoin" not in diff._jdf.queryExecution().executedPlan().toString()
