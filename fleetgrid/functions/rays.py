@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import CELL, Grid
 
+#: Scans that are laid out, and rays that are drawn, at a time.
+_SCANS, _RAYS = 16, 512
+
 
 def ray(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:
     """Array of (row, col, i, m) from the ego cell (i = 0) to the hit cell (i = m), both included."""
@@ -26,6 +32,57 @@ def along_rays(hits: DataFrame, row: str, col: str, ego_row: str, ego_col: str)
     return out.withColumns({"at_row": at[0], "at_col": at[1]})
 
 
+def merged_rays(hits: DataFrame, key: Sequence[str], row: str, col: str, ego_row: str, ego_col: str, n: str) -> DataFrame:
+    """``key, row, col, n_hits, is_free``: the cells that the rays of a ``key`` touch, each once. ``hits``: a row for each hit cell, with
+    its ``n`` points; one whose row or column isn't known is left out. The same cells as ``ray``.
+
+    A key's hits are one row, and rays are drawn into the key's map, some at a time; so a task holds a batch of keys' hits and a few maps,
+    never a table of all rays' cells.
+    """
+    hits = hits.dropna(subset=[row, col, ego_row, ego_col])
+    hit = F.struct(*(F.col(c).alias(name) for c, name in ((row, "row"), (col, "col"), (ego_row, "ego_row"), (ego_col, "ego_col"), (n, "n"))))
+    scans = hits.groupBy(*key).agg(F.collect_list(hit).alias("_hits"))
+    drawn = F.arrow_udf(_drawn, "array<struct<row:int,col:int,n_hits:bigint,is_free:boolean>>")
+    out = scans.select(*key, F.inline(drawn("_hits")))
+    return out.select(*key, "row", "col", "n_hits", F.col("is_free").cast("int").alias("is_free"))
+
+
+def _drawn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The touched cells of scans, from their hits. A few scans are laid out at a time."""
+    for batch in batches:
+        for a in range(0, len(batch), _SCANS):
+            yield _touched(batch.slice(a, _SCANS))
+
+
+def _touched(scans: pa.Array) -> pa.Array:
+    which = np.repeat(np.arange(len(scans)), np.asarray(scans.value_lengths()))
+    row, col, ego_row, ego_col, n = (np.asarray(c).astype(np.int64) for c in scans.flatten().flatten())
+    # the least map that holds all cells; a cell's number in it, after the scans before
+    top, left = min(row.min(), ego_row.min()), min(col.min(), ego_col.min())
+    high, wide = max(row.max(), ego_row.max()) - top + 1, max(col.max(), ego_col.max()) - left + 1
+    number = lambda r, c: (which * high + r - top) * wide + c - left
+    free, found = np.zeros(len(scans) * high * wide, bool), np.zeros(len(scans) * high * wide, np.int64)
+    np.add.at(found, number(row, col), n)
+    dr, dc = row - ego_row, col - ego_col
+    far_r, far_c = np.abs(dr), np.abs(dc)
+    m = np.maximum(far_r, far_c)
+    # what a step adds on the longer axis (on both, if they are equal), and what a cell of the shorter axis adds
+    along = np.where(far_r == m, np.sign(dr) * wide, 0) + np.where(far_c == m, np.sign(dc), 0)
+    aside = np.where(far_r < m, np.sign(dr) * wide, 0) + np.where(far_c < m, np.sign(dc), 0)
+    lines = np.stack([number(ego_row, ego_col), along, aside, 2 * np.minimum(far_r, far_c), m - 1, 2 * m])
+    for b in range(0, len(m), _RAYS):
+        steps, part = m[b : b + _RAYS], lines[:, b : b + _RAYS]
+        i = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+        start, add, off, share, last, double = np.repeat(part, steps, axis=1)
+        free[start + i * add + off * ((i * share + last) // double)] = True
+    at = np.nonzero(free | (found > 0))[0]
+    scan, cell = np.divmod(at, high * wide)
+    r, c = np.divmod(cell, wide)
+    ends = np.r_[0, np.cumsum(np.bincount(scan, minlength=len(scans)))].astype(np.int32)
+    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), pa.array(found[at]), pa.array(free[at])]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", "n_hits", "is_free"]))
+
+
 def length(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:
     """Steps of a ray."""
     return F.greatest(F.abs(row - ego_row), F.abs(col - ego_col))

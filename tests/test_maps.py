@@ -494,3 +494,45 @@ def test_smoothing_and_differences_send_no_copies(spark):
     diff = reports.difference(m, other)
     assert sorted({(r["frame_idx"] < 5, round(r["diff"], 6)) for r in diff.collect()}) == [(False, 0.4), (True, 0.65)] and diff.count() == 140
     assert "SortMergeJoin" not in diff._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_rays_equal_merged_rows(spark):
+    """More scans than are laid out, and more rays than are drawn, at a time; hits on the vehicle, repeated hits, several ego cells in a scan."""
+    rng = np.random.default_rng(13)
+    rows = [("d", f"s{f % 3}", f, int(r), int(c), 40 - f % 5, 40 + f % 3 + int(r) % 2 * (f % 7 == 0)) for f in range(70) for r, c in rng.integers(0, 80, (rng.integers(1, 40), 2))]
+    rows += [("d", "s", 99, int(r), int(c), 40, 40) for r, c in [*rng.integers(0, 80, (3000, 2)), (40, 40), (40, 40)]]
+    rows += [("d", "s", 100, 40, 40, 40, 40)]
+    df = spark.createDataFrame(rows, "dataset string, scene_id string, frame_idx int, row int, col int, er int, ec int").repartition(3)
+    for ego in (None, (F.col("er"), F.col("ec"))):
+        want, got = (tier1.evidence(df, ego=ego, merged=m) for m in (False, True))
+        assert want.dtypes == got.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("fill", [0.5, 0.0, 0.7])
+def test_concentration_against_whole_maps(spark, fill):
+    """Maps of few and of many values, on few and on most cells, with values equal to that of untouched cells."""
+    rng, grid = np.random.default_rng(14), Grid(20, 2.0)
+    made = {f: rng.choice([0.1, 0.5, fill, 0.7, 0.9], n) if f % 2 else rng.random(n) for f, n in enumerate((1, 3, 39, 41, 200, 350, 361, 400, 400))}
+    rows = [("d", "s", f, i // 20, i % 20, float(p)) for f, ps in made.items() for i, p in zip(rng.permutation(400).tolist(), ps, strict=False)]
+    m = spark.createDataFrame(rows, "dataset string, scene_id string, frame_idx int, row int, col int, p double").repartition(3)
+    got = {r["frame_idx"]: r for r in reports.concentration(m, grid, fill).collect()}
+    assert got.keys() == made.keys()
+    for f, ps in made.items():
+        whole, r = np.r_[ps, np.full(400 - len(ps), fill)], got[f]
+        q = np.quantile(whole, 0.9)
+        top = whole[whole > q + 1e-12]
+        assert r["p90"] == pytest.approx(q) and r["mean_p"] == pytest.approx(whole.mean()) and r["n_occupied"] == (ps > 0.5).sum()
+        assert r["mean_top"] == pytest.approx(top.mean()) if len(top) else r["mean_top"] is None
+
+
+def test_concentration_holds_no_lists_of_cells(spark):
+    """Neither the cells of all rays in one table, nor a map's values one by one: a list has a map's distinct values."""
+    from fleetgrid.plans.queries import QUERIES
+
+    out = QUERIES["a21_concentration"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(transform(sequence(0, greatest(abs" not in plan and "collect_list(cast(p" not in plan
+    m = cells(spark, [(f, r, c) for f in range(2) for r in range(60) for c in range(60)]).withColumn("p", F.lit(0.9).cast("float"))
+    counted = reports.concentration(m)
+    assert "collect_list(cast(p" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert [(round(r["p90"], 6), r["mean_top"], r["n_occupied"]) for r in counted.collect()] == [(0.9, None, 3600)] * 2
