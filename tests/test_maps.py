@@ -8,7 +8,7 @@ from fleetgrid.functions import geometry as g
 from fleetgrid.functions.rays import ray
 from fleetgrid.grid import EVIDENCE, FRAME, Grid
 from fleetgrid.operators import boxes, metrics, preprocess, reports, tier1, tier2
-from fleetgrid.operators.solver import Settings, inverse_of, line, solve
+from fleetgrid.operators.solver import Layout, Settings, inverse_of, line, solve, solve_all
 from fleetgrid.streaming.fold import live_scene_map
 
 FRAMES = "dataset string, scene_id string, frame_idx int, calib_r array<double>, calib_t array<double>, pose_r array<double>, pose_t array<double>"
@@ -536,3 +536,31 @@ def test_concentration_holds_no_lists_of_cells(spark):
     counted = reports.concentration(m)
     assert "collect_list(cast(p" not in counted._jdf.queryExecution().executedPlan().toString()
     assert [(round(r["p90"], 6), r["mean_top"], r["n_occupied"]) for r in counted.collect()] == [(0.9, None, 3600)] * 2
+
+
+@pytest.mark.parametrize("s", [Settings(), Settings(beta=0.0), Settings(beta=0.5, max_iter=7), Settings(gamma=0.0), Settings(gamma=0.0, beta=0.0, free_weight=0.8), Settings(free_weight=0.0, max_iter=5)])
+def test_maps_are_solved_together(s):
+    """Maps of few and of many rays, around other ego cells, with rays in several blocks: each as by the whole matrix of its rows."""
+    rng = np.random.default_rng(15)
+    made, egos = [], [(8, 8), (8, 8), (0, 15), (3, 9), (8, 8), (15, 15)]
+    for n in (1, 40, 60, 250, 250, 5):
+        rows = [(int(r), int(c), 0.85 ** int(k)) for r, c, k in zip(*rng.integers(0, 16, (2, n)), rng.integers(0, 6, n))]
+        cells = sorted({r[:2] for r in rows})
+        of = lambda f: np.array([f([w for r, c, w in rows if (r, c) == x]) for x in cells], dtype=float)  # noqa: E731, B023
+        made.append((rows, (*np.array(cells).T, of(lambda w: sum(x * x for x in w)), of(len), of(lambda w: sum(x * x for x in w if x > 0.5)))))
+    found = solve_all([hits for _, hits in made], [len(rows) for rows, _ in made], 16, egos, s)
+    assert (found[0].iters, found[0].cells()) == (0, [])
+    for (rows, _), ego, got in list(zip(made, egos, found, strict=True))[1:]:
+        mu, alpha, it, _ = dense_windows(rows, 16, ego, s)
+        assert got.iters == it and np.allclose(got.mu, mu, atol=1e-8) and np.allclose(got.alpha[got.touched], alpha[got.touched], rtol=1e-6)
+
+
+def test_rays_are_inverted_by_blocks():
+    """What is held and inverted for a window's rays is a small part of the matrix of all their pairs, also for many rays."""
+    rng = np.random.default_rng(16)
+    for n in (800, 1600, 6400):
+        cells = np.unique(rng.integers(0, 160, (n, 2)), axis=0).astype(np.int64)
+        one = np.ones(len(cells))
+        lay = Layout(np.zeros(len(cells), dtype=np.int64), *cells.T, one, one, one, np.array([[80, 80]]), 160, True)
+        assert len(np.unique(lay.slot)) == len(cells) and len(lay.near) == lay.p < 100
+        assert 2 * lay.m * lay.b**2 + lay.m * lay.b * lay.p < len(cells) ** 2 / 5
