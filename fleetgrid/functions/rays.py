@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import CELL, Grid
+from ..grid import CELL, EVIDENCE, LIMIT, Grid
 
 #: Scans that are laid out, and rays that are drawn, at a time.
 _SCANS, _RAYS = 16, 512
@@ -57,11 +57,22 @@ def _drawn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def _touched(scans: pa.Array) -> pa.Array:
     which = np.repeat(np.arange(len(scans)), np.asarray(scans.value_lengths()))
     row, col, ego_row, ego_col, n = (np.asarray(c).astype(np.int64) for c in scans.flatten().flatten())
+    free, found, (top, left, high, wide) = _laid_out(which, len(scans), row, col, ego_row, ego_col, n)
+    at = np.nonzero(free | (found > 0))[0]
+    scan, cell = np.divmod(at, high * wide)
+    r, c = np.divmod(cell, wide)
+    ends = np.r_[0, np.cumsum(np.bincount(scan, minlength=len(scans)))].astype(np.int32)
+    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), pa.array(found[at]), pa.array(free[at])]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", "n_hits", "is_free"]))
+
+
+def _laid_out(which: np.ndarray, scans: int, row: np.ndarray, col: np.ndarray, ego_row: np.ndarray, ego_col: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """Whether a ray passes each cell of each scan, and the points in it; the maps' first row and column, rows and columns."""
     # the least map that holds all cells; a cell's number in it, after the scans before
     top, left = min(row.min(), ego_row.min()), min(col.min(), ego_col.min())
     high, wide = max(row.max(), ego_row.max()) - top + 1, max(col.max(), ego_col.max()) - left + 1
     number = lambda r, c: (which * high + r - top) * wide + c - left
-    free, found = np.zeros(len(scans) * high * wide, bool), np.zeros(len(scans) * high * wide, np.int64)
+    free, found = np.zeros(scans * high * wide, bool), np.zeros(scans * high * wide, np.int64)
     np.add.at(found, number(row, col), n)
     dr, dc = row - ego_row, col - ego_col
     far_r, far_c = np.abs(dr), np.abs(dc)
@@ -75,12 +86,53 @@ def _touched(scans: pa.Array) -> pa.Array:
         i = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
         start, add, off, share, last, double = np.repeat(part, steps, axis=1)
         free[start + i * add + off * ((i * share + last) // double)] = True
-    at = np.nonzero(free | (found > 0))[0]
-    scan, cell = np.divmod(at, high * wide)
-    r, c = np.divmod(cell, wide)
-    ends = np.r_[0, np.cumsum(np.bincount(scan, minlength=len(scans)))].astype(np.int32)
-    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), pa.array(found[at]), pa.array(free[at])]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", "n_hits", "is_free"]))
+    return free, found, (int(top), int(left), int(high), int(wide))
+
+
+def fused_rays(hits: DataFrame, key: Sequence[str], windows: Sequence[int], decay: float, ego: tuple[int, int]) -> DataFrame:
+    """``key, row, col, w, value``: for each half width in ``windows``, the log-odds of the scans at most so far from their ``key``, weighted by
+    decay^|offset| and added, of each cell that one of them touches. ``hits``: a row for each hit cell (row, col) of a scan (``offset``), with its
+    ``n`` points; one whose row or column isn't known is left out.
+
+    The hits of a key's scans are one row, and rays are drawn into these scans' maps, a few keys' at a time; so a task holds a few keys' maps, and no
+    cell of a ray or a scan is a row.
+    """
+    hit = F.struct(*(F.col(c) for c in ("offset", *CELL, "n")))
+    scans = hits.dropna(subset=CELL).groupBy(*key).agg(F.collect_list(hit).alias("_hits"))
+
+    def drawn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a in range(0, len(batch), _SCANS):
+                yield _fused(batch.slice(a, _SCANS), list(windows), decay, ego)
+
+    made = F.arrow_udf(drawn, "array<struct<row:int,col:int,w:int,value:double>>")
+    return scans.select(*key, F.inline(made("_hits")))
+
+
+def _fused(keys: pa.Array, windows: list[int], decay: float, ego: tuple[int, int]) -> pa.Array:
+    of_key = np.repeat(np.arange(len(keys)), np.asarray(keys.value_lengths()))
+    offset, row, col, n = (np.asarray(c).astype(np.int64) for c in keys.flatten().flatten())
+    seen, at = np.unique(offset, return_inverse=True)
+    same = np.full(len(row), 1)
+    free, found, (top, left, high, wide) = _laid_out(at * len(keys) + of_key, len(seen) * len(keys), row, col, ego[0] * same, ego[1] * same, n)
+    touched = (free | (found > 0)).reshape(len(seen), -1)
+    # as scan_log_odds
+    value = np.where(found * EVIDENCE >= LIMIT, LIMIT - EVIDENCE * free, EVIDENCE * (found - free)).reshape(len(seen), -1)
+    total, any_of, parts = np.zeros(value.shape[1]), np.zeros(value.shape[1], bool), []
+    for w in sorted(set(windows)):
+        new = (np.abs(seen) <= w) & (np.abs(seen) > (parts[-1][0] if parts else -1))
+        for v, t, o in zip(value[new], touched[new], seen[new], strict=True):
+            total += decay ** abs(int(o)) * v
+            any_of |= t
+        cells = np.flatnonzero(any_of)
+        parts.append((w, cells, total[cells]))
+    cells, width = np.concatenate([c for _, c, _ in parts]), np.repeat([w for w, *_ in parts], [len(c) for _, c, _ in parts])
+    key, cell = np.divmod(cells, high * wide)
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(key, minlength=len(keys)))].astype(np.int32)
+    r, c = np.divmod(cell[order], wide)
+    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), pa.array(width[order].astype(np.int32)), pa.array(np.concatenate([v for *_, v in parts])[order])]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", "w", "value"]))
 
 
 def length(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:

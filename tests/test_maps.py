@@ -564,3 +564,25 @@ def test_rays_are_inverted_by_blocks():
         lay = Layout(np.zeros(len(cells), dtype=np.int64), *cells.T, one, one, one, np.array([[80, 80]]), 160, True)
         assert len(np.unique(lay.slot)) == len(cells) and len(lay.near) == lay.p < 100
         assert 2 * lay.m * lay.b**2 + lay.m * lay.b * lay.p < len(cells) ** 2 / 5
+
+
+@pytest.mark.parametrize("windows", [[0, 1, 2], [2], [3, 0]])
+def test_fused_windows_drawn_into_maps(spark, windows):
+    """More frames than are laid out at a time, frames that see one neighbour only, cells hit often, hits on the vehicle; no cell of a ray is a row."""
+    rng = np.random.default_rng(17)
+    rows = [("d", f"s{f % 2}", f, f // 16, int(o), int(r), int(c)) for f in range(40) for o in ((-2, -1, 0, 1, 3) if f % 5 else (-1,)) for r, c in rng.integers(0, 80, (rng.integers(1, 12), 2)) for _ in range(rng.integers(1, 9))]
+    rows += [("d", "s9", 0, 0, 0, 40, 40)] * 7
+    window = spark.createDataFrame(rows, "dataset string, scene_id string, frame_idx int, span int, offset int, row int, col int").repartition(3)
+    want, got = (tier1.fuse_windows(window, windows, merged=m) for m in (False, True))
+    assert want.dtypes == got.dtypes
+    of = lambda df: {tuple(r[c] for c in (*FRAME, "row", "col", "w")): (r["value"], r["p"]) for r in df.collect()}
+    want, made = of(want), of(got)
+    assert want.keys() == made.keys() and all(made[k] == pytest.approx(v, abs=1e-9) for k, v in want.items()) and got.count() == len(made)
+    assert "Generate explode(transform(sequence(0, greatest(abs" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fusion_query_draws_rays_into_maps(spark):
+    from fleetgrid.plans.queries import QUERIES
+
+    plan = QUERIES["a6_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(transform(sequence(0, greatest(abs" not in plan
