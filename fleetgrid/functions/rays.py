@@ -105,8 +105,11 @@ def fused_rays(hits: DataFrame, key: Sequence[str], windows: Sequence[int], deca
             for a in range(0, len(batch), _SCANS):
                 yield _fused(batch.slice(a, _SCANS), list(windows), decay, ego)
 
-    made = F.arrow_udf(drawn, "array<struct<row:int,col:int,w:int,value:double>>")
-    return scans.select(*key, F.inline(made("_hits")))
+    values = ", ".join(f"v{i}:double" for i in range(len(windows)))
+    made = F.arrow_udf(drawn, f"array<struct<row:int,col:int,{values}>>")
+    # a cell comes once from Python, and its widths become rows after that
+    widths = F.stack(F.lit(len(windows)), *(c for i, w in enumerate(windows) for c in (F.lit(w), F.col(f"v{i}")))).alias("w", "value")
+    return scans.select(*key, F.inline(made("_hits"))).select(*key, *CELL, widths).filter("value is not null")
 
 
 def _fused(keys: pa.Array, windows: list[int], decay: float, ego: tuple[int, int]) -> pa.Array:
@@ -118,21 +121,20 @@ def _fused(keys: pa.Array, windows: list[int], decay: float, ego: tuple[int, int
     touched = (free | (found > 0)).reshape(len(seen), -1)
     # as scan_log_odds
     value = np.where(found * EVIDENCE >= LIMIT, LIMIT - EVIDENCE * free, EVIDENCE * (found - free)).reshape(len(seen), -1)
-    total, any_of, parts = np.zeros(value.shape[1]), np.zeros(value.shape[1], bool), []
+    total, any_of, at_width = np.zeros(value.shape[1]), np.zeros(value.shape[1], bool), {}
+    before = -1
     for w in sorted(set(windows)):
-        new = (np.abs(seen) <= w) & (np.abs(seen) > (parts[-1][0] if parts else -1))
-        for v, t, o in zip(value[new], touched[new], seen[new], strict=True):
-            total += decay ** abs(int(o)) * v
-            any_of |= t
-        cells = np.flatnonzero(any_of)
-        parts.append((w, cells, total[cells]))
-    cells, width = np.concatenate([c for _, c, _ in parts]), np.repeat([w for w, *_ in parts], [len(c) for _, c, _ in parts])
+        for i in np.flatnonzero((np.abs(seen) <= w) & (np.abs(seen) > before)):
+            total += decay ** abs(int(seen[i])) * value[i]
+            any_of |= touched[i]
+        at_width[w], before = (total.copy(), any_of.copy()), w
+    cells = np.flatnonzero(any_of)
     key, cell = np.divmod(cells, high * wide)
-    order = np.argsort(key.astype(np.uint16), kind="stable")
     ends = np.r_[0, np.cumsum(np.bincount(key, minlength=len(keys)))].astype(np.int32)
-    r, c = np.divmod(cell[order], wide)
-    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), pa.array(width[order].astype(np.int32)), pa.array(np.concatenate([v for *_, v in parts])[order])]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", "w", "value"]))
+    r, c = np.divmod(cell, wide)
+    values = [pa.array(v[cells], mask=~known[cells]) for v, known in (at_width[w] for w in windows)]
+    values = [pa.array((r + top).astype(np.int32)), pa.array((c + left).astype(np.int32)), *values]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=["row", "col", *(f"v{i}" for i in range(len(windows)))]))
 
 
 def length(row: Column, col: Column, ego_row: Column, ego_col: Column) -> Column:
