@@ -586,3 +586,18 @@ def test_fusion_query_draws_rays_into_maps(spark):
 
     plan = QUERIES["a6_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(transform(sequence(0, greatest(abs" not in plan
+
+
+def test_sectors_are_merged_without_shuffling_cells(spark):
+    """A frame's sectors are merged by the largest value of a cell, from a row for each; frames with too few points in a sector, or in all, keep the others."""
+    rng = np.random.default_rng(18)
+    near = [(f, int(r), int(c)) for f in range(20) for r, c in rng.integers(20, 60, (4 if f == 3 else 30, 2))]
+    kept = cells(spark, near).withColumns({"x": (F.col("col") - 40) / 2 + 0.25, "y": (40 - F.col("row")) / 2 - 0.25})
+    got = tier2.sector_maps(kept, 3, Settings(max_iter=4))
+    dealt = kept.withColumn("sector", g.sector(F.col("x"), F.col("y"), 3))
+    solved = tier2.pcsbl_map(tier2.counted_hits(dealt, [*FRAME, "sector"], 3, 360, least=3), [*FRAME, "sector"], Settings(max_iter=4))
+    want = tier2.solved_cells(solved, [*FRAME, "sector"]).groupBy(*FRAME, "row", "col").agg(F.max("p").alias("p"))
+    assert want.dtypes == got.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("frame_idx").distinct().count() >= 19
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[max(p" not in plan and "inline(pythonUDF" in plan
